@@ -77,10 +77,12 @@ def merge_drafts(drafts: DataFrame, source_rank: Sequence[str] | None = None) ->
         F.coalesce("extra", no_map).alias("extra"), quote.alias("quote"),
         F.coalesce("_meta.collected_at", F.lit("")).alias("at"),
     )
+    # Rows of other sources have a null rank, which max_by passes over.
     picks = [
         F.max_by(
-            F.struct("name", "extra", *fields.get(s, [])), F.struct("at", "name")
-        ).filter(F.col("source") == s).alias(f"s{i}")
+            F.struct("name", "extra", *fields.get(s, [])),
+            F.when(F.col("source") == s, F.struct("at", "name")),
+        ).alias(f"s{i}")
         for i, s in enumerate(order)
     ]
     if not picks:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.sources.drafts import decoded
+from themeloom.sources.tables import matching
+
+# File sources pass over names that start like this; summaries may have them.
+HIDDEN = "{_,.}*.md"
+NAMES_PER_TASK = 200
 
 
 def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,7 +21,27 @@ def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
 
     Rows carry no order; sort by ``file_name`` where the order matters.
     """
-    return (
+    seen = (
         spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
         .select(decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("content"))
     )
+    hidden = matching(spark, folder, HIDDEN)
+    return seen.unionByName(_read_named(spark, folder, hidden)) if hidden else seen
+
+
+def _read_named(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """The named files of a folder, read by the tasks."""
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for batch in batches:
+            texts = []
+            for name in batch["file_name"]:
+                with store.open_input_stream(f"{root}/{name}") as stream:
+                    texts.append(stream.read().decode("utf-8"))
+            yield batch.assign(content=texts)
+
+    listed = spark.createDataFrame([(n,) for n in names], "file_name string")
+    tasks = max(1, len(names) // NAMES_PER_TASK)
+    return listed.repartition(tasks).mapInPandas(load, "file_name string, content string")

@@ -43,7 +43,7 @@ def stream_feed(
 
     query = (
         files.writeStream.foreachBatch(take)
-        .option("checkpointLocation", f"{state}/{kind}/progress")
+        .option("checkpointLocation", f"{state}/progress/{kind}")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
