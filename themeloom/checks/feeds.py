@@ -20,76 +20,71 @@ QUERIES, ORACLE = R.queries, R.oracle
 SPLIT = "2024-01-16"
 AT = F.lit("2024-01-31 00:00:00").cast("timestamp")
 
-# Movers: a date per order month, a field per order, a stock per line.
+# Responses hold this many orders or events, as a page does, so none grows with the tables.
+BLOCK = 2000
+
+# Movers: a date per order year, in parts; two fields per order and a note that is none.
+
+
+def _stock(key, name, info=None):
+    who = [code(key).alias("code"), F.concat(F.lit(name), key).alias("name")]
+    article = F.when(F.lit(info is not None), F.struct((info if info is not None else F.struct(
+        F.lit("").alias("time"), F.lit("").alias("num"), F.lit(None).cast("double").alias("shares_range"),
+        F.lit("").alias("reason"))).alias("action_info")))
+    return F.struct(*who, article.alias("article"))
 
 
 def mover_envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    """(name, value): one response per order month, with entries to be skipped.
+    """(name, value): responses per order year and block of order keys.
 
-    Orders of priority 5-LOW deliver an object without stocks; for status F it
-    still has a count.  A note that is no object ends every list.
+    The first field of an order has two stocks, of which the second lacks its
+    details.  The second field has none, and is to be skipped unless it has a
+    count.
     """
-    orders = table(spark, sf, "orders")
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate"
-        ))).alias("lines")
+    info = F.struct(
+        F.when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "HH:mm")).alias("time"),
+        F.lit("").alias("num"),
+        F.col("o_totalprice").alias("shares_range"),
+        F.col("o_orderpriority").alias("reason"),
     )
-    stock = F.transform("lines", lambda x: F.struct(
-        F.lpad(((x["l_partkey"] * 7919 + 13) % 1000000).cast("string"), 6, "0").alias("code"),
-        F.concat(F.lit("P"), x["l_partkey"]).alias("name"),
-        F.when(x["l_returnflag"] != "N", F.struct(F.struct(
-            F.when(x["l_returnflag"] == "A", F.date_format(x["l_shipdate"], "HH:mm")).alias("time"),
-            F.lit("").alias("num"),
-            x["l_linenumber"].cast("bigint").alias("day"),
-            x["l_quantity"].alias("shares_range"),
-            x["l_returnflag"].alias("reason"),
-        ).alias("action_info"))).alias("article"),
-    ))
-    none = F.filter(stock, lambda _: F.lit(False))
-    bare = F.col("o_orderpriority") == "5-LOW"
-    listed = F.when(bare, none).otherwise(F.coalesce(stock, none))
+    stocks = F.array(_stock("o_custkey", "C", info), _stock("o_orderkey", "K"))
     field = F.struct(
         F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("O"), "o_orderkey")).alias("name"),
-        F.col("o_orderpriority").alias("reason"),
-        F.when(bare & (F.col("o_orderstatus") == "F"), 3).otherwise(F.size(listed)).alias("count"),
-        listed.alias("list"),
+        F.col("o_orderpriority").alias("reason"), F.lit(2).alias("count"), stocks.alias("list"),
+    )
+    bare = F.struct(
+        F.lit("bare").alias("name"), F.when(F.col("o_orderstatus") == "F", 3).otherwise(0).alias("count"),
+        F.filter(stocks, lambda _: F.lit(False)).alias("list"),
     )
+    texts = F.concat_ws(",", F.to_json(field), F.to_json(bare), F.lit('"note"'))
     return (
-        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select(F.trunc("o_orderdate", "month").cast("string").alias("name"), "o_orderkey", F.to_json(field).alias("j"))
-        .groupBy("name")
-        .agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "j"))).alias("f"))
-        .select("name", F.concat(
-            F.lit('{"errCode":"0","data":['), F.array_join(F.col("f.j"), ","), F.lit(',"note"]}')
-        ).alias("value"))
+        table(spark, sf, "orders")
+        .groupBy(F.trunc("o_orderdate", "year").alias("day"), F.floor(F.col("o_orderkey") / BLOCK).alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("o_orderkey", texts.alias("j")))).alias("f"))
+        .select(
+            F.concat_ws("_", F.col("day").cast("string"), F.col("part").cast("string")).alias("name"),
+            F.concat(F.lit('{"errCode":"0","data":['), F.array_join(F.col("f.j"), ","), F.lit("]}")).alias("value"),
+        )
     )
 
 
-FIELDS = """fields AS (
-  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_orderkey,
-    CAST(row_number() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderkey) - 1 AS INTEGER)
-      AS field_pos,
-    CASE WHEN o_orderstatus <> 'P' THEN 'O' || o_orderkey ELSE '' END AS field_name,
-    o_orderpriority AS field_reason, o_orderstatus
-  FROM orders)"""
-ACTIONS = f"""{FIELDS},
-  lines AS (
-    SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-      l_quantity, l_returnflag, l_shipdate) - 1 AS INTEGER) AS stock_pos FROM lineitem),
+DAY = "CAST(date_trunc('year', o_orderdate) AS DATE)"
+ACTIONS = f"""placed AS (
+    SELECT *, {DAY} AS date, (o_orderkey // {BLOCK}) * 4294967296 + 3 * (row_number() OVER (
+      PARTITION BY {DAY}, o_orderkey // {BLOCK} ORDER BY o_orderkey) - 1) AS place FROM orders),
   actions AS (
-    SELECT date, field_pos, field_name, field_reason, stock_pos,
-      {code_sql('l_partkey')} AS code, 'P' || l_partkey AS name,
-      CASE WHEN l_returnflag = 'A' THEN strftime(l_shipdate, '%H:%M') ELSE '' END AS time,
-      CASE WHEN l_returnflag <> 'N' THEN CAST(l_linenumber AS BIGINT) END AS day,
-      CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS shares_range,
-      CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE '' END AS reason
-    FROM fields JOIN lines ON l_orderkey = o_orderkey WHERE field_reason <> '5-LOW'
+    SELECT date, place AS field_pos, CASE WHEN o_orderstatus <> 'P' THEN 'O' || o_orderkey ELSE '' END AS field_name,
+      o_orderpriority AS field_reason, 0 AS stock_pos, {code_sql('o_custkey')} AS code, 'C' || o_custkey AS name,
+      CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%H:%M') ELSE '' END AS time,
+      o_totalprice AS shares_range, o_orderpriority AS reason
+    FROM placed
+    UNION ALL
+    SELECT date, place, CASE WHEN o_orderstatus <> 'P' THEN 'O' || o_orderkey ELSE '' END,
+      o_orderpriority, 1, {code_sql('o_orderkey')}, 'K' || o_orderkey, '', NULL, '' FROM placed
     UNION ALL
-    SELECT date, field_pos, field_name, field_reason, NULL, NULL, NULL, NULL, NULL, NULL, NULL
-    FROM fields WHERE field_reason = '5-LOW' AND o_orderstatus = 'F')"""
+    SELECT date, place + 1, 'bare', '', NULL, NULL, NULL, NULL, NULL, NULL FROM placed WHERE o_orderstatus = 'F')"""
 ACTION_COLUMNS = (
-    "date", "field_pos", "field_name", "field_reason", "stock_pos", "code", "name", "time", "day",
+    "date", "field_pos", "field_name", "field_reason", "stock_pos", "code", "name", "time",
     "shares_range", "reason",
 )
 PICK = ", ".join(ACTION_COLUMNS)
@@ -141,16 +136,17 @@ def _with_bad_files(spark, sf) -> DataFrame:
     return mover_envelopes(spark, sf).unionByName(bad)
 
 
-@R.add("s3_read_feed", """
-    SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS name, 'accepted' AS outcome,
-      CAST(count(*) + 1 AS INTEGER) AS entries FROM orders GROUP BY ALL
+@R.add("s3_read_feed", f"""
+    SELECT CAST({DAY} AS VARCHAR) || '_' || (o_orderkey // {BLOCK}) AS name, 'accepted' AS outcome,
+      CAST(3 * count(*) AS INTEGER) AS entries FROM orders GROUP BY {DAY}, o_orderkey // {BLOCK}
     UNION ALL
     SELECT 'bad-' || n_nationkey, CASE WHEN n_regionkey <= 1 THEN 'no data' ELSE 'unreadable' END, NULL
     FROM nation""")
 def read_feed(spark, sf):
     good, bad = landed.read_feed(spark, _land(_with_bad_files(spark, sf), "action"), "action")
     return good.select(
-        F.col("date").cast("string").alias("name"), F.lit("accepted").alias("outcome"),
+        F.concat_ws("_", F.col("date").cast("string"), F.col("part").cast("string")).alias("name"),
+        F.lit("accepted").alias("outcome"),
         F.size("data").alias("entries"),
     ).unionByName(bad.select("name", F.col("reason").alias("outcome"), F.lit(None).cast("int").alias("entries")))
 
@@ -191,7 +187,7 @@ def missing_dates(spark, sf):
     return universe.missing_dates(wanted, have)
 
 
-# Industry notes: a page per day, an item per event.
+# Industry notes: a page per block of events, an item per event.
 
 def _version(c):
     """A version that goes up and down with the events of a user."""
@@ -212,11 +208,11 @@ def note_pages(spark: SparkSession, sf: str) -> DataFrame:
         _version("value").alias("update_time"),
         F.col("event_id").alias("browsers_count"),
     )
-    days = events.groupBy(F.dayofmonth("ts").alias("page")).agg(
+    pages = events.groupBy(F.floor(F.col("event_id") / BLOCK).alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))).alias("i")
     )
-    last = days.agg(F.max("page")).scalar()
-    return days.withColumn("last", last).select(
+    last = events.agg(F.floor(F.max("event_id") / BLOCK)).scalar()
+    return pages.withColumn("last", last).select(
         F.col("page").cast("string").alias("name"),
         F.to_json(F.struct(F.lit(0).alias("errCode"), F.struct(
             (F.col("page") < F.col("last")).alias("hasNext"), F.col("i.item").alias("result")
@@ -234,8 +230,8 @@ NOTES = f"""notes AS (
     event_type AS title, props AS keyword, '' AS content,
     strftime(ts, '%Y-%m-%d %H:%M:%S') AS create_time, {VERSION_SQL} AS update_time,
     event_id AS browsers_count, ts,
-    CAST(day(ts) AS BIGINT) * 4294967296
-      + row_number() OVER (PARTITION BY day(ts) ORDER BY event_id) - 1 AS seq
+    (event_id // {BLOCK}) * 4294967296
+      + row_number() OVER (PARTITION BY event_id // {BLOCK} ORDER BY event_id) - 1 AS seq
   FROM events)"""
 NOTE_PICK = "industry_id, title, keyword, content, create_time, update_time, browsers_count"
 
@@ -304,7 +300,7 @@ def write_snapshot(spark, sf):
     )
 
 
-# Timeline: one response, a group per day, an event per event.
+# Timeline: a response per block of events, grouped by hour.
 
 def timeline_pages(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
@@ -321,8 +317,8 @@ def timeline_pages(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("theme_list"),
         ).alias("timeline"),
     )
-    # A response per day stands for a page, and holds one group per hour.
-    hours = events.groupBy(F.dayofmonth("ts").alias("page"), F.hour("ts").alias("h")).agg(
+    # Each response has one group per hour of the day.
+    hours = events.groupBy(F.floor(F.col("event_id") / BLOCK).alias("page"), F.hour("ts").alias("h")).agg(
         F.array_sort(F.collect_list(F.struct("event_id", event.alias("e")))).alias("i")
     )
     return hours.groupBy("page").agg(
@@ -333,13 +329,13 @@ def timeline_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-TIMELINE = """timeline AS (
+TIMELINE = f"""timeline AS (
   SELECT CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) ELSE '' END AS article_id,
     CASE WHEN value >= 5 THEN CAST(CAST(ts AS DATE) AS VARCHAR) ELSE '' END AS date,
     event_type AS title, props AS content, CAST(day(ts) AS BIGINT) AS grade,
     event_type || ',u' || user_id AS themes, '' AS create_time,
-    CAST(day(ts) AS BIGINT) * 4294967296
-      + row_number() OVER (PARTITION BY day(ts) ORDER BY hour(ts), event_id) - 1 AS seq
+    (event_id // {BLOCK}) * 4294967296
+      + row_number() OVER (PARTITION BY event_id // {BLOCK} ORDER BY hour(ts), event_id) - 1 AS seq
   FROM events)"""
 LINE_PICK = "article_id, date, title, content, grade, themes, create_time"
 
@@ -431,7 +427,7 @@ def _land_all(spark, sf) -> str:
 
 @R.add("b5_job_daily_refresh", f"""WITH {ACTIONS}, {SUMMARY}, {NOTES}, {TIMELINE}
     SELECT 'action' AS feed, n_fields AS a, n_stocks AS b, names AS c FROM ({DAY_SUMMARY})
-    WHERE date = DATE '1997-06-01'
+    WHERE date = DATE '1997-01-01'
     UNION ALL
     SELECT 'industry', count(DISTINCT industry_id), (
         SELECT count(*) FILTER (update_time > b) FROM (SELECT update_time, max(update_time) OVER (
@@ -442,7 +438,7 @@ def _land_all(spark, sf) -> str:
     UNION ALL
     SELECT 'span', count(*), NULL, min(date) FILTER (date <> '') || max(date) FILTER (date <> '') FROM timeline""")
 def job_daily_refresh(spark, sf):
-    done = jobs.job_daily_refresh(spark, _land_all(spark, sf), scratch_path(spark, "store"), "1997-06-01", AT)
+    done = jobs.job_daily_refresh(spark, _land_all(spark, sf), scratch_path(spark, "store"), "1997-01-01", AT)
     reports = [
         done[k].select(F.lit(k).alias("feed"), F.col("added").alias("a"), F.col("updated").alias("b"),
                        F.col("blank_keys").cast("string").alias("c"))
@@ -461,7 +457,7 @@ def job_daily_refresh(spark, sf):
 @R.add("b6_job_backfill", f"""WITH {ACTIONS},
     days AS (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS date)
     SELECT date, CASE WHEN o.d IS NULL THEN 'failed' ELSE 'success' END AS status, coalesce(n, 0) AS n_rows
-    FROM days LEFT JOIN (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders) o ON o.d = date
+    FROM days LEFT JOIN (SELECT DISTINCT {DAY} AS d FROM orders) o ON o.d = date
       LEFT JOIN (SELECT date, count(*) AS n FROM actions GROUP BY date) USING (date)""")
 def job_backfill(spark, sf):
     landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,10 +88,11 @@ class Nearest:
     k: int
     metric: str
     skip_self: bool
-    found: pa.Table | None = None
 
     def __post_init__(self):
         self.worst = np.full(len(self.vectors), np.inf)
+        # Hits per slice of queries, by the first query of the slice.
+        self.found: dict[int, pa.Table] = {}
 
     def add(self, rows: pa.Table, vectors: np.ndarray) -> None:
         for s in range(0, len(vectors), ROW_SLICE):
@@ -117,11 +119,12 @@ class Nearest:
             qi, ci = np.nonzero(near)
             if len(qi):
                 gaps = _exact_pairs(q, c, qi, ci, self.metric)
-                self._keep(qi + s, gaps, rows.take(pa.array(ci)))
+                self._keep(s, len(q), qi, gaps, rows.take(pa.array(ci)))
 
-    def _keep(self, qi: np.ndarray, gaps: np.ndarray, rows: pa.Table) -> None:
-        fresh = rows.append_column("qi", pa.array(qi, pa.int64())).append_column("d", pa.array(gaps))
-        everything = fresh if self.found is None else pa.concat_tables([self.found, fresh])
+    def _keep(self, s: int, n: int, qi: np.ndarray, gaps: np.ndarray, rows: pa.Table) -> None:
+        everything = rows.append_column("qi", pa.array(qi, pa.int64())).append_column("d", pa.array(gaps))
+        if s in self.found:
+            everything = pa.concat_tables([self.found[s], everything])
         order = pc.sort_indices(everything, sort_keys=[
             ("qi", "ascending"), ("d", "ascending"), ("id", "ascending"),
         ])
@@ -129,19 +132,20 @@ class Nearest:
         at = everything.column("qi").to_numpy()
         start = np.r_[0, np.nonzero(at[1:] != at[:-1])[0] + 1]
         rank = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
-        self.found = everything.filter(pa.array(rank < self.k)).combine_chunks()
+        kept = everything.filter(pa.array(rank < self.k)).combine_chunks()
+        self.found[s] = kept
         # The last kept row of a full list bounds what may still come in.
-        kept = self.found.column("qi").to_numpy()
-        counts = np.bincount(kept, minlength=len(self.vectors))
+        counts = np.bincount(kept.column("qi").to_numpy(), minlength=n)
         ends = np.cumsum(counts) - 1
-        full = counts >= self.k
-        self.worst[full] = self.found.column("d").to_numpy()[ends[full]]
+        full = np.nonzero(counts >= self.k)[0]
+        self.worst[s + full] = kept.column("d").to_numpy()[ends[full]]
+
+    def results(self, schema: pa.Schema) -> Iterator[pa.Table]:
+        """(query_id, d, id, ...) in the column order of ``schema``, per slice."""
+        for s, hits in self.found.items():
+            at = pc.add(hits.column("qi").combine_chunks(), s)
+            named = hits.append_column("query_id", self.ids.take(at))
+            yield named.select(schema.names).cast(schema)
 
     def result(self, schema: pa.Schema) -> pa.Table:
-        """(query_id, d, id, ...) in the column order of ``schema``."""
-        if self.found is None:
-            return schema.empty_table()
-        named = self.found.append_column(
-            "query_id", self.ids.take(self.found.column("qi").combine_chunks())
-        )
-        return named.select(schema.names).cast(schema)
+        return pa.concat_tables([schema.empty_table(), *self.results(schema)])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as vx
 from themeloom.operators.scale import checked_broadcast
-from themeloom.operators.search import assign_lists
+from themeloom.operators.search import assign_lists, nearest
 
 # First seed and number of starts of a clustering.
 SEED = 42
@@ -70,10 +70,16 @@ def representatives(labelled: DataFrame, centers: DataFrame) -> DataFrame:
 def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     """Add the ``cluster_id`` of the nearest centroid, of equals the smallest.
 
-    ``centers`` comes from a clustering, whose number of clusters is a parameter;
-    it is refused if it has more rows than that could be.
+    Up to ``MAX_CENTERS`` centroids go to every task.  More of them are searched
+    block by block, with the vectors, which need an ``id``, as queries.
     """
     known = _collect_centers(centers)
+    if known is None:
+        asked = vectors.select(F.col("id").alias("query_id"), "embedding")
+        near = nearest(asked, centers, 1, key="cluster_id")
+        return vectors.join(
+            near.select(F.col("query_id").alias("id"), F.col("id").alias("cluster_id")), "id"
+        )
     ids = F.array(*[F.lit(int(i)) for i, _ in known])
     rows = assign_lists(vectors, np.array([v for _, v in known]), "_at")
     return rows.withColumn("cluster_id", F.get(ids, F.col("_at"))).drop("_at")
@@ -82,10 +88,10 @@ def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
 MAX_CENTERS = 10_000
 
 
-def _collect_centers(centers: DataFrame) -> list[tuple[int, list[float]]]:
+def _collect_centers(centers: DataFrame) -> list[tuple[int, list[float]]] | None:
     rows = centers.select("cluster_id", "embedding").limit(MAX_CENTERS + 1).collect()
     if len(rows) > MAX_CENTERS:
-        raise ValueError(f"more than {MAX_CENTERS} centroids")
+        return None
     return sorted((r.cluster_id, list(r.embedding)) for r in rows)
 
 

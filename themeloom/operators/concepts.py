@@ -22,8 +22,10 @@ def _row_event(part):
     )
 
 
-def extract_concepts(pages: DataFrame) -> DataFrame:
-    """(code, pos, name, description) from concept pages (code, html).
+def page_concepts(pages: DataFrame, *rest: str) -> DataFrame:
+    """(code, concepts_ths) from concept pages (code, html), one list per page.
+
+    The columns ``rest`` pass through.
 
     Only name rows and full-text rows count.  A name row yields a concept if the
     next counting row is a full-text row, or if there is none; its description
@@ -34,11 +36,11 @@ def extract_concepts(pages: DataFrame) -> DataFrame:
         F.split(F.regexp_extract("html", tx.REGION, 1), tx.ROW_START),
         lambda p: p.startswith("<tr"),
     )
-    events = pages.select("code", F.transform(parts, _row_event).alias("events")).select(
-        "code", F.filter("events", lambda e: e["kind"].isNotNull()).alias("events")
+    events = pages.select("code", *rest, F.transform(parts, _row_event).alias("events")).select(
+        "code", *rest, F.filter("events", lambda e: e["kind"].isNotNull()).alias("events")
     )
     paired = events.select(
-        "code",
+        "code", *rest,
         F.zip_with(
             "events",
             F.slice("events", F.lit(2), F.greatest(F.size("events"), F.lit(1))),
@@ -50,11 +52,16 @@ def extract_concepts(pages: DataFrame) -> DataFrame:
         lambda p: (p["here"]["kind"] == "name")
         & (p["after"]["kind"].isNull() | (p["after"]["kind"] == "full")),
     )
-    return paired.select("code", F.posexplode(kept).alias("pos", "p")).select(
-        "code",
-        "pos",
-        F.col("p.here.name").alias("name"),
-        F.coalesce(tx.nonempty(F.col("p.after.text")), F.col("p.here.text")).alias("description"),
+    return paired.select("code", *rest, F.transform(kept, lambda p: F.struct(
+        p["here"]["name"].alias("name"),
+        F.coalesce(tx.nonempty(p["after"]["text"]), p["here"]["text"]).alias("description"),
+    )).alias("concepts_ths"))
+
+
+def extract_concepts(pages: DataFrame) -> DataFrame:
+    """(code, pos, name, description): the concepts of the pages, one per row."""
+    return page_concepts(pages).select("code", F.posexplode("concepts_ths").alias("pos", "c")).select(
+        "code", "pos", "c.name", "c.description"
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import nonempty, present
-from themeloom.operators.scale import running_max
+from themeloom.operators.scale import BROADCAST_ROWS, fits, running_max
 from themeloom.schemas import ACTION_FIELD
 
 INDUSTRY_FIELDS = (
@@ -28,16 +28,20 @@ def _text(c: Column | str) -> Column:
 def action_fields(raw: DataFrame) -> DataFrame:
     """(date, field_pos, field_name, field_reason, stocks) from valid envelopes.
 
-    ``raw`` has (date, data ARRAY<STRING>).  Entries that are no objects are
-    skipped, and so are fields with neither stocks nor a count.  ``field_pos``
-    numbers the kept entries by their place in the envelope.
+    ``raw`` has (date, part, data ARRAY<STRING>); a date may come in parts.
+    Entries that are no objects are skipped, and so are fields with neither
+    stocks nor a count.  ``field_pos`` orders the fields of a date by their part
+    and their place in it.
     """
     entry = F.from_json("entry", ACTION_FIELD.simpleString())
     listed = F.coalesce(F.size(F.col("f.list")), F.lit(0))
     return (
-        raw.select("date", F.posexplode("data").alias("field_pos", "entry"))
+        raw.select("date", "part", F.posexplode("data").alias("pos", "entry"))
         .where(F.ltrim(F.col("entry")).startswith("{"))
-        .select("date", "field_pos", entry.alias("f"))
+        .select(
+            "date", (F.col("part").cast("bigint") * PAGE_STRIDE + F.col("pos")).alias("field_pos"),
+            entry.alias("f"),
+        )
         .where((listed > 0) | (F.coalesce(F.col("f.count"), F.lit(0)) != 0))
         .select(
             "date", "field_pos",
@@ -126,7 +130,22 @@ def _upsert(existing: DataFrame | None, batch: DataFrame, kind: str) -> DataFram
     if existing is None:
         return reduce_batch(batch, kind)
     stored = existing.drop("seq").withColumn("seq", F.lit(STORED_SEQ).cast("bigint"))
-    return reduce_batch(stored.unionByName(batch), kind)
+    touched, rest = _by_batch_keys(stored, batch, KEYS[kind])
+    winners = reduce_batch(touched.unionByName(batch), kind)
+    return winners if rest is None else winners.unionByName(rest)
+
+
+def _by_batch_keys(stored: DataFrame, batch: DataFrame, key: str):
+    """Stored rows with a key of the batch, and the others.
+
+    A batch with few keys is told apart without moving the stored table, so only
+    the touched rows are shuffled.  Otherwise all rows count as touched.
+    """
+    keys = batch.select(key).distinct()
+    if not fits(keys, BROADCAST_ROWS):
+        return stored, None
+    few = F.broadcast(keys)
+    return stored.join(few, key, "left_semi"), stored.join(few, key, "left_anti")
 
 
 def upsert_newer(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -162,9 +181,13 @@ def change_report(existing: DataFrame | None, batch: DataFrame, kind: str) -> Da
     at = F.col(version) if version else F.lit("")
     columns = [F.col(key).alias("k"), _text(at).alias("v"), F.col("seq").cast("bigint").alias("seq")]
     rows = batch.select(*columns, F.lit(False).alias("stored"))
+    others = F.lit(0).cast("bigint")
     if existing is not None:
         old = existing.drop("seq").withColumn("seq", F.lit(STORED_SEQ))
+        old, rest = _by_batch_keys(old, batch, key)
         rows = old.select(*columns, F.lit(True).alias("stored")).unionByName(rows)
+        if rest is not None:
+            others = rest.agg(F.count("*")).scalar()
     if version is None:
         # Nothing is ever updated, so counting keys is enough.
         per_key = rows.groupBy("k").agg(
@@ -176,7 +199,7 @@ def change_report(existing: DataFrame | None, batch: DataFrame, kind: str) -> Da
             F.lit(0).cast("bigint").alias("updated"),
             F.count("*").alias("total"),
             F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_keys"),
-        )
+        ).withColumn("total", F.col("total") + others)
     seen = running_max(rows, "k", "seq", "v", "before")
     fresh = ~F.col("stored")
     first = F.col("before").isNull()
@@ -185,7 +208,7 @@ def change_report(existing: DataFrame | None, batch: DataFrame, kind: str) -> Da
         F.count_if(fresh & (F.col("v") > F.col("before"))).alias("updated"),
         F.count_if(first).alias("total"),
         F.count_if(fresh & (F.col("k") == "")).alias("blank_keys"),
-    )
+    ).withColumn("total", F.col("total") + others)
 
 
 def action_day_summary(actions: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 
 
 def running_max(
-    df: DataFrame, key: str, seq: str, value: str, out: str, chunks: int = 4096
+    df: DataFrame, key: str, seq: str, value: str, out: str, chunks: int = 16384
 ) -> DataFrame:
     """Largest ``value`` of the same key at a strictly smaller ``seq``.
 

@@ -148,7 +148,8 @@ def _by_sent_queries(queries, rows, k, metric, skip_self) -> DataFrame | None:
             if batch.num_rows and len(vectors):
                 whole = pa.Table.from_batches([batch])
                 state.add(whole.drop_columns(["embedding"]), matrix(whole.column("embedding")))
-        yield from state.result(arrow).to_batches()
+        for hits in state.results(arrow):
+            yield from hits.to_batches()
 
     return rows.mapInArrow(scan, schema)
 

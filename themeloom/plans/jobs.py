@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themeloom.functions.text import industry_of
 from themeloom.operators import concepts, corpus, embed, feeds, merge, quality, quotes, search, universe
 from themeloom.operators.merge import BOARD_SOURCE, QUOTE_SOURCE, WEB_SOURCE
 from themeloom.session import materialize
@@ -69,8 +70,10 @@ def job_update(
     if stored is None:
         todo = docs
     elif changed:
-        same = stored.select(F.col("id").alias("code"), F.col("document").alias("content"))
-        todo = docs.join(same, ["code", "content"], "left_anti")
+        same = stored.select(F.col("id").alias("code"), F.sha2("document", 256).alias("digest"))
+        todo = docs.withColumn("digest", F.sha2("content", 256)).join(
+            same, ["code", "digest"], "left_anti"
+        ).drop("digest")
     else:
         todo = universe.new_keys(docs, stored.select(F.col("id").alias("code")))
     todo = materialize(todo, "update")
@@ -94,8 +97,8 @@ def job_query_text(
 
 
 def _refresh_actions(spark: SparkSession, landing: str, store: str, date: str) -> DataFrame:
-    good, _ = landed.read_feed(spark, f"{landing}/action", "action")
-    today = feeds.flatten_actions(good.where(F.col("date") == F.lit(date).cast("date")))
+    good, _ = landed.read_feed(spark, f"{landing}/action", "action", start=date)
+    today = feeds.flatten_actions(good)
     tables.write_by_date(today, f"{store}/action", force=True)
     stored = tables.read_by_date(spark, f"{store}/action", today.schema)
     return feeds.action_day_summary(stored.where(F.col("date") == F.lit(date).cast("date")))
@@ -152,7 +155,7 @@ def job_backfill(spark: SparkSession, landing: str, store: str, start: str, end:
     # One row per calendar day.
     good = landed.usable(judged, "action").join(F.broadcast(todo), "date", "left_semi")
     tables.write_by_date(feeds.flatten_actions(good), path)
-    seen = have.unionByName(judged.select(F.col("name").cast("date").alias("date"))).distinct()
+    seen = have.unionByName(judged.select(F.expr(landed.DATE_OF).alias("date"))).distinct()
     return spine.join(seen.withColumn("ok", F.lit(True)), "date", "left").select(
         "date", F.when(F.col("ok"), "success").otherwise("failed").alias("status")
     )
@@ -185,16 +188,12 @@ def collect_web(
 ) -> DataFrame:
     """Web drafts: concepts with descriptions and industry per stock.
 
-    ``pages`` has one page per stock, and a page bounds its list of concepts.
+    ``pages`` has one page per stock; both are read off within the page's row.
     """
     todo = stocks if existing is None else universe.new_keys(stocks, existing)
-    found = concepts.extract_concepts(pages).groupBy("code").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "name", "description"))).alias("c")
-    ).select("code", F.transform(
-        "c", lambda x: F.struct(x["name"].alias("name"), x["description"].alias("description"))
-    ).alias("concepts_ths"))
+    named = pages.withColumn("industry", industry_of(F.col("html")))
     drafts = (
-        todo.join(found, "code", "left").join(concepts.extract_industry(pages), "code", "left")
+        todo.join(concepts.page_concepts(named, "industry"), "code", "left")
         .withColumn("concepts_ths", F.coalesce(
             "concepts_ths", F.array().cast("array<struct<name:string,description:string>>")
         ))

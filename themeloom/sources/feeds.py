@@ -10,12 +10,18 @@ from themeloom.sources.drafts import decoded
 
 # Fixed value: the error code of a good answer.
 NO_ERROR = "0"
+# The date a response is named by, and the number of its part.
+DATE_OF = "try_cast(substring(name, 1, 10) AS DATE)"
+PART_OF = "try_cast(nullif(regexp_extract(name, '_([0-9]+)$', 1), '') AS INT)"
 
 
-def landed(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value) of the landed JSON files, whole; ``name`` is the file stem."""
+def landed(spark: SparkSession, path: str, start: str = "") -> DataFrame:
+    """(name, value) of the landed JSON files, whole; ``name`` is the file stem.
+
+    Only files whose name begins with ``start`` are listed.
+    """
     return (
-        spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+        spark.read.option("pathGlobFilter", f"{start}*.json").text(path, wholetext=True)
         .select(
             F.regexp_extract(decoded(F.col("_metadata.file_name")), r"(.+)\.json$", 1).alias("name"),
             "value",
@@ -26,8 +32,8 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
 def judge(envelopes: DataFrame, kind: str) -> DataFrame:
     """Parse envelopes (name, value) and say in ``reason`` why one is no good.
 
-    Movers are named by date and need data; notes and events are named by page
-    and need error code 0.
+    Movers are named by date, as in 2024-01-31 or, in parts, 2024-01-31_2, and
+    need data; notes and events are named by page and need error code 0.
     """
     parsed = envelopes.withColumn("e", F.from_json("value", ENVELOPES[kind].simpleString()))
     data, code = F.col("e.data"), F.col("e.errCode")
@@ -35,6 +41,7 @@ def judge(envelopes: DataFrame, kind: str) -> DataFrame:
     reason = F.when(unreadable, "unreadable")
     if kind == "action":
         reason = reason.when(data.isNull() | (F.size(data) == 0), "no data")
+        reason = reason.when(F.expr(DATE_OF).isNull(), "no date")
     else:
         reason = reason.when(F.coalesce(code, F.lit("")) != NO_ERROR, "error code")
         reason = reason.when(data.isNull(), "no data")
@@ -42,13 +49,15 @@ def judge(envelopes: DataFrame, kind: str) -> DataFrame:
 
 
 def usable(judged: DataFrame, kind: str, one_run: bool = True) -> DataFrame:
-    """(date, data) of valid mover envelopes, or (page, data) of the other feeds.
+    """(date, part, data) of valid mover envelopes, or (page, data) of the other feeds.
 
     ``one_run`` says that the pages belong together, so that paging rules apply.
     """
     if kind == "action":
         return judged.where("reason is null").select(
-            F.col("name").cast("date").alias("date"), F.col("e.data").alias("data")
+            F.expr(DATE_OF).alias("date"),
+            F.coalesce(F.expr(PART_OF), F.lit(0)).alias("part"),
+            F.col("e.data").alias("data"),
         )
     page = F.coalesce(F.expr("try_cast(name AS INT)"), F.lit(1))
     pages = judged.select(page.alias("page"), F.col("e.data").alias("data"), "reason")
@@ -61,8 +70,10 @@ def usable(judged: DataFrame, kind: str, one_run: bool = True) -> DataFrame:
     return pages.where("reason is null").select("page", "data")
 
 
-def read_feed(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+def read_feed(
+    spark: SparkSession, path: str, kind: str, start: str = ""
+) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejects) of the files landed for one run."""
-    judged = judge(landed(spark, path), kind)
+    judged = judge(landed(spark, path, start), kind)
     rejects = judged.where(F.col("reason").isNotNull()).select("name", "value", "reason")
     return usable(judged, kind), rejects

@@ -26,7 +26,10 @@ def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
         .select(decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("content"))
     )
     hidden = matching(spark, folder, HIDDEN)
-    return seen.unionByName(_read_named(spark, folder, hidden)) if hidden else seen
+    if hidden:
+        seen = seen.unionByName(_read_named(spark, folder, hidden))
+    # Every line end counts as a line feed.
+    return seen.withColumn("content", F.regexp_replace("content", "\r\n?", "\n"))
 
 
 def _read_named(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
