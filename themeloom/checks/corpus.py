@@ -286,7 +286,7 @@ def vector_sql(source: str, key: str, text: str, name: str, dim: int = DIM) -> s
 
 
 def _sparse(vectors: DataFrame, key: str) -> DataFrame:
-    return vectors.select(key, F.posexplode("embedding").alias("bucket", "x")).where("x <> 0").select(
+    return vectors.select(key, F.posexplode_outer("embedding").alias("bucket", "x")).where("x <> 0").select(
         key, "bucket", F.round("x", 6).alias("x")
     )
 
@@ -301,7 +301,7 @@ def embed_documents(spark, sf):
     SELECT key AS keyword, doc_freq, idf, bucket, round(x, 6) AS x FROM e JOIN keywords ON token = key""")
 def embed_keywords(spark, sf):
     rows = embed.embed_keywords(corpus.extract_keywords(docs(spark, sf)), DIM)
-    return rows.select("keyword", "doc_freq", "idf", F.posexplode("embedding").alias("bucket", "x")).where(
+    return rows.select("keyword", "doc_freq", "idf", F.posexplode_outer("embedding").alias("bucket", "x")).where(
         "x <> 0"
     ).withColumn("x", F.round("x", 6))
 

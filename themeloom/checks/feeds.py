@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.checks.base import Registry, code, code_sql, table
 from themeloom.operators import feeds, universe
 from themeloom.plans import jobs
-from themeloom.session import scratch_path
+from themeloom.session import materialize, scratch_path
 from themeloom.sources import feeds as landed
 from themeloom.sources import tables
 from themeloom.sources.files import write_files
@@ -220,11 +220,6 @@ def note_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _half(c: str, first: bool):
-    cut = F.lit(f"{SPLIT} 00:00:00").cast("timestamp")
-    return F.col(c) < cut if first else F.col(c) >= cut
-
-
 NOTES = f"""notes AS (
   SELECT CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) ELSE '' END AS industry_id,
     event_type AS title, props AS keyword, '' AS content,
@@ -256,7 +251,7 @@ WINNERS = f"""stored AS (
 
 
 def _note_halves(spark, sf):
-    rows = notes(spark, sf)
+    rows = materialize(notes(spark, sf), "notes")
     early = F.col("create_time") < SPLIT
     return feeds.upsert_newer(None, rows.where(early)).drop("seq"), rows.where(~early)
 
@@ -355,7 +350,7 @@ def flatten_timeline(spark, sf):
 
 
 def _line_halves(spark, sf):
-    rows = timeline(spark, sf)
+    rows = materialize(timeline(spark, sf), "timeline")
     early = F.col("grade") < 16
     return feeds.insert_absent(None, rows.where(early)).drop("seq"), rows.where(~early)
 

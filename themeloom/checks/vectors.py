@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.checks.base import Registry, code, code_sql, table
@@ -166,12 +166,15 @@ def score_pairs(spark, sf):
     return search.score_pairs(_pairs(spark, sf), doc_vectors(spark, sf))
 
 
-@R.add("w2_ranked", f"""WITH {DOC}, {PAIRS}
-    SELECT id_a, id_b, cosine, CAST(row_number() OVER (
-      PARTITION BY id_a ORDER BY cosine DESC, id_b) AS INTEGER) AS rank FROM pairs""")
+@R.add("w2_ranked", f"""WITH {DOC}, hits AS (
+      SELECT q.vec_id AS query_id, d.id, {cos_sql('q.v', 'd.v')} AS c FROM doc q, doc d),
+    best AS (
+      SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1.0 - c, id) <= 5)
+    SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INTEGER) AS rank
+    FROM best""")
 def ranked(spark, sf):
-    scored = search.score_pairs(_pairs(spark, sf), doc_vectors(spark, sf))
-    return search.ranked(scored, [F.desc("cosine"), "id_b"], "id_a")
+    hits = search.nearest(_all_queries(spark, sf), doc_vectors(spark, sf), 5, "cosine").drop("rank")
+    return search.ranked(hits, ["id"]).select("query_id", "id", "rank")
 
 
 @R.add("j4_get_by_ids", f"""WITH {DOC}
@@ -183,7 +186,7 @@ def get_by_ids(spark, sf):
 
 
 def _flat(centers: DataFrame) -> DataFrame:
-    return centers.select("cluster_id", F.posexplode("embedding").alias("pos", "x")).select(
+    return centers.select("cluster_id", F.posexplode_outer("embedding").alias("pos", "x")).select(
         "cluster_id", "pos", (F.round("x", 6) + F.lit(0.0)).alias("mean")
     )
 

@@ -21,6 +21,7 @@ from themeloom.operators.search import assign_lists, nearest
 SEED = 42
 STARTS = 10
 MAX_ITERATIONS = 300
+ROWS_PER_TASK = 20_000
 
 
 def as_double(c="embedding"):
@@ -133,7 +134,7 @@ def cluster_table(labelled: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def kmeans(
-    pool: DataFrame, k: int = 3, seed: int = SEED, starts: int = STARTS, parallel: int = 4
+    pool: DataFrame, k: int = 3, seed: int = SEED, starts: int = STARTS, parallel: int = STARTS
 ) -> Clustering:
     """Cluster (id, stock_name, embedding) into at most ``k`` groups.
 
@@ -146,7 +147,9 @@ def kmeans(
     if k < 2:
         return single_cluster(pool)
     rows = pool.withColumn("_v", array_to_vector(as_double()))
-    held = rows.select("id", "_v").persist(StorageLevel.MEMORY_AND_DISK)
+    # A small pool is one short task per iteration rather than many tiny ones.
+    held = rows.select("id", "_v").coalesce(max(1, n // ROWS_PER_TASK))
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def fit(s: int):
             return KMeans(

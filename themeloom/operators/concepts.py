@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
+from themeloom.operators.scale import once
 
 
 def _row_event(part):
@@ -36,9 +37,8 @@ def page_concepts(pages: DataFrame, *rest: str) -> DataFrame:
         F.split(F.regexp_extract("html", tx.REGION, 1), tx.ROW_START),
         lambda p: p.startswith("<tr"),
     )
-    events = pages.select("code", *rest, F.transform(parts, _row_event).alias("events")).select(
-        "code", *rest, F.filter("events", lambda e: e["kind"].isNotNull()).alias("events")
-    )
+    meaning = F.filter(F.transform(parts, _row_event), lambda e: e["kind"].isNotNull())
+    events = once(pages.select("code", *rest, "html"), "events", meaning)
     paired = events.select(
         "code", *rest,
         F.zip_with(
@@ -60,9 +60,8 @@ def page_concepts(pages: DataFrame, *rest: str) -> DataFrame:
 
 def extract_concepts(pages: DataFrame) -> DataFrame:
     """(code, pos, name, description): the concepts of the pages, one per row."""
-    return page_concepts(pages).select("code", F.posexplode("concepts_ths").alias("pos", "c")).select(
-        "code", "pos", "c.name", "c.description"
-    )
+    rows = page_concepts(pages).select("code", F.posexplode_outer("concepts_ths").alias("pos", "c"))
+    return rows.where(F.col("pos").isNotNull()).select("code", "pos", "c.name", "c.description")
 
 
 def extract_industry(pages: DataFrame) -> DataFrame:

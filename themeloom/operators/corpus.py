@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
 from themeloom.functions.stopwords import STOP_WORDS
-from themeloom.operators.scale import checked_broadcast
+from themeloom.operators.scale import checked_broadcast, spread
 
 # Word classes a keyword may have, and its shortest length.
 NOUN_CLASSES = ("n", "nr", "ns", "nt", "nz", "vn", "an", "eng")
@@ -61,9 +61,13 @@ def tokenize(docs: DataFrame, lexicon: DataFrame | None = None, text: str = "con
     no shuffle is needed to count documents later.
     """
     keep = [c for c in docs.columns if c != text]
-    runs = docs.select(*keep, F.array_distinct(tx.words(F.col(text))).alias("runs"))
-    han = F.filter("runs", tx.has_han)
-    plain = F.filter("runs", lambda r: ~tx.has_han(r))
+    runs = spread(docs).select(
+        *keep, F.array_distinct(tx.words(F.col(text))).alias("runs"), tx.has_han(F.col(text)).alias("_han")
+    )
+    # Most texts need not look at their runs one by one.
+    none = F.slice("runs", 1, 0)
+    han = F.when(F.col("_han"), F.filter("runs", tx.has_han)).otherwise(none)
+    plain = F.when(F.col("_han"), F.filter("runs", lambda r: ~tx.has_han(r))).otherwise(F.col("runs"))
     if lexicon is None:
         words = runs.select(*keep, F.explode(plain).alias("token"))
         return words.withColumn("pos", _run_class())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions import text as tx
+from themeloom.operators.scale import spread
 from themeloom.schemas import VECTOR
 
 DIM = 512
@@ -20,11 +21,12 @@ DIM = 512
 
 def _features(text):
     """Words as they are, Chinese runs as character pairs; repeats count."""
-    return F.flatten(F.transform(
-        tx.words(text),
+    found = tx.words(text)
+    return F.when(tx.has_han(text), F.flatten(F.transform(
+        found,
         lambda r: F.when(tx.has_han(r) & (F.char_length(r) > 1), tx.grams(r, 2))
         .otherwise(F.array(r)),
-    ))
+    ))).otherwise(found)
 
 
 def _slot(token, dim: int):
@@ -44,9 +46,9 @@ def embed_documents(df: DataFrame, dim: int = DIM, text: str = "content") -> Dat
         [str(i) for i in range(2 * dim)], inputCol="_slots", outputCol="_counts"
     )
     slots = F.transform(_features(F.col(text)), lambda t: _slot(t, dim).cast("string"))
-    counted = counter.transform(df.withColumn("_slots", F.coalesce(slots, F.array().cast("array<string>"))))
-    spread = counted.withColumn("_c", vector_to_array("_counts"))
-    signed = spread.withColumn("_raw", array_to_vector(F.zip_with(
+    counted = counter.transform(spread(df).withColumn("_slots", F.coalesce(slots, F.array().cast("array<string>"))))
+    dense = counted.withColumn("_c", vector_to_array("_counts"))
+    signed = dense.withColumn("_raw", array_to_vector(F.zip_with(
         F.slice("_c", 1, dim), F.slice("_c", dim + 1, dim), lambda plus, minus: plus - minus
     )))
     scaled = Normalizer(p=2.0, inputCol="_raw", outputCol="_unit").transform(signed)
@@ -100,4 +102,4 @@ def embed_with(
             whole = np.divide(whole, length, out=np.zeros_like(whole), where=length > 0)
             yield batch.assign(embedding=list(whole))
 
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import nonempty, present
-from themeloom.operators.scale import BROADCAST_ROWS, fits, running_max
+from themeloom.operators.scale import BROADCAST_ROWS, fits, once, running_max
 from themeloom.schemas import ACTION_FIELD
+from themeloom.session import materialize
 
 INDUSTRY_FIELDS = (
     "industry_id", "title", "keyword", "content", "create_time", "update_time", "browsers_count",
@@ -35,12 +36,13 @@ def action_fields(raw: DataFrame) -> DataFrame:
     """
     entry = F.from_json("entry", ACTION_FIELD.simpleString())
     listed = F.coalesce(F.size(F.col("f.list")), F.lit(0))
+    entries = raw.select(
+        "date", "part", F.posexplode_outer("data").alias("pos", "entry")
+    ).where(F.ltrim(F.col("entry")).startswith("{"))
     return (
-        raw.select("date", "part", F.posexplode("data").alias("pos", "entry"))
-        .where(F.ltrim(F.col("entry")).startswith("{"))
+        once(entries, "f", entry)
         .select(
-            "date", (F.col("part").cast("bigint") * PAGE_STRIDE + F.col("pos")).alias("field_pos"),
-            entry.alias("f"),
+            "date", (F.col("part").cast("bigint") * PAGE_STRIDE + F.col("pos")).alias("field_pos"), "f"
         )
         .where((listed > 0) | (F.coalesce(F.col("f.count"), F.lit(0)) != 0))
         .select(
@@ -75,7 +77,8 @@ def flatten_actions(raw: DataFrame) -> DataFrame:
 def flatten_industry(raw: DataFrame) -> DataFrame:
     """Industry notes of all pages in order; ``raw`` has (page, data)."""
     item = F.col("item")
-    return raw.select("page", F.posexplode("data.result").alias("pos", "item")).select(
+    items = raw.select("page", F.posexplode_outer("data.result").alias("pos", "item"))
+    return items.where(F.col("pos").isNotNull()).select(
         (F.col("page").cast("bigint") * PAGE_STRIDE + F.col("pos")).alias("seq"),
         *[_text(item[c]).alias(c) for c in INDUSTRY_FIELDS[:-1]],
         F.coalesce(item["browsers_count"], F.lit(0)).alias("browsers_count"),
@@ -153,7 +156,8 @@ def upsert_newer(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
 
     Applying rows one after the other keeps the running maximum of the version,
     hence the winner is the greatest version, first seen among equals.
-    ``existing`` holds one row per key; ``batch`` carries ``seq``, its order.
+    ``existing`` holds one row per key; ``batch`` carries ``seq``, its order, and
+    is read several times, so it should be a table rather than a long plan.
     """
     return _upsert(existing, batch, "industry")
 
@@ -200,7 +204,8 @@ def change_report(existing: DataFrame | None, batch: DataFrame, kind: str) -> Da
             F.count("*").alias("total"),
             F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_keys"),
         ).withColumn("total", F.col("total") + others)
-    seen = running_max(rows, "k", "seq", "v", "before")
+    # Several passes follow; the slim table is written once for them.
+    seen = running_max(materialize(rows, "versions"), "k", "seq", "v", "before")
     fresh = ~F.col("stored")
     first = F.col("before").isNull()
     return seen.agg(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import strip
+from themeloom.operators.scale import once
 
 # Texts of the issues.
 EMPTY = "文件内容为空"
@@ -68,7 +69,7 @@ def validate_summaries(df: DataFrame, profile: Profile = LEGACY) -> DataFrame:
     issues = F.when(strip(content) == "", F.array(F.lit(EMPTY))).otherwise(
         F.array_compact(F.array(*checks))
     )
-    return df.select("file_name", issues.alias("issues"))
+    return once(df.select("file_name", "content"), "issues", issues).drop("content")
 
 
 def validation_report(issues: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def flag_statements(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
         ])).cast("array<string>")
 
     return (
-        df.withColumn("_drop", hits("drop")).withColumn("_tag", hits("tag"))
+        once(once(df, "_drop", hits("drop")), "_tag", hits("tag"))
         .withColumn("flags", F.concat("_drop", "_tag"))
         .withColumn("keep", F.size("_drop") == 0)
         .withColumn("core", (F.size("_drop") == 0) & (F.size("_tag") == 0))

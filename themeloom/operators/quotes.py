@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import strip
+from themeloom.operators.scale import once
 from themeloom.schemas import QUOTE_FIELDS
 
 # 0-based positions in a quote line, and its smallest field count.
@@ -21,12 +22,10 @@ MIN_FIELDS = 48
 def split_lines(lines: DataFrame) -> DataFrame:
     """Each line with its fields and, if it is unusable, the reason why."""
     text = F.split_part(F.col("line"), F.lit('"'), F.lit(2))
-    cut = lines.withColumn("line", strip(F.col("line"))).withColumn(
-        "_f", F.split(text, "~", -1)
-    )
+    cut = once(lines.withColumn("line", strip(F.col("line"))), "_f", F.split(text, "~", -1))
     reason = (
         F.when(~F.col("line").contains("="), "no assignment")
-        .when(text == "", "no quoted text")
+        .when(F.get("_f", F.lit(0)).eqNullSafe("") & (F.size("_f") == 1), "no quoted text")
         .when(F.size("_f") < MIN_FIELDS, "too few fields")
         .when(F.get("_f", F.lit(POSITIONS["code"])) == "", "no code")
     )

@@ -2,13 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from themeloom.sources.storage import file_size
+
 # A side is broadcast only if it was counted and found no larger than this.
 BROADCAST_ROWS = 200_000
 
 
+# A scan is spread over the cores before heavy work if it is at least this large,
+# so that there is something to share, and below the second size per core.
+WORTH_SHARING = 2 << 20
+SMALL_SCAN = 128 << 20
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose value is computed once per row.
+
+    The optimizer copies an expression into every filter on it that it pushes
+    down.  It does not push filters through a generator, so a one-element explode
+    keeps costly parsing from being repeated.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it reads only a few small files.
+
+    A file with one row group is one task, however many cores wait.  Tables of
+    any size worth the name have files enough and stay as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    size = sum(file_size(spark, f) for f in files)
+    if not WORTH_SHARING <= size <= cores * SMALL_SCAN:
+        return df
+    return df.repartition(cores)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows, reading no more than needed."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from themeloom.functions import vectors as vx
 from themeloom.functions.blocks import Nearest, closest, matrix
-from themeloom.operators.scale import checked_broadcast
+from themeloom.operators.scale import checked_broadcast, spread
 from themeloom.session import scratch_path
 
 # Query vectors are sent to every task only below this size.
@@ -29,6 +29,7 @@ ROW_BLOCK = 32768
 MAX_LITERAL_IDS = 1000
 # Most centers an index may have; they are sent to every task.
 MAX_LISTS = 4096
+MIN_PROBES = 32
 
 
 def get_by_ids(collection: DataFrame, ids: DataFrame | Sequence, key: str = "id") -> DataFrame:
@@ -72,8 +73,8 @@ def similar_to_id(
 def _take(collection: DataFrame, target, k: int, metric: str) -> DataFrame:
     hits = (
         collection.withColumn("_target", target)
+        .where(F.col("embedding").isNotNull() & F.col("_target").isNotNull())
         .select("id", "stock_name", vx.distance(F.col("embedding"), F.col("_target"), metric).alias("d"))
-        .where(F.col("d").isNotNull())
         .orderBy("d", "id").limit(k)
     )
     # The window runs over the k rows left, not over the collection.
@@ -84,7 +85,7 @@ def _take(collection: DataFrame, target, k: int, metric: str) -> DataFrame:
 
 
 def ranked(hits: DataFrame, by: Sequence[str] = ("d", "id"), per: str = "query_id") -> DataFrame:
-    """Add the 1-based ``rank`` of the hits of each query."""
+    """Add the 1-based ``rank`` of the hits of each query, of which there are a few."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*by)))
 
 
@@ -151,7 +152,7 @@ def _by_sent_queries(queries, rows, k, metric, skip_self) -> DataFrame | None:
         for hits in state.results(arrow):
             yield from hits.to_batches()
 
-    return rows.mapInArrow(scan, schema)
+    return spread(rows).mapInArrow(scan, schema)
 
 
 def _block_of(key: str, blocks: int):
@@ -277,15 +278,17 @@ def assign_lists(rows: DataFrame, centers: np.ndarray, out: str = "list") -> Dat
                     batch.columns + [pa.array(near, pa.int32())], batch.schema.names + [out]
                 )
 
-    return rows.mapInArrow(label, schema)
+    return spread(rows).mapInArrow(label, schema)
 
 
 def approx_topk(
-    queries: DataFrame, index: VectorIndex, k: int = 10, probes: int = 8, metric: str = "l2sq",
-    skip_self: bool = False,
+    queries: DataFrame, index: VectorIndex, k: int = 10, probes: int | None = None,
+    metric: str = "l2sq", skip_self: bool = False,
 ) -> DataFrame:
     """Like :func:`topk`, looking only into the ``probes`` lists nearest to a query.
 
+    More probes find more of the true neighbours; :func:`recall` tells how many.
+    By default 32 lists or, of a large index, a sixteenth are looked into.
     A list larger than ``ROW_BLOCK`` is split into shards by row id and its
     queries go to each shard, so no task gets more than a bounded block.
     """
@@ -295,6 +298,7 @@ def approx_topk(
         [(i, c.tolist()) for i, c in enumerate(centers)], "list int, embedding array<double>"
     )
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    probes = probes or max(MIN_PROBES, len(centers) // 16)
     probed = nearest(asked, center_rows, min(probes, len(centers)), "l2sq", "list").select(
         "query_id", F.col("id").alias("list")
     )

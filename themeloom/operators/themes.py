@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from themeloom.operators.clusters import Clustering, centroids, kmeans, single_cluster
 from themeloom.operators.search import get_by_ids, topk_keywords
+from themeloom.session import materialize
 
 # Pool size per cluster, and lengths of the headline and preview.
 STOCKS_PER_CLUSTER = 3
@@ -63,7 +64,12 @@ def label_themes(labelled: DataFrame, keywords: DataFrame, top: int = 10) -> Dat
 
 def cluster_pool(pool, collection: DataFrame, k: int = 3) -> Clustering:
     """Cluster the stored vectors of a pool of ids (a table or a list)."""
-    return kmeans(get_by_ids(collection, pool), k)
+    return kmeans(_pool_vectors(pool, collection), k)
+
+
+def _pool_vectors(pool, collection: DataFrame) -> DataFrame:
+    """The vectors of a pool as a table of its own, since many jobs read them."""
+    return materialize(get_by_ids(collection, pool).select("id", "stock_name", "embedding"), "pool")
 
 
 def analyze_themes(
@@ -73,7 +79,7 @@ def analyze_themes(
 
     The number of clusters is at most a third of the pool.
     """
-    vectors = get_by_ids(collection, pool)
+    vectors = _pool_vectors(pool, collection)
     parts = theme_count(vectors.count(), k)
     result = single_cluster(vectors) if parts == 1 else kmeans(vectors, parts)
     return theme_table(result.labelled, result.centers, keywords, top)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themeloom.operators.scale import once
 from themeloom.schemas import ENVELOPES
 from themeloom.sources.drafts import decoded
 
@@ -35,7 +36,7 @@ def judge(envelopes: DataFrame, kind: str) -> DataFrame:
     Movers are named by date, as in 2024-01-31 or, in parts, 2024-01-31_2, and
     need data; notes and events are named by page and need error code 0.
     """
-    parsed = envelopes.withColumn("e", F.from_json("value", ENVELOPES[kind].simpleString()))
+    parsed = once(envelopes, "e", F.from_json("value", ENVELOPES[kind].simpleString()))
     data, code = F.col("e.data"), F.col("e.errCode")
     unreadable = F.col("e").isNull() | (code.isNull() & data.isNull())
     reason = F.when(unreadable, "unreadable")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.sources.drafts import decoded
-from themeloom.sources.tables import matching
+from themeloom.sources.storage import matching
 
 # File sources pass over names that start like this; summaries may have them.
 HIDDEN = "{_,.}*.md"

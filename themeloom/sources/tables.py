@@ -7,35 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.operators.universe import new_keys
+from themeloom.sources.storage import children, exists
 
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _fs(spark, path)
-    return fs.exists(where)
-
-
-def children(spark: SparkSession, path: str) -> list[str]:
-    """Names of the entries of a folder, sorted; empty if there is no folder."""
-    fs, where = _fs(spark, path)
-    if not fs.exists(where):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(where))
-
-
-def matching(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """Names in a folder that fit a glob, sorted."""
-    fs, where = _fs(spark, f"{folder}/{pattern}")
-    return sorted(s.getPath().getName() for s in fs.globStatus(where) or [])
-
-
 def write_merged(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One record per code, replacing what is there.
 

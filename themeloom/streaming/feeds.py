@@ -10,6 +10,7 @@ from themeloom.operators.feeds import KEYS, VERSIONS
 from themeloom.sources import feeds as landed
 from themeloom.sources import tables
 from themeloom.sources.drafts import decoded
+from themeloom.sources.storage import children, exists
 
 FLATTEN = {"industry": feeds.flatten_industry, "timeline": feeds.flatten_timeline}
 
@@ -58,8 +59,8 @@ def _pending(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
     """Deltas newer than the stored snapshot, with the number of the latest."""
     done = _last_batch(spark, path)
     batches = sorted(
-        int(c.split("=", 1)[1]) for c in tables.children(spark, f"{path}/deltas")
-        if c.startswith("batch=") and tables.exists(spark, f"{path}/deltas/{c}/_SUCCESS")
+        int(c.split("=", 1)[1]) for c in children(spark, f"{path}/deltas")
+        if c.startswith("batch=") and exists(spark, f"{path}/deltas/{c}/_SUCCESS")
     )
     todo = [b for b in batches if b > done]
     if not todo:
