@@ -35,12 +35,10 @@ def centroids(vectors: DataFrame, group: str | None = None) -> DataFrame:
     partial vector per task.  Means are not scaled to length one.
     """
     mean = vector_to_array(Summarizer.mean(array_to_vector(as_double()))).alias("embedding")
-    if group is None:
-        # A pool without rows has no centroid.
-        return vectors.agg(F.count("*").alias("n"), mean).where("n > 0").select(
-            F.lit(0).alias("cluster_id"), "embedding"
-        )
-    return vectors.groupBy(F.col(group).alias("cluster_id")).agg(mean)
+    # Grouping by a constant gives no row for a pool without rows.
+    key = F.lit(0) if group is None else F.col(group)
+    known = vectors.where(F.col("embedding").isNotNull())
+    return known.groupBy(key.alias("cluster_id")).agg(mean)
 
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:

@@ -28,7 +28,3 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where))
 
 
-def matching(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """Names in a folder that fit a glob, sorted."""
-    fs, where = _at(spark, f"{folder}/{pattern}")
-    return sorted(s.getPath().getName() for s in fs.globStatus(where) or [])

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.sources.drafts import decoded
-from themeloom.sources.storage import matching
 
-# File sources pass over names that start like this; summaries may have them.
-HIDDEN = "{_,.}*.md"
-NAMES_PER_TASK = 200
+SUFFIX = ".md"
+# Fixed value: file sources pass over names that start like this.
+HIDDEN = ("_", ".")
 
 
 def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,22 +21,39 @@ def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
     Rows carry no order; sort by ``file_name`` where the order matters.
     """
     seen = (
-        spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+        spark.read.option("pathGlobFilter", f"*{SUFFIX}").text(folder, wholetext=True)
         .select(decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("content"))
     )
-    hidden = matching(spark, folder, HIDDEN)
-    if hidden:
-        seen = seen.unionByName(_read_named(spark, folder, hidden))
     # Every line end counts as a line feed.
-    return seen.withColumn("content", F.regexp_replace("content", "\r\n?", "\n"))
+    return seen.unionByName(_passed_over(spark, folder)).withColumn(
+        "content", F.regexp_replace("content", "\r\n?", "\n")
+    )
+
+
+def _passed_over(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that a file source leaves out: hidden ones and empty ones.
+
+    They are the exception.  One task looks through the names and sizes, and the
+    few names found are read by other tasks.
+    """
+    uri = folder if "://" in folder else f"file://{folder}"
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
+        store, root = fs.FileSystem.from_uri(uri)
+        for _ in batches:
+            listed = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            yield pd.DataFrame({"file_name": [
+                i.base_name for i in listed
+                if i.is_file and i.base_name.endswith(SUFFIX)
+                and (i.size == 0 or i.base_name.startswith(HIDDEN))
+            ]}, dtype="str")
 
-def _read_named(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """The named files of a folder, read by the tasks."""
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(uri)
         for batch in batches:
             texts = []
             for name in batch["file_name"]:
@@ -45,6 +61,5 @@ def _read_named(spark: SparkSession, folder: str, names: list[str]) -> DataFrame
                     texts.append(stream.read().decode("utf-8"))
             yield batch.assign(content=texts)
 
-    listed = spark.createDataFrame([(n,) for n in names], "file_name string")
-    tasks = max(1, len(names) // NAMES_PER_TASK)
-    return listed.repartition(tasks).mapInPandas(load, "file_name string, content string")
+    names = spark.range(1).mapInPandas(find, "file_name string")
+    return names.repartition("file_name").mapInPandas(load, "file_name string, content string")
