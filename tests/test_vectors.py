@@ -47,6 +47,7 @@ def test_topk_with_many_copies(spark, monkeypatch, path, skip_self):
     pairs = [(f"{i:04d}", v) for i, v in enumerate(vectors)]
     if path == "blocks":
         monkeypatch.setattr(search, "MAX_QUERY_BYTES", 0)
+        monkeypatch.setattr(search, "FEW_QUERIES", 1)
         monkeypatch.setattr(search, "QUERY_BLOCK", 64)
         monkeypatch.setattr(search, "ROW_BLOCK", 50)
     got = by_query(search.topk(as_queries(rows), rows, 7, skip_self=skip_self))

@@ -10,12 +10,13 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as vx
 from themeloom.operators.scale import checked_broadcast
 from themeloom.operators.search import assign_lists, nearest
+from themeloom.session import materialize
 
 # First seed and number of starts of a clustering.
 SEED = 42
@@ -54,9 +55,9 @@ def representatives(labelled: DataFrame, centers: DataFrame) -> DataFrame:
     ``labelled`` has (id, stock_name, embedding, cluster_id); of equal distances
     the smallest code counts.
     """
-    middle = checked_broadcast(
-        centers.select("cluster_id", F.col("embedding").alias("middle")), max_rows=20_000
-    )
+    # Written once, so that counting it does not compute the centroids again.
+    known = materialize(centers.select("cluster_id", F.col("embedding").alias("middle")), "centers")
+    middle = checked_broadcast(known, max_rows=20_000)
     gap = F.sqrt(vx.squared_gap(F.col("embedding"), F.col("middle")))
     return (
         labelled.join(middle, "cluster_id")

@@ -22,6 +22,8 @@ from themeloom.session import scratch_path
 
 # Query vectors are sent to every task only below this size.
 MAX_QUERY_BYTES = 64 << 20
+# So few are fetched before their size is looked at.
+FEW_QUERIES = 1024
 # Upper sizes of the blocks that are compared when they are more than that.
 QUERY_BLOCK = 4096
 ROW_BLOCK = 32768
@@ -130,12 +132,13 @@ def _hit_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
 
 def _by_sent_queries(queries, rows, k, metric, skip_self) -> DataFrame | None:
     spark = rows.sparkSession
-    one = queries.limit(1).select(F.size("embedding").alias("n")).collect()
-    width = one[0].n if one else 1
-    limit = max(1, MAX_QUERY_BYTES // (8 * max(width, 1)))
-    table = queries.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return None
+    table = queries.limit(FEW_QUERIES + 1).toArrow()
+    if table.num_rows > FEW_QUERIES:
+        width = len(table.column("embedding")[0])
+        limit = max(1, MAX_QUERY_BYTES // (8 * max(width, 1)))
+        table = queries.limit(limit + 1).toArrow() if limit > FEW_QUERIES else table
+        if table.num_rows > limit:
+            return None
     schema = _hit_schema(queries, rows)
     sent = spark.sparkContext.broadcast((
         table.column("query_id").combine_chunks(), matrix(table.column("embedding")),

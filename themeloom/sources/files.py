@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.sources.storage import as_uri
+
 
 def write_files(df: DataFrame, folder: str) -> int:
     """Write (name, content) rows as ``folder/name``; returns how many.
@@ -15,10 +17,12 @@ def write_files(df: DataFrame, folder: str) -> int:
     Tasks write their own rows; a file written again by a repeated task has the
     same content.  ``name`` may contain folders.
     """
+    uri = as_uri(folder)
+
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(uri)
         made: set[str] = set()
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"]):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -28,3 +30,9 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where))
 
 
+def as_uri(path: str) -> str:
+    """A path as the URI that tasks open with the Arrow file systems."""
+    if path.startswith("/"):
+        return f"file://{path}"
+    path = re.sub(r"^s3[an]:", "s3:", path)
+    return re.sub(r"^file:/+", "file:///", path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.sources.drafts import decoded
+from themeloom.sources.storage import as_uri
 
 SUFFIX = ".md"
 # Fixed value: file sources pass over names that start like this.
@@ -36,7 +37,7 @@ def _passed_over(spark: SparkSession, folder: str) -> DataFrame:
     They are the exception.  One task looks through the names and sizes, and the
     few names found are read by other tasks.
     """
-    uri = folder if "://" in folder else f"file://{folder}"
+    uri = as_uri(folder)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
