@@ -215,3 +215,39 @@ def test_stream_equals_batch_and_can_be_repeated(spark, folder):
     after = sorted(r.industry_id for r in compact(spark, folder, "industry").collect())
     assert before == after == list("abcd")
     assert compact(spark, folder, "industry").count() == 4
+
+
+def test_daily_runs_add_up(spark, folder):
+    """Deltas and compaction give what applying all batches in turn would give."""
+    from themeloom.plans.jobs import refresh_feed
+    from themeloom.sources import state
+
+    days = [
+        [("a", "1", "x"), ("b", "2", "x")], [("a", "1", "tie"), ("c", "1", "y")],
+        [("a", "3", "z"), ("b", "1", "old")], [("c", "2", "w"), ("", "1", "v"), ("", "2", "u")],
+    ]
+    have: dict = {}
+    for rows in days:
+        want, added, updated = apply_notes([(k, v, t) for k, (v, t) in have.items()], rows)
+        report = refresh_feed(notes(spark, rows), folder, "industry", compact_after=1).first()
+        assert (report.added, report.updated, report.total) == (added, updated, len(want))
+        now = state.read_state(spark, folder, "industry").collect()
+        assert {r.industry_id: (r.update_time, r.title) for r in now} == want
+        have = want
+    assert len(state.pending(spark, folder)) <= 1
+    assert tables.snapshot_meta(spark, folder).first().total >= 3
+    assert refresh_feed(notes(spark, days[0]).where("false"), folder, "industry") is None
+
+
+def test_streamed_parts_of_a_date_stay_apart(spark, folder):
+    def land(name, *names):
+        body = {"data": [{"name": n, "count": 1} for n in names]}
+        write_files(envelopes(spark, (f"{name}.json", json.dumps(body))).withColumnRenamed("value", "content"), f"{folder}/in")
+        stream_feed(spark, f"{folder}/in", folder, "action")
+
+    land("2024-01-05", "a")
+    land("2024-01-05_1", "b", "c")
+    rows = spark.read.parquet(f"{folder}/action")
+    assert sorted((r.part, r.field_name) for r in rows.collect()) == [(0, "a"), (1, "b"), (1, "c")]
+    summary = feeds.action_day_summary(rows).first()
+    assert (summary.n_fields, summary.names) == (3, "a, b, c")

@@ -26,6 +26,11 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))
 
 
+def part_of(field_pos: Column) -> Column:
+    """The part of its date that a field came in."""
+    return F.floor(field_pos / PAGE_STRIDE).cast("int")
+
+
 def action_fields(raw: DataFrame) -> DataFrame:
     """(date, field_pos, field_name, field_reason, stocks) from valid envelopes.
 
@@ -129,7 +134,14 @@ def reduce_batch(batch: DataFrame, kind: str) -> DataFrame:
     return _first_per_key(batch, KEYS[kind], *_ranking(kind))
 
 
-def _upsert(existing: DataFrame | None, batch: DataFrame, kind: str) -> DataFrame:
+def reduce_deltas(deltas: DataFrame, kind: str) -> DataFrame:
+    """The winner of each key over numbered batches; an earlier ``batch`` goes first."""
+    order = [*_ranking(kind)[:-1], F.asc("batch"), F.asc("seq")]
+    return _first_per_key(deltas, KEYS[kind], *order).drop("batch")
+
+
+def upsert(existing: DataFrame | None, batch: DataFrame, kind: str) -> DataFrame:
+    """A feed after a batch, by the rule of its kind."""
     if existing is None:
         return reduce_batch(batch, kind)
     stored = existing.drop("seq").withColumn("seq", F.lit(STORED_SEQ).cast("bigint"))
@@ -159,12 +171,12 @@ def upsert_newer(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
     ``existing`` holds one row per key; ``batch`` carries ``seq``, its order, and
     is read several times, so it should be a table rather than a long plan.
     """
-    return _upsert(existing, batch, "industry")
+    return upsert(existing, batch, "industry")
 
 
 def insert_absent(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Timeline after a batch: stored keys stay, of new keys the first row counts."""
-    return _upsert(existing, batch, "timeline")
+    return upsert(existing, batch, "timeline")
 
 
 def in_feed_order(rows: DataFrame, kind: str) -> DataFrame:

@@ -35,8 +35,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
+    # Counted in the JVM, since a large table may have very many files.
+    files = df._jdf.inputFiles()
+    if not 0 < len(files) < cores:
         return df
     size = sum(file_size(spark, f) for f in files)
     if not WORTH_SHARING <= size <= cores * SMALL_SCAN:

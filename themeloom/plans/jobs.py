@@ -10,7 +10,7 @@ from themeloom.operators import concepts, corpus, embed, feeds, merge, quality,
 from themeloom.operators.merge import BOARD_SOURCE, QUOTE_SOURCE, WEB_SOURCE
 from themeloom.session import materialize
 from themeloom.sources import feeds as landed
-from themeloom.sources import tables
+from themeloom.sources import state, tables
 from themeloom.sources.drafts import conform_draft, read_drafts
 from themeloom.sources.summaries import read_summaries
 
@@ -104,19 +104,24 @@ def _refresh_actions(spark: SparkSession, landing: str, store: str, date: str) -
     return feeds.action_day_summary(stored.where(F.col("date") == F.lit(date).cast("date")))
 
 
-def refresh_snapshot(
-    batch: DataFrame, path: str, kind: str, at: Column | None = None
+def refresh_feed(
+    batch: DataFrame, path: str, kind: str, at: Column | None = None, compact_after: int = 16
 ) -> DataFrame | None:
-    """Merge a batch into a stored feed; returns the change report, or none if
-    the batch is empty, in which case nothing is written."""
+    """Add a batch to a stored feed; returns the change report.
+
+    The batch becomes a delta, and the feed is rewritten only when more than
+    ``compact_after`` of them are waiting.  An empty batch changes nothing and has
+    no report.  Read the feed with :func:`themeloom.sources.state.read_state`.
+    """
     spark = batch.sparkSession
     batch = materialize(batch, kind)
     if batch.isEmpty():
         return None
-    stored = tables.read_snapshot(spark, path)
+    stored = state.read_state(spark, path, kind)
     report = materialize(feeds.change_report(stored, batch, kind), "report")
-    upsert = feeds.upsert_newer if kind == "industry" else feeds.insert_absent
-    tables.write_snapshot(upsert(stored, batch).drop("seq"), path, at)
+    state.append_delta(batch, path, kind, state.next_batch(spark, path))
+    if len(state.pending(spark, path)) > compact_after:
+        state.compact(spark, path, kind, at)
     return report
 
 
@@ -133,8 +138,8 @@ def job_daily_refresh(
     flat = feeds.flatten_timeline(events)
     return {
         "action": _refresh_actions(spark, landing, store, date),
-        "industry": refresh_snapshot(feeds.flatten_industry(notes), f"{store}/industry", "industry", at),
-        "timeline": refresh_snapshot(flat, f"{store}/timeline", "timeline", at),
+        "industry": refresh_feed(feeds.flatten_industry(notes), f"{store}/industry", "industry", at),
+        "timeline": refresh_feed(flat, f"{store}/timeline", "timeline", at),
         "span": feeds.timeline_span(flat),
     }
 

@@ -29,18 +29,21 @@ def stored_dates(spark: SparkSession, path: str) -> list[str]:
     return [c.split("=", 1)[1] for c in children(spark, path) if c.startswith("date=")]
 
 
-def write_by_date(df: DataFrame, path: str, force: bool = False) -> None:
+def write_by_date(df: DataFrame, path: str, force: bool = False, parts: bool = False) -> None:
     """Add the dates of ``df`` to a table partitioned by date.
 
-    Dates already there are skipped or, with ``force``, replaced.  A busy date is
-    split over several tasks and files, small ones share a task.
+    Dates already there are skipped or, with ``force``, replaced.  With ``parts``
+    the table is partitioned by the column ``part`` as well, so that a part can be
+    replaced by itself.  A busy date is split over several tasks and files, small
+    ones share a task.
     """
     spark = df.sparkSession
     if not force:
         have = stored_dates(spark, path)
         if have:
             df = df.where(~F.col("date").cast("string").isin(have))
-    writer = df.hint("rebalance", "date").write.partitionBy("date").option(
+    keys = ["date", "part"] if parts else ["date"]
+    writer = df.hint("rebalance", *keys).write.partitionBy(*keys).option(
         "maxRecordsPerFile", MAX_RECORDS_PER_FILE
     )
     if force:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.operators import feeds
-from themeloom.operators.feeds import KEYS, VERSIONS
 from themeloom.sources import feeds as landed
+from themeloom.sources import state as store
 from themeloom.sources import tables
 from themeloom.sources.drafts import decoded
-from themeloom.sources.storage import children, exists
 
 FLATTEN = {"industry": feeds.flatten_industry, "timeline": feeds.flatten_timeline}
 
@@ -22,7 +21,7 @@ def stream_feed(
 
     Each micro-batch is reduced to one row per key and stored as a delta of its
     own, so its cost follows the batch and not the table.  Running a batch again
-    rewrites the same delta.  Movers go to their date partitions.
+    rewrites the same delta.  Movers go to a partition per date and part.
     """
     source = (
         spark.readStream.format("text").option("wholetext", "true")
@@ -37,10 +36,10 @@ def stream_feed(
     def take(batch: DataFrame, batch_id: int) -> None:
         good = landed.usable(landed.judge(batch, kind), kind, one_run=False)
         if kind == "action":
-            tables.write_by_date(feeds.flatten_actions(good), f"{state}/action", force=True)
-            return
-        rows = feeds.reduce_batch(FLATTEN[kind](good), kind)
-        rows.write.mode("overwrite").parquet(f"{state}/{kind}/deltas/batch={batch_id}")
+            rows = feeds.flatten_actions(good).withColumn("part", feeds.part_of(F.col("field_pos")))
+            tables.write_by_date(rows, f"{state}/action", force=True, parts=True)
+        else:
+            store.append_delta(FLATTEN[kind](good), f"{state}/{kind}", kind, batch_id)
 
     query = (
         files.writeStream.foreachBatch(take)
@@ -50,50 +49,11 @@ def stream_feed(
     query.awaitTermination()
 
 
-def _last_batch(spark: SparkSession, path: str) -> int:
-    meta = tables.snapshot_meta(spark, path)
-    return -1 if meta is None else meta.first()["last_batch"]
-
-
-def _pending(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
-    """Deltas newer than the stored snapshot, with the number of the latest."""
-    done = _last_batch(spark, path)
-    batches = sorted(
-        int(c.split("=", 1)[1]) for c in children(spark, f"{path}/deltas")
-        if c.startswith("batch=") and exists(spark, f"{path}/deltas/{c}/_SUCCESS")
-    )
-    todo = [b for b in batches if b > done]
-    if not todo:
-        return None, done
-    deltas = spark.read.option("basePath", f"{path}/deltas").parquet(
-        *[f"{path}/deltas/batch={b}" for b in todo]
-    )
-    return deltas.withColumn("batch", F.col("batch").cast("bigint")), todo[-1]
-
-
 def read_state(spark: SparkSession, state: str, kind: str) -> DataFrame | None:
-    """A feed as of now: the stored snapshot merged with the deltas since."""
-    path = f"{state}/{kind}"
-    stored = tables.read_snapshot(spark, path)
-    deltas, _ = _pending(spark, path)
-    if deltas is None:
-        return stored
-    if stored is not None:
-        deltas = deltas.unionByName(
-            stored.withColumn("seq", F.lit(-1).cast("bigint")).withColumn("batch", F.lit(-1).cast("bigint"))
-        )
-    version = VERSIONS[kind]
-    order = ([F.desc(version)] if version else []) + [F.asc("batch"), F.asc("seq")]
-    w = Window.partitionBy(KEYS[kind]).orderBy(*order)
-    return (
-        deltas.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "seq", "batch")
-    )
+    """A streamed feed as of now."""
+    return store.read_state(spark, f"{state}/{kind}", kind)
 
 
 def compact(spark: SparkSession, state: str, kind: str) -> DataFrame | None:
-    """Fold the deltas into a new snapshot version; returns the stored feed."""
-    path = f"{state}/{kind}"
-    deltas, last = _pending(spark, path)
-    if deltas is not None:
-        tables.write_snapshot(read_state(spark, state, kind), path, last_batch=last)
-    return tables.read_snapshot(spark, path)
+    """Fold the deltas of a streamed feed into a new snapshot version."""
+    return store.compact(spark, f"{state}/{kind}", kind)
