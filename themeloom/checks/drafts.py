@@ -17,7 +17,12 @@ R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 
 AT = "2024-01-31T00:00:00.000000"
-WHEN = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
+def when():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
 PART = code_sql("p_partkey")
 
 
@@ -330,7 +335,7 @@ def board_drafts(spark, sf):
         F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string"), F.lit("pe"), F.lit("board")).alias("info"),
         F.create_map(F.lit("note"), F.lit("from board"), F.lit("only"), F.col("s_name")).alias("extra"),
     )
-    return conform_draft(merge.stamp(rows, "eastmoney", WHEN), "eastmoney")
+    return conform_draft(merge.stamp(rows, "eastmoney", when()), "eastmoney")
 
 
 def web_drafts(spark, sf):
@@ -340,7 +345,7 @@ def web_drafts(spark, sf):
         F.when(F.col("p_size") < 10, "").otherwise(F.col("p_type")).alias("industry"),
         F.create_map(F.lit("note"), F.concat(F.lit("web "), "p_size")).alias("extra"),
     )
-    return conform_draft(merge.stamp(rows, "ths", WHEN), "ths")
+    return conform_draft(merge.stamp(rows, "ths", when()), "ths")
 
 
 def quote_drafts(spark, sf):
@@ -348,7 +353,7 @@ def quote_drafts(spark, sf):
         code("c_custkey").alias("code"), F.col("c_name").alias("name"),
         F.lit("0.00").alias("price"), F.lit("").alias("open"), F.col("c_mktsegment").alias("pe"),
     )
-    return conform_draft(merge.stamp(rows, "tencent", WHEN), "tencent")
+    return conform_draft(merge.stamp(rows, "tencent", when()), "tencent")
 
 
 def drafts(spark, sf) -> DataFrame:
@@ -403,7 +408,7 @@ def write_merged(spark, sf):
 @R.add("s9_stamp", f"""
     SELECT {PART} AS code, 'ths' AS source, {PART} AS stock_code, '{AT}' AS collected_at FROM part""")
 def stamp(spark, sf):
-    return merge.stamp(stocks(spark, sf), "ths", WHEN).select(
+    return merge.stamp(stocks(spark, sf), "ths", when()).select(
         "code", "_meta.source", "_meta.stock_code", "_meta.collected_at"
     )
 
@@ -491,7 +496,7 @@ def job_merge_all(spark, sf):
 def _collect(spark, sf, existing=None):
     return jobs.job_collect(
         stocks(spark, sf), membership(spark, sf), items(spark, sf), concept_pages(spark, sf),
-        quote_lines(spark, sf), existing=existing, at=WHEN,
+        quote_lines(spark, sf), existing=existing, at=when(),
     )
 
 

@@ -18,7 +18,11 @@ R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 
 SPLIT = "2024-01-16"
-AT = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
+def at():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+
 
 # Responses hold this many orders or events, as a page does, so none grows with the tables.
 BLOCK = 2000
@@ -26,12 +30,11 @@ BLOCK = 2000
 # Movers: a date per order year, in parts; two fields per order and a note that is none.
 
 
-def _stock(key, name, info=None):
-    who = [code(key).alias("code"), F.concat(F.lit(name), key).alias("name")]
-    article = F.when(F.lit(info is not None), F.struct((info if info is not None else F.struct(
-        F.lit("").alias("time"), F.lit("").alias("num"), F.lit(None).cast("double").alias("shares_range"),
-        F.lit("").alias("reason"))).alias("action_info")))
-    return F.struct(*who, article.alias("article"))
+def _stock(key, name, info, detailed):
+    article = F.when(F.lit(detailed), F.struct(info.alias("action_info")))
+    return F.struct(
+        code(key).alias("code"), F.concat(F.lit(name), key).alias("name"), article.alias("article")
+    )
 
 
 def mover_envelopes(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +50,9 @@ def mover_envelopes(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_totalprice").alias("shares_range"),
         F.col("o_orderpriority").alias("reason"),
     )
-    stocks = F.array(_stock("o_custkey", "C", info), _stock("o_orderkey", "K"))
+    stocks = F.array(
+        _stock("o_custkey", "C", info, True), _stock("o_orderkey", "K", info, False)
+    )
     field = F.struct(
         F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("O"), "o_orderkey")).alias("name"),
         F.col("o_orderpriority").alias("reason"), F.lit(2).alias("count"), stocks.alias("list"),
@@ -284,9 +289,9 @@ def change_report(spark, sf):
 def write_snapshot(spark, sf):
     path = scratch_path(spark, "snapshot")
     stored, batch = _note_halves(spark, sf)
-    tables.write_snapshot(stored, path, AT)
+    tables.write_snapshot(stored, path, at())
     merged = feeds.upsert_newer(tables.read_snapshot(spark, path), batch).drop("seq")
-    tables.write_snapshot(merged, path, AT)
+    tables.write_snapshot(merged, path, at())
     meta = tables.snapshot_meta(spark, path)
     return tables.read_snapshot(spark, path).select(
         "industry_id", "update_time"
@@ -359,7 +364,8 @@ FIRST = f"""firsts AS (
   SELECT {LINE_PICK} FROM timeline QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY seq) = 1)"""
 
 
-@R.add("j10_insert_absent", f"WITH {TIMELINE}, {FIRST} SELECT * FROM firsts")
+@R.add("j10_insert_absent", f"""WITH {TIMELINE} SELECT {LINE_PICK} FROM timeline
+    QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY grade >= 16, seq) = 1""")
 def insert_absent(spark, sf):
     stored, batch = _line_halves(spark, sf)
     return _line_flat(feeds.in_feed_order(feeds.insert_absent(stored, batch), "timeline").drop("seq"))
@@ -433,7 +439,7 @@ def _land_all(spark, sf) -> str:
     UNION ALL
     SELECT 'span', count(*), NULL, min(date) FILTER (date <> '') || max(date) FILTER (date <> '') FROM timeline""")
 def job_daily_refresh(spark, sf):
-    done = jobs.job_daily_refresh(spark, _land_all(spark, sf), scratch_path(spark, "store"), "1997-01-01", AT)
+    done = jobs.job_daily_refresh(spark, _land_all(spark, sf), scratch_path(spark, "store"), "1997-01-01", at())
     reports = [
         done[k].select(F.lit(k).alias("feed"), F.col("added").alias("a"), F.col("updated").alias("b"),
                        F.col("blank_keys").cast("string").alias("c"))
