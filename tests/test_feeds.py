@@ -123,7 +123,7 @@ def test_movers_flatten(spark):
     assert [(r.field_name, r.field_reason, r.code, r.name) for r in rows] == [
         ("counted", "", None, None), ("", "why", "000001", "A"), ("", "why", "", "no article"),
     ]
-    assert rows[1].time == "" and rows[1].num == "2" and rows[1].day == 3 and rows[1].shares_range == 1.5
+    assert rows[1].time == "" and rows[1].num == "2" and rows[1].day == "3" and rows[1].shares_range == "1.5"
     assert rows[2].day is None and rows[2].reason == ""
     summary = feeds.action_day_summary(feeds.flatten_actions(raw)).first()
     assert (summary.n_fields, summary.n_stocks, summary.names) == (2, 2, "counted")

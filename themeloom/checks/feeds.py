@@ -81,7 +81,7 @@ ACTIONS = f"""placed AS (
     SELECT date, place AS field_pos, CASE WHEN o_orderstatus <> 'P' THEN 'O' || o_orderkey ELSE '' END AS field_name,
       o_orderpriority AS field_reason, 0 AS stock_pos, {code_sql('o_custkey')} AS code, 'C' || o_custkey AS name,
       CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%H:%M') ELSE '' END AS time,
-      o_totalprice AS shares_range, o_orderpriority AS reason
+      CAST(o_totalprice AS VARCHAR) AS shares_range, o_orderpriority AS reason
     FROM placed
     UNION ALL
     SELECT date, place, CASE WHEN o_orderstatus <> 'P' THEN 'O' || o_orderkey ELSE '' END,

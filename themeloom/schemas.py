@@ -38,7 +38,8 @@ DRAFT_BODY = T.StructType(
     + [T.StructField("_meta", META)]
 )
 
-# Feed envelopes.
+# Feed envelopes.  Details of a mover are text, since a number type would turn
+# what is no number into null.
 ACTION_STOCK = T.StructType([
     T.StructField("code", T.StringType()),
     T.StructField("name", T.StringType()),
@@ -46,12 +47,12 @@ ACTION_STOCK = T.StructType([
         T.StructField("action_info", T.StructType([
             T.StructField("time", T.StringType()),
             T.StructField("num", T.StringType()),
-            T.StructField("day", T.LongType()),
-            T.StructField("edition", T.LongType()),
-            T.StructField("shares_range", T.DoubleType()),
+            T.StructField("day", T.StringType()),
+            T.StructField("edition", T.StringType()),
+            T.StructField("shares_range", T.StringType()),
             T.StructField("reason", T.StringType()),
             T.StructField("expound", T.StringType()),
-            T.StructField("is_crawl", T.LongType()),
+            T.StructField("is_crawl", T.StringType()),
         ])),
     ])),
 ])
