@@ -88,7 +88,9 @@ def test_running_max_of_a_dominant_key(spark):
         F.col("id").alias("seq"),
         F.lpad(F.pmod(F.xxhash64("id"), F.lit(100000)).cast("string"), 6, "0").alias("v"),
     )
-    got = running_max(rows, "k", "seq", "v", "before", chunks=64).orderBy("seq").collect()
+    # Order numbers are sparse and large, as those of pages are.
+    rows = rows.withColumn("seq", F.col("seq") * (1 << 40))
+    got = running_max(rows, "k", "seq", "v", "before", chunks=16384).orderBy("seq").collect()
     best, seen = {}, 0
     for r in got:
         assert r.before == best.get(r.k)
@@ -140,6 +142,12 @@ def test_bad_envelopes_are_told_apart(spark):
     }
 
 
+def test_notes_need_a_page(spark):
+    body = '{"errCode":"0","data":{"hasNext":false,"result":[]}}'
+    rows = landed.judge(envelopes(spark, ("1", body), ("first", body), ("2", '{"errCode":7,"data":{}}')), "industry")
+    assert {r.name: r.reason for r in rows.collect()} == {"1": None, "first": "no page", "2": "error code"}
+
+
 def page(number, more, ids, code=0):
     items = [{"industry_id": i, "update_time": "1"} for i in ids]
     return str(number), json.dumps({"errCode": code, "data": {"hasNext": more, "result": items}})

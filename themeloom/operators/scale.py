@@ -71,8 +71,10 @@ def running_max(
     """
     span = df.agg(F.struct(F.min(seq).alias("lo"), F.max(seq).alias("hi"))).scalar()
     width = (span["hi"] - span["lo"] + 1).cast("double")
+    # As a double: the product may exceed a long, and rounding keeps the order.
+    place = (F.col(seq) - span["lo"]).cast("double")
     spread = (
-        df.withColumn("_slice", F.floor((F.col(seq) - span["lo"]) * F.lit(chunks) / width))
+        df.withColumn("_slice", F.floor(place * F.lit(chunks) / width))
         .repartition(F.col(key), F.col("_slice"))
     )
     by_slice = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,8 +11,9 @@ from themeloom.sources.drafts import decoded
 
 # Fixed value: the error code of a good answer.
 NO_ERROR = "0"
-# The date a response is named by, and the number of its part.
+# The date a response is named by and the number of its part, or its page.
 DATE_OF = "try_cast(substring(name, 1, 10) AS DATE)"
+PAGE_OF = "try_cast(name AS INT)"
 PART_OF = "try_cast(nullif(regexp_extract(name, '_([0-9]+)$', 1), '') AS INT)"
 
 
@@ -34,7 +35,7 @@ def judge(envelopes: DataFrame, kind: str) -> DataFrame:
     """Parse envelopes (name, value) and say in ``reason`` why one is no good.
 
     Movers are named by date, as in 2024-01-31 or, in parts, 2024-01-31_2, and
-    need data; notes and events are named by page and need error code 0.
+    need data; notes and events are named by page number and need error code 0.
     """
     parsed = once(envelopes, "e", F.from_json("value", ENVELOPES[kind].simpleString()))
     data, code = F.col("e.data"), F.col("e.errCode")
@@ -46,6 +47,7 @@ def judge(envelopes: DataFrame, kind: str) -> DataFrame:
     else:
         reason = reason.when(F.coalesce(code, F.lit("")) != NO_ERROR, "error code")
         reason = reason.when(data.isNull(), "no data")
+        reason = reason.when(F.expr(PAGE_OF).isNull(), "no page")
     return parsed.withColumn("reason", reason)
 
 
@@ -60,8 +62,7 @@ def usable(judged: DataFrame, kind: str, one_run: bool = True) -> DataFrame:
             F.coalesce(F.expr(PART_OF), F.lit(0)).alias("part"),
             F.col("e.data").alias("data"),
         )
-    page = F.coalesce(F.expr("try_cast(name AS INT)"), F.lit(1))
-    pages = judged.select(page.alias("page"), F.col("e.data").alias("data"), "reason")
+    pages = judged.select(F.expr(PAGE_OF).alias("page"), F.col("e.data").alias("data"), "reason")
     if kind == "industry" and one_run:
         # Paging stops at a bad page and after a page that says it is the last.
         bad = F.min(F.when(F.col("reason").isNotNull(), F.col("page")))
