@@ -5,7 +5,6 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from themeloom.operators import concepts, merge, quotes, universe
 from themeloom.plans import jobs

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.checks.base import Registry, code, code_sql, table
-from themeloom.checks.vectors import gap_sql
 from themeloom.functions.stopwords import STOP_WORDS
 from themeloom.operators import corpus, embed, quality
 from themeloom.plans import jobs

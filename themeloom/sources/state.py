@@ -7,7 +7,6 @@ costs; the table itself is only rewritten by :func:`compact`.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from themeloom.operators import feeds
 from themeloom.sources import tables
