@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe
+from themeloom.llm import bpe, langid, substrings
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -26,8 +26,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents of the other folds."""
+    docs = table(spark, sf_dir, "documents")
+    held = fold(4) == 2
+    model = langid.fit(docs.where(~held))
+    named = langid.predict(docs, model)
+    return named.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that an earlier document has too."""
+    kept = substrings.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op6_langid": op6_langid,
+    "op10_substrings": op10_substrings,
 }
 
 SQL: dict[str, str] = {}
