@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, langid, substrings
+from themeloom.llm import bpe, jaccard, langid, substrings
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,6 +39,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows that an earlier document has too."""
     kept = substrings.dedup(table(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_langid": op6_langid,
+    "op9_jaccard": op9_jaccard,
     "op10_substrings": op10_substrings,
 }
 
