@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, jaccard, langid, substrings
+from themeloom.llm import bpe, jaccard, langid, lm, substrings
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,6 +39,14 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from the documents of the other folds."""
+    held = fold(7) == 2
+    scored = lm.score(table(spark, sf_dir, "documents"), ~held)
+    return scored.select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     return jaccard.classes(table(spark, sf_dir, "documents"))
@@ -53,6 +61,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_langid": op6_langid,
+    "op8_lm": op8_lm,
     "op9_jaccard": op9_jaccard,
     "op10_substrings": op10_substrings,
 }
