@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, jaccard, langid, lm, substrings
+from themeloom.llm import bpe, jaccard, langid, lines, lm, substrings
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,6 +39,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines."""
+    kept = lines.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learned from the documents of the other folds."""
     held = fold(7) == 2
@@ -61,9 +67,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_langid": op6_langid,
+    "op7_lines": op7_lines,
     "op8_lm": op8_lm,
     "op9_jaccard": op9_jaccard,
     "op10_substrings": op10_substrings,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_lines": lines.SQL,
+}
