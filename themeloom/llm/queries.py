@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, jaccard, langid, lines, lm, substrings
+from themeloom.llm import bpe, jaccard, langid, lines, lm, packing, substrings
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +30,11 @@ def fold(parts: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_VOCAB)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents of the other folds."""
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +71,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op7_lines": op7_lines,
     "op8_lm": op8_lm,
