@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, jaccard, langid, lines, lm, packing, substrings
+from themeloom.llm import bpe, fingerprints, jaccard, langid, lines, lm, packing, substrings
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +30,17 @@ def fold(parts: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    both = fingerprints.edited_by_next(table(spark, sf_dir, "documents"))
+    return both.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("tree.root").alias("fingerprint"), F.col("edited_tree.root").alias("edited_fingerprint"),
+        fingerprints.likeness("tree", "edited_tree").alias("near_edited"),
+        fingerprints.likeness("tree", "next_tree").alias("near_next"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     return packing.pack(table(spark, sf_dir, "documents"), WORD_VOCAB)
@@ -71,6 +82,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op7_lines": op7_lines,
@@ -80,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_fingerprints": fingerprints.SQL,
     "op7_lines": lines.SQL,
 }
