@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, fingerprints, jaccard, langid, lines, lm, packing, substrings
+from themeloom.llm import bpe, fingerprints, jaccard, langid, lines, lm, packing, substrings, warc
+from themeloom.session import scratch_path
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +31,22 @@ def fold(parts: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC archives of both versions, their conversion, and WARC archives."""
+    pages = table(spark, sf_dir, "pages")
+    arc, out = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    uri = F.concat(F.coalesce("url", F.lit("-")), F.lit("#page="), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    odd = F.coalesce(F.col("page_id"), F.lit(0)) % 2 != 0
+    warc.write_arc(pages.where(~odd), f"{arc}/version=1", 1, uri, F.col("html"))
+    warc.write_arc(pages.where(odd), f"{arc}/version=2", 2, uri, F.col("html"))
+    number = lambda c: F.regexp_extract(c, "#page=(-?[0-9]*)$", 1).try_cast("long")
+    warc.convert(spark, arc, out, order=number(F.col("uri")))
+    return warc.read_warc(spark, out, with_payload=False).select(
+        number(F.col("uri")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number(F.col("refers_to_uri")).alias("refers_to"), "record_id", "date",
+    )
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     both = fingerprints.edited_by_next(table(spark, sf_dir, "documents"))
@@ -82,6 +99,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
@@ -92,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_warc": warc.SQL,
     "op4_fingerprints": fingerprints.SQL,
     "op7_lines": lines.SQL,
 }
