@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, fingerprints, jaccard, langid, lines, lm, packing, substrings, warc
+from themeloom.llm import bpe, fingerprints, jaccard, langid, lines, lm, packing, substrings, topk, warc
 from themeloom.session import scratch_path
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +47,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors by whole-number inner product for every hundredth id."""
+    return topk.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     both = fingerprints.edited_by_next(table(spark, sf_dir, "documents"))
@@ -100,6 +105,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
+    "op3_topk": op3_topk,
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
+    "op3_topk": topk.SQL,
     "op4_fingerprints": fingerprints.SQL,
     "op7_lines": lines.SQL,
 }
