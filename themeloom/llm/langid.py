@@ -4,7 +4,7 @@ A text is a TF-IDF vector of hashed byte trigrams of its letters, of length one.
 language has several centroids, found by clustering a bounded sample of its labelled
 texts.  The prediction is the language of the centroid with the largest cosine, which
 is the score.  A text farther from every centroid than labelled texts of similar size
-ever are, by a margin, is rejected.
+usually are, by a margin, is rejected.
 
 Document frequencies cover all training texts; the sample (``per_language`` texts of
 each language, picked by a hash) only places the centroids and the limits.
@@ -32,9 +32,10 @@ BUCKETS = 8192
 CENTROIDS = 4
 PER_LANGUAGE = 600
 MAX_LANGUAGES = 400
-# A text is rejected below this part of the least cosine seen for its size.  Texts of
-# fewer different trigrams than 2^JUDGED_FROM say too little to be rejected.
-MARGIN = 0.4
+# A text is rejected below this part of the median cosine of labelled texts of its size,
+# so that a few odd texts among them do not move the limit.  Texts of fewer different
+# trigrams than 2^JUDGED_FROM say too little to be rejected.
+MARGIN = 0.25
 JUDGED_FROM = 5
 SIZE_BANDS = 24
 
@@ -117,11 +118,15 @@ def document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centroids of unit vectors by cosine; starts are the farthest from those before."""
+    """Centroids of unit vectors by cosine; starts are far from those before.
+
+    A start is not the farthest text but one farther than nine in ten, and clusters of a
+    few texts are dropped: odd texts get no centroid of their own.
+    """
     chosen = [0]
     best = vectors @ vectors[0]
     while len(chosen) < min(k, len(vectors)):
-        far = int(best.argmin())
+        far = int(np.argsort(best, kind="stable")[len(best) // 10])
         if best[far] > 1 - 1e-6:
             break
         chosen.append(far)
@@ -133,7 +138,8 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         np.add.at(sums, label, vectors)
         length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         centers = np.where(length > 0, sums / np.maximum(length, 1e-12), centers)
-    return centers
+    size = np.bincount((vectors @ centers.T).argmax(axis=1), minlength=len(centers))
+    return centers[size >= min(size.max(), max(3, len(vectors) // 20))]
 
 
 def fit(
@@ -166,25 +172,25 @@ def fit(
         found = np.concatenate([counts(p) for p in _few(column)])
         found = found[found.any(axis=1)]
         if not len(found):
-            return pd.DataFrame({"_lang": [], "centers": [], "least": []})
+            return pd.DataFrame({"_lang": [], "centers": [], "usual": []})
         vectors = unit_vectors(found, idf)
         centers = cluster(vectors, centroids)
         best, band = (vectors @ centers.T).max(axis=1), size_band(found)
-        least = [float(best[band == b].min()) if (band == b).any() else np.nan for b in range(SIZE_BANDS)]
-        return pd.DataFrame({"_lang": [key[0]], "centers": [centers.astype("<f4").tobytes()], "least": [least]})
+        usual = [float(np.median(best[band == b])) if (band == b).any() else np.nan for b in range(SIZE_BANDS)]
+        return pd.DataFrame({"_lang": [key[0]], "centers": [centers.astype("<f4").tobytes()], "usual": [usual]})
 
     learned = (
         picked.groupBy("_lang")
-        .applyInPandas(one_language, "_lang string, centers binary, least array<double>")
+        .applyInPandas(one_language, "_lang string, centers binary, usual array<double>")
         .collect()
     )
     learned = sorted(learned, key=lambda r: r["_lang"])
     if not learned:
         return None
     blocks = [np.frombuffer(bytes(r["centers"]), "<f4").reshape(-1, BUCKETS) for r in learned]
-    least = np.array([r["least"] for r in learned], float)
-    # The least cosine at a size or nearly that size; sizes never seen have no limit.
-    seen = np.pad(np.fmin.reduce(least, axis=0), (1, 2), constant_values=np.nan)
+    usual = np.array([r["usual"] for r in learned], float)
+    # The usual cosine at a size or nearly that size; sizes never seen have no limit.
+    seen = np.pad(np.fmin.reduce(usual, axis=0), (1, 2), constant_values=np.nan)
     near = np.fmin.reduce([seen[i:i + SIZE_BANDS] for i in range(4)], axis=0)
     limits = np.where(np.isnan(near), 0, near) * MARGIN
     limits[:JUDGED_FROM] = 0
@@ -206,6 +212,20 @@ def has_letter(part: Slice) -> np.ndarray:
     return out
 
 
+def judge(model: Model | None, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text of a slice."""
+    known, score = has_letter(part), np.zeros(part.rows)
+    lang, rejected = np.full(part.rows, "und", object), np.ones(part.rows, bool)
+    if model is not None:
+        found = counts(part)
+        cosines = unit_vectors(found, model.idf) @ model.centroids.T
+        best = cosines.argmax(axis=1)
+        score = np.where(known, np.clip(cosines[np.arange(part.rows), best], 0, 1), 0).astype(float)
+        lang = np.where(known, np.array(model.languages, object)[model.owner[best]], lang)
+        rejected = ~known | (score < model.limits[size_band(found)])
+    return lang, score, rejected
+
+
 def predict(
     df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -214,25 +234,17 @@ def predict(
     schema = pa.schema([
         ("_id", arrow_kind), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_()),
     ])
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    # Plain values, so that tasks need no copy of the package to read them.
+    sent = df.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        own = sent.value and Model(**sent.value)
         for batch in batches:
             for part in _few(batch.column(1)):
-                known, score = has_letter(part), np.zeros(part.rows)
-                lang, rejected = np.full(part.rows, "und", object), np.ones(part.rows, bool)
-                if model is not None:
-                    found = counts(part)
-                    cosines = unit_vectors(found, model.idf) @ model.centroids.T
-                    best = cosines.argmax(axis=1)
-                    score = np.where(known, np.clip(cosines[np.arange(part.rows), best], 0, 1), 0)
-                    names = np.array(model.languages, object)[model.owner[best]]
-                    lang = np.where(known, names, lang)
-                    rejected = ~known | (score < model.limits[size_band(found)])
+                lang, score, rejected = judge(own, part)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(part.first, part.rows), pa.array(lang, pa.string()),
-                    pa.array(score.astype(float)), pa.array(rejected),
+                    pa.array(score), pa.array(rejected),
                 ], schema=schema)
 
     return (
@@ -240,3 +252,19 @@ def predict(
         .mapInArrow(run, f"_id {kind}, lang_pred string, score double, rejected boolean")
         .withColumnRenamed("_id", id_col)
     )
+
+
+def accepted(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose text is not rejected."""
+    # Plain values, so that tasks need no copy of the package to read them.
+    sent = df.sparkSession.sparkContext.broadcast(model and vars(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value and Model(**sent.value)
+        for batch in batches:
+            rows = batch.select(range(1, batch.num_columns))
+            for part in _few(batch.column(0)):
+                keep = ~judge(own, part)[2]
+                yield rows.slice(part.first, part.rows).filter(pa.array(keep))
+
+    return df.select(F.col(text_col).cast("string").alias("__text"), *df.columns).mapInArrow(run, df.schema)
