@@ -119,53 +119,38 @@ def _tokens(depth: int):
     return run
 
 
-def _cut(depth: int, kind: pa.DataType):
-    schema = pa.schema([
-        ("_id", kind), ("row", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string()),
-    ])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, drops = batch.column(2), batch.column(3)
-            missing = np.asarray(texts.is_null())
-            for part in slices(texts):
-                lines = Lines(part, depth)
-                raw = part.data.tobytes()
-                feeds = np.concatenate([[0], np.cumsum(part.data == 10)])
-                counts = feeds[part.bounds[1:]] - feeds[part.bounds[:-1]] + 1
-                first = np.searchsorted(lines.row, np.arange(part.rows + 1))
-                out, lost = [], []
-                for i in range(part.rows):
-                    begin, end = part.bounds[i], part.bounds[i + 1]
-                    gone = drops[part.first + i].values
-                    if missing[part.first + i]:
-                        counts[i] = 0
-                        out.append(None)
-                        lost.append(0)
-                        continue
-                    own = np.arange(first[i], first[i + 1])
-                    if gone is not None and len(gone):
-                        own = own[np.isin(lines.content[own], gone.to_numpy())]
-                    else:
-                        own = own[:0]
-                    pieces, at = [], begin
-                    for k in own:
-                        pieces.append(raw[at:lines.start[k]])
-                        at = lines.stop[k]
-                    pieces.append(raw[at:end])
-                    text = b"".join(pieces)
-                    # The last line had no line feed; the one before it has none now.
-                    if len(own) and lines.stop[own[-1]] == end and raw[end - 1:end] != b"\n":
-                        text = text[:-1] if text.endswith(b"\n") else text
-                    out.append(text)
-                    lost.append(len(own))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(part.first, part.rows), batch.column(1).slice(part.first, part.rows),
-                    pa.array(counts.astype(np.int64)), pa.array(lost, pa.int64()),
-                    pa.array([t if t is None else t.decode() for t in out], pa.string()),
-                ], schema=schema)
-
-    return run
+def cut(texts: pa.Array, drops: pa.Array, depth: int):
+    """Slices of a text column with their texts without the dropped lines, the numbers of
+    lines and of dropped lines."""
+    missing = np.asarray(texts.is_null())
+    for part in slices(texts):
+        lines = Lines(part, depth)
+        raw = part.data.tobytes()
+        feeds = np.concatenate([[0], np.cumsum(part.data == 10)])
+        counts = feeds[part.bounds[1:]] - feeds[part.bounds[:-1]] + 1
+        first = np.searchsorted(lines.row, np.arange(part.rows + 1))
+        out, lost = [], []
+        for i in range(part.rows):
+            begin, end = part.bounds[i], part.bounds[i + 1]
+            if missing[part.first + i]:
+                counts[i] = 0
+                out.append(None)
+                lost.append(0)
+                continue
+            own = np.arange(first[i], first[i + 1])
+            gone = drops[part.first + i].values
+            own = own[np.isin(lines.content[own], gone.to_numpy())] if gone is not None else own[:0]
+            pieces, at = [], begin
+            for k in own:
+                pieces.append(raw[at:lines.start[k]])
+                at = lines.stop[k]
+            text = b"".join([*pieces, raw[at:end]])
+            # The last line had no line feed; the one before it has none now.
+            if len(own) and lines.stop[own[-1]] == end and raw[end - 1:end] != b"\n":
+                text = text.removesuffix(b"\n")
+            out.append(text.decode())
+            lost.append(len(own))
+        yield part, pa.array(out, pa.string()), counts.astype(np.int64), lost
 
 
 def recurring_lines(
@@ -209,28 +194,67 @@ def recurring_lines(
     )
 
 
+def _drops(df: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int, share: float) -> DataFrame:
+    """``__row, __drops``: the lines that each row loses."""
+    text = F.col(text_col).cast("string")
+    docs = df.select(
+        F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
+    return (
+        recurring_lines(docs, depth, min_docs, share)
+        .groupBy(F.col("row").alias("__row")).agg(F.collect_list("content").alias("__drops"))
+    )
+
+
 def dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
     min_docs: int = MIN_DOCS, share: float = SHARE,
 ) -> DataFrame:
-    """``id_col``, ``row`` (a hash of id and text), ``n_lines``, ``n_dropped`` and ``kept``."""
+    """``id_col``, ``n_lines``, ``n_dropped`` and ``kept`` of every row."""
     kind, arrow_kind = _id_type(df, id_col)
+    schema = pa.schema([
+        ("_id", arrow_kind), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, kept, counts, lost in cut(batch.column(1), batch.column(2), depth):
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(part.first, part.rows), pa.array(counts), pa.array(lost, pa.int64()), kept,
+                ], schema=schema)
+
     text = F.col(text_col).cast("string")
     docs = df.select(
-        F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("doc"),
-        F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
-    drops = (
-        recurring_lines(docs.select("doc", "row", "text"), depth, min_docs, share)
-        .groupBy("row").agg(F.collect_list("content").alias("drops"))
-    )
+        F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("__row"), text.alias("text"))
     return (
-        docs.join(drops, "row", "left").select("_id", "row", "text", "drops")
-        .mapInArrow(
-            _cut(depth, arrow_kind), f"_id {kind}, row long, n_lines long, n_dropped long, kept string")
+        docs.join(_drops(df, id_col, text_col, depth, min_docs, share), "__row", "left")
+        .select("_id", "text", "__drops")
+        .mapInArrow(run, f"_id {kind}, n_lines long, n_dropped long, kept string")
         .withColumnRenamed("_id", id_col)
     )
 
 
+def without_recurring(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
+    min_docs: int = MIN_DOCS, share: float = SHARE,
+) -> DataFrame:
+    """The rows of ``df``, all columns, with the recurring lines taken out of their texts."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(range(2, batch.num_columns))
+            for part, kept, _, _ in cut(batch.column(0), batch.column(1), depth):
+                own = rows.slice(part.first, part.rows)
+                yield own.set_column(place, own.schema.field(place).with_type(pa.string()), kept)
+
+    text = F.col(text_col).cast("string")
+    drops = _drops(df, id_col, text_col, depth, min_docs, share)
+    keyed = df.select(F.xxhash64(F.col(id_col), text).alias("__row"), text.alias("__text"), *df.columns)
+    return (
+        keyed.join(drops, "__row", "left").select("__text", "__drops", *df.columns).mapInArrow(run, df.schema)
+    )
+
+
 # The same in SQL, over table ``documents``.
 SQL = f"""
 WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),

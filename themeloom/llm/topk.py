@@ -197,16 +197,18 @@ def _rows(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.nd
             yield ids[part], np.floor(scale * flat[first[part][:, None] + np.arange(d)])
 
 
-class Round:
-    """Queries of one length: tree, ids, and what is known of their kth scores."""
+def prepare(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, dict, np.ndarray]:
+    """Queries of one length as plain values: ids, tree, and least kth scores."""
+    tree, best = CoverTree(vectors), Best(len(ids), k)
+    points, own = distinct_vectors(vectors, ids, k)
+    search(tree, ids, CoverTree(points), own, best)
+    return ids, vars(tree), best.scores[:, -1].copy()
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids = ids
-        self.tree = CoverTree(vectors)
-        best = Best(len(ids), k)
-        points, own = distinct_vectors(vectors, ids, k)
-        search(self.tree, ids, CoverTree(points), own, best)
-        self.least = best.scores[:, -1].copy()
+
+def restored(values: dict) -> CoverTree:
+    tree = CoverTree(np.empty((0, 0)))
+    vars(tree).update(values)
+    return tree
 
 
 def top(
@@ -233,27 +235,28 @@ def top(
             for ids, vectors in _rows(batch, scale):
                 groups.setdefault(vectors.shape[1], []).append((ids, vectors))
         held = {
-            d: Round(np.concatenate([i for i, _ in g]), np.concatenate([v for _, v in g]), k) for d, g in groups.items()
+            d: prepare(np.concatenate([i for i, _ in g]), np.concatenate([v for _, v in g]), k) for d, g in groups.items()
         }
         sent = context.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             best: dict[int, Best] = {}
+            rounds = {d: (ids, restored(tree), least) for d, (ids, tree, least) in sent.value.items()}
             for batch in batches:
                 for ids, vectors in _rows(batch, scale):
                     d = vectors.shape[1]
-                    if d not in sent.value:
+                    if d not in rounds:
                         continue
-                    queries = sent.value[d]
+                    query_ids, tree, least = rounds[d]
                     if d not in best:
-                        best[d] = Best(len(queries.ids), k)
-                        best[d].least = queries.least
+                        best[d] = Best(len(query_ids), k)
+                        best[d].least = least
                     points, own = distinct_vectors(vectors, ids, k)
-                    search(queries.tree, queries.ids, CoverTree(points), own, best[d])
+                    search(tree, query_ids, CoverTree(points), own, best[d])
             for d, b in best.items():
                 row, column = np.nonzero(b.ids != np.iinfo(np.int64).max)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(sent.value[d].ids[row]), pa.array(b.ids[row, column]), pa.array(b.scores[row, column]),
+                    pa.array(rounds[d][0][row]), pa.array(b.ids[row, column]), pa.array(b.scores[row, column]),
                 ], schema=schema)
 
         part = good.select("_id", "_v").mapInArrow(run, "query_id long, _id long, score long")
