@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from themeloom.llm.graph import components
 from themeloom.llm.words import FACTORS, find_words, mix, slices, span_hash, word_hashes
+from themeloom.operators.scale import checked_broadcast
 from themeloom.session import materialize
 
 N = 5
@@ -249,9 +250,11 @@ def _classes(df, id_col, text_col, n, threshold, recall, hashes) -> tuple[DataFr
     members = materialize(near.join(nodes, "node"), "members")
     size = members.groupBy("component").agg(
         F.ceil(F.greatest(F.sum("n") / BLOCK_GRAMS, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
-    wanted = members.join(size, "component").select("doc", "node", "component", "weight", "blocks")
+    wanted = materialize(
+        members.join(size, "component").select("doc", "node", "component", "weight", "blocks"), "wanted")
     sets = (
-        docs.join(wanted, "doc").select("text", "node", "component", "weight", "blocks")
+        # Texts stay where they are while the nodes to look at are few.
+        docs.join(checked_broadcast(wanted), "doc").select("text", "node", "component", "weight", "blocks")
         .mapInArrow(
             _sets(n),
             "node long, component long, weight long, blocks int, n int, s1 long, s2 long, grams binary")
