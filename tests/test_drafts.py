@@ -175,6 +175,13 @@ def test_merge_rank_decides(spark):
     assert got.name == "web" and got.sources == ["ths", "tencent", "eastmoney"] and got.extra == {"note": "b"}
 
 
+def test_sources_without_a_rank_come_last(spark):
+    everything = merged(spark, *FILES)
+    some = merged(spark, *FILES, rank=["ths"])
+    assert set(some) == set(everything)
+    assert some["1"].sources[0] == "ths" and set(some["1"].sources) == set(everything["1"].sources)
+
+
 def test_draft_folder(spark, folder):
     rows = [(f"{s}/{c}.json", json.dumps(b)) for s, c, b in FILES]
     rows += [("merged/1.json", "{}"), ("ths/stock_list.json", "{}")]

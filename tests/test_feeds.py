@@ -259,3 +259,66 @@ def test_streamed_parts_of_a_date_stay_apart(spark, folder):
     assert sorted((r.part, r.field_name) for r in rows.collect()) == [(0, "a"), (1, "b"), (1, "c")]
     summary = feeds.action_day_summary(rows).first()
     assert (summary.n_fields, summary.names) == (3, "a, b, c")
+
+
+def test_few_and_many_keys_give_the_same(spark, monkeypatch):
+    from themeloom.operators import scale
+
+    def rows(items, seq):
+        data = [((i,) if seq else ()) + (k, t, "", "", "", v, 0) for i, (k, v, t) in enumerate(items)]
+        return spark.createDataFrame(data, ("seq bigint, " if seq else "") + NOTE)
+
+    old = rows([(None, "1", "old"), ("a", "1", "old"), ("z", "1", "old"), ("z", "2", "again")], seq=False)
+    new = rows([(None, "2", "new"), (None, "3", "newer"), ("a", "0", "older"), ("b", "1", "new")], seq=True)
+
+    def outcome():
+        merged = sorted((r.industry_id or "", r.update_time, r.title) for r in feeds.upsert_newer(old, new).collect())
+        return merged, tuple(feeds.change_report(old, new, "industry").first())
+
+    few = outcome()
+    monkeypatch.setattr(scale.checked_broadcast, "__defaults__", (0,))
+    assert outcome() == few
+    assert few[0] == [("", "3", "newer"), ("a", "1", "old"), ("b", "1", "new"), ("z", "1", "old"), ("z", "2", "again")]
+    assert few[1][0] == 1
+
+
+def test_counts_of_fields_without_stocks(spark):
+    entries = ['{"name": "missing"}', '{"name": "zero", "count": 0}', '{"name": "null", "count": null}',
+               '{"name": "float", "count": 3.0}', '{"name": "none", "count": 0.0}', '{"name": "whole", "count": 2}']
+    raw = spark.createDataFrame([("2024-01-02", 0, entries)], "date string, part int, data array<string>")
+    got = [r.field_name for r in feeds.action_fields(raw).orderBy("field_pos").collect()]
+    assert got == ["null", "float", "whole"]
+
+
+def test_unreadable_days_are_failures(spark, folder):
+    from themeloom.plans.jobs import job_backfill
+
+    day = json.dumps({"errCode": "0", "data": [{"name": "f", "count": 1, "list": [{"code": "sh600001", "name": "n"}]}]})
+    files = {"2024-01-01": day, "2024-01-02": "<html></html>", "2024-01-03": '{"errCode": "401"}',
+             "2024-01-04": '{"errCode": "0", "data": []}'}
+    write_files(spark.createDataFrame(list(files.items()), "name string, content string").select(
+        F.concat("name", F.lit(".json")).alias("name"), "content"), f"{folder}/landing/action")
+    got = job_backfill(spark, f"{folder}/landing", f"{folder}/store", "2024-01-01", "2024-01-05").collect()
+    assert {str(r.date)[-2:]: r.status for r in got} == {
+        "01": "success", "02": "failed", "03": "failed", "04": "success", "05": "failed"}
+
+
+def test_a_fresh_checkpoint_adds_and_never_hides(spark, folder):
+    """After a compaction, batches that count from 0 again still arrive."""
+    def land(name, items):
+        body = json.dumps({"errCode": "0", "data": {"hasNext": False, "result": items}})
+        write_files(spark.createDataFrame([(f"{name}.json", body)], "name string, content string"), f"{folder}/{name}")
+
+    def item(key, at):
+        return {"industry_id": key, "title": at, "update_time": at}
+
+    land("1", [item("a", "1")])
+    stream_feed(spark, f"{folder}/1", folder, "industry")
+    compact(spark, folder, "industry")
+    land("2", [item("a", "2"), item("b", "1")])
+    for _ in range(2):
+        stream_feed(spark, f"{folder}/2", folder, "industry", progress=f"{folder}/other")
+    got = {r.industry_id: r.update_time for r in read_state(spark, folder, "industry").collect()}
+    assert got == {"a": "2", "b": "1"}
+    compact(spark, folder, "industry")
+    assert {r.industry_id for r in read_state(spark, folder, "industry").collect()} == {"a", "b"}

@@ -156,6 +156,22 @@ def test_assign_beyond_the_sent_centers(spark, monkeypatch):
     assert {r.id: r.cluster_id for r in clusters.assign(rows, centers).collect()} == near
 
 
+def test_assign_with_repeated_ids_and_missing_vectors(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [("x", "n", [0.0, 1.0]), ("x", "n", [1.0, 0.0]), ("y", "n", None)],
+        "id string, stock_name string, embedding array<double>")
+    centers = spark.createDataFrame(
+        [(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [9.0, 9.0])], "cluster_id int, embedding array<double>")
+
+    def found():
+        return sorted((r.id, r.cluster_id or 0) for r in clusters.assign(rows, centers).collect())
+
+    want = [("x", 1), ("x", 2), ("y", 0)]
+    assert found() == want
+    monkeypatch.setattr(clusters, "MAX_CENTERS", 2)
+    assert found() == want
+
+
 @pytest.mark.parametrize("n, k, want", [(0, 5, 1), (2, 5, 1), (5, 1, 1), (6, 5, 2), (100, 5, 5)])
 def test_theme_count(n, k, want):
     assert themes.theme_count(n, k) == want

@@ -28,13 +28,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def code(key: str | Column) -> Column:
-    """A six-digit code, one per key below a million, with all leading digits."""
+    """A code of six digits, with the millions of the key behind them from a million on.
+
+    Every key has a code of its own, and all leading digits occur.
+    """
     k = F.col(key) if isinstance(key, str) else key
-    return F.lpad(((k * 7919 + 13) % 1000000).cast("string"), 6, "0")
+    millions = F.when(k >= 1000000, F.floor(k / 1000000).cast("string")).otherwise("")
+    return F.concat(F.lpad(((k * 7919 + 13) % 1000000).cast("string"), 6, "0"), millions)
 
 
 def code_sql(key: str) -> str:
-    return f"lpad(CAST(({key} * 7919 + 13) % 1000000 AS VARCHAR), 6, '0')"
+    return (
+        f"(lpad(CAST(({key} * 7919 + 13) % 1000000 AS VARCHAR), 6, '0') || "
+        f"CASE WHEN {key} >= 1000000 THEN CAST(CAST({key} AS BIGINT) // 1000000 AS VARCHAR) ELSE '' END)"
+    )
 
 
 def joined_map(c: str | Column) -> Column:

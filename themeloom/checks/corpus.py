@@ -296,7 +296,7 @@ def embed_documents(spark, sf):
     return _sparse(embed.embed_documents(docs(spark, sf), DIM), "doc_id")
 
 
-@R.add("m2_embed_keywords", f"""WITH {TOKENS}, {KEYWORDS}, {vector_sql('keywords', 'token', 'token', 'e')}
+@R.add("m2_embed_keywords", f"""WITH {TOKENS}, {KEYWORDS.replace("keywords AS (", "keywords AS MATERIALIZED (")}, {vector_sql('keywords', 'token', 'token', 'e')}
     SELECT key AS keyword, doc_freq, idf, bucket, round(x, 6) AS x FROM e JOIN keywords ON token = key""")
 def embed_keywords(spark, sf):
     rows = embed.embed_keywords(corpus.extract_keywords(docs(spark, sf)), DIM)

@@ -144,6 +144,13 @@ def approx_topk(spark, sf):
     return search.approx_topk(_all_queries(spark, sf), index, 10)
 
 
+@R.add("t6_recall", "SELECT true AS reached")
+def approx_recall(spark, sf):
+    rows, asked = doc_vectors(spark, sf).drop("cluster_id"), _all_queries(spark, sf)
+    found = search.approx_topk(asked, search.build_index(rows), 10)
+    return search.recall(found, search.topk(asked, rows, 10)).select((F.col("recall") >= 0.9).alias("reached"))
+
+
 @R.add("t6_approx_topk_every_list", topk_sql(gap_sql("q.v", "d.v"), 10))
 def approx_topk_every_list(spark, sf):
     index = search.build_index(doc_vectors(spark, sf).drop("cluster_id"), n_lists=8)

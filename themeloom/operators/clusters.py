@@ -71,18 +71,26 @@ def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     """Add the ``cluster_id`` of the nearest centroid, of equals the smallest.
 
     Up to ``MAX_CENTERS`` centroids go to every task.  More of them are searched
-    block by block, with the vectors, which need an ``id``, as queries.
+    block by block, with the vectors as queries; every row is its own query, also
+    if ids repeat.  A row without a vector has no cluster.
     """
     known = _collect_centers(centers)
+    kind = centers.schema["cluster_id"].dataType
+    has = F.col("embedding").isNotNull()
+    none = vectors.where(~has).withColumn("cluster_id", F.lit(None).cast(kind))
     if known is None:
-        asked = vectors.select(F.col("id").alias("query_id"), "embedding")
-        near = nearest(asked, centers, 1, key="cluster_id")
-        return vectors.join(
-            near.select(F.col("query_id").alias("id"), F.col("id").alias("cluster_id")), "id"
-        )
-    ids = F.array(*[F.lit(int(i)) for i, _ in known])
-    rows = assign_lists(vectors, np.array([v for _, v in known]), "_at")
-    return rows.withColumn("cluster_id", F.get(ids, F.col("_at"))).drop("_at")
+        # Written once, so that the numbers of the rows stay.
+        rows = materialize(
+            vectors.where(has).withColumn("_row", F.monotonically_increasing_id()), "rows")
+        near = nearest(
+            rows.select(F.col("_row").alias("query_id"), "embedding"), centers, 1, key="cluster_id")
+        found = rows.join(
+            near.select(F.col("query_id").alias("_row"), F.col("id").cast(kind).alias("cluster_id")), "_row"
+        ).drop("_row")
+        return found.unionByName(none)
+    ids = F.array(*[F.lit(i).cast(kind) for i, _ in known])
+    rows = assign_lists(vectors.where(has), np.array([v for _, v in known]), "_at")
+    return rows.withColumn("cluster_id", F.get(ids, F.col("_at"))).drop("_at").unionByName(none)
 
 
 MAX_CENTERS = 10_000
@@ -139,8 +147,10 @@ def kmeans(
 
     The best of ``starts`` runs by cost is kept.  Clusters are numbered by their
     smallest member code, so equal partitions get equal numbers.  A pool of one,
-    or ``k`` below two, is one cluster; an empty pool gives no rows.
+    or ``k`` below two, is one cluster; an empty pool gives no rows.  Rows without
+    a vector are left out.
     """
+    pool = pool.where(F.col("embedding").isNotNull())
     n = pool.count()
     k = min(k, n)
     if k < 2:

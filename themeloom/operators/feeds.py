@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import nonempty, present
-from themeloom.operators.scale import BROADCAST_ROWS, fits, once, running_max
+from themeloom.operators.scale import checked_broadcast, once, running_max
 from themeloom.schemas import ACTION_FIELD
 from themeloom.session import materialize
 
@@ -35,11 +35,15 @@ def action_fields(raw: DataFrame) -> DataFrame:
     """(date, field_pos, field_name, field_reason, stocks) from valid envelopes.
 
     ``raw`` has (date, part, data ARRAY<STRING>); a date may come in parts.
-    Entries that are no objects are skipped, and so are fields with neither
-    stocks nor a count.  ``field_pos`` orders the fields of a date by their part
+    Entries that are no objects are skipped, and so are fields without stocks
+    whose count is missing or equals 0; a null count is not 0.  ``field_pos`` orders the fields of a date by their part
     and their place in it.
     """
     entry = F.from_json("entry", ACTION_FIELD.simpleString())
+    # As a map of texts, a missing count differs from a null one, and 3.0 is kept.
+    count = F.element_at(F.from_json("entry", "map<string,string>"), "count")
+    has_count = F.map_contains_key(F.from_json("entry", "map<string,string>"), "count")
+    counted = has_count & (F.coalesce(count.try_cast("double"), F.lit(1.0)) != 0)
     listed = F.coalesce(F.size(F.col("f.list")), F.lit(0))
     entries = raw.select(
         "date", "part", F.posexplode_outer("data").alias("pos", "entry")
@@ -47,9 +51,9 @@ def action_fields(raw: DataFrame) -> DataFrame:
     return (
         once(entries, "f", entry)
         .select(
-            "date", (F.col("part").cast("bigint") * PAGE_STRIDE + F.col("pos")).alias("field_pos"), "f"
+            "date", (F.col("part").cast("bigint") * PAGE_STRIDE + F.col("pos")).alias("field_pos"), "f", "entry"
         )
-        .where((listed > 0) | (F.coalesce(F.col("f.count"), F.lit(0)) != 0))
+        .where((listed > 0) | counted)
         .select(
             "date", "field_pos",
             _text("f.name").alias("field_name"),
@@ -147,20 +151,18 @@ def upsert(existing: DataFrame | None, batch: DataFrame, kind: str) -> DataFrame
     stored = existing.drop("seq").withColumn("seq", F.lit(STORED_SEQ).cast("bigint"))
     touched, rest = _by_batch_keys(stored, batch, KEYS[kind])
     winners = reduce_batch(touched.unionByName(batch), kind)
-    return winners if rest is None else winners.unionByName(rest)
+    return winners.unionByName(rest)
 
 
 def _by_batch_keys(stored: DataFrame, batch: DataFrame, key: str):
-    """Stored rows with a key of the batch, and the others.
+    """Stored rows with a key of the batch, and the others; null is a key as well.
 
     A batch with few keys is told apart without moving the stored table, so only
-    the touched rows are shuffled.  Otherwise all rows count as touched.
+    the touched rows are shuffled.  With more keys the same is a shuffle join.
     """
-    keys = batch.select(key).distinct()
-    if not fits(keys, BROADCAST_ROWS):
-        return stored, None
-    few = F.broadcast(keys)
-    return stored.join(few, key, "left_semi"), stored.join(few, key, "left_anti")
+    keys = checked_broadcast(batch.select(F.col(key).alias("_touched")).distinct())
+    same = F.col(key).eqNullSafe(F.col("_touched"))
+    return stored.join(keys, same, "left_semi"), stored.join(keys, same, "left_anti")
 
 
 def upsert_newer(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -202,8 +204,7 @@ def change_report(existing: DataFrame | None, batch: DataFrame, kind: str) -> Da
         old = existing.drop("seq").withColumn("seq", F.lit(STORED_SEQ))
         old, rest = _by_batch_keys(old, batch, key)
         rows = old.select(*columns, F.lit(True).alias("stored")).unionByName(rows)
-        if rest is not None:
-            others = rest.agg(F.count("*")).scalar()
+        others = rest.agg(F.count("*")).scalar()
     if version is None:
         # Nothing is ever updated, so counting keys is enough.
         per_key = rows.groupBy("k").agg(

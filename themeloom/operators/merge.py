@@ -54,12 +54,14 @@ def _override(base: Column, top: Column) -> Column:
 def merge_drafts(drafts: DataFrame, source_rank: Sequence[str] | None = None) -> DataFrame:
     """One record per code from all drafts, with a single shuffle on the code.
 
-    ``source_rank`` lists the sources, most trusted first.  Each source gets an
+    ``source_rank`` lists the sources, most trusted first; others follow by name.  Each source gets an
     aggregate of fixed size (the latest draft of that source), so partial
     aggregation bounds what a code sends over the network, whatever its rows.
     """
-    order = list(source_rank) if source_rank is not None else discover_sources(drafts)
-    order = [s for s in order if s != MERGED_DIR]
+    found = discover_sources(drafts)
+    order = [s for s in source_rank or [] if s != MERGED_DIR]
+    # Sources that are not named are least trusted, by name among themselves.
+    order += [s for s in found if s not in order]
     quote = F.map_filter(
         F.map_from_arrays(
             F.array(*[F.lit(f) for f in QUOTE_FIELDS]), F.array(*[F.col(f) for f in QUOTE_FIELDS])
@@ -76,12 +78,13 @@ def merge_drafts(drafts: DataFrame, source_rank: Sequence[str] | None = None) ->
         "code", "source", "name", "concepts", "info", "concepts_ths", "industry",
         F.coalesce("extra", no_map).alias("extra"), quote.alias("quote"),
         F.coalesce("_meta.collected_at", F.lit("")).alias("at"),
-    )
+    ).withColumn("_body", F.xxhash64(F.to_json(F.struct(
+        "extra", "concepts", "info", "concepts_ths", "industry", "quote"))))
     # Rows of other sources have a null rank, which max_by passes over.
     picks = [
         F.max_by(
             F.struct("name", "extra", *fields.get(s, [])),
-            F.when(F.col("source") == s, F.struct("at", "name")),
+            F.when(F.col("source") == s, F.struct("at", "name", "_body")),
         ).alias(f"s{i}")
         for i, s in enumerate(order)
     ]

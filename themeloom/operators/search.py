@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from themeloom.functions import vectors as vx
 from themeloom.functions.blocks import Nearest, closest, matrix
 from themeloom.operators.scale import checked_broadcast, spread
-from themeloom.session import scratch_path
+from themeloom.session import materialize, scratch_path
 
 # Query vectors are sent to every task only below this size.
 MAX_QUERY_BYTES = 64 << 20
@@ -31,7 +31,11 @@ ROW_BLOCK = 32768
 MAX_LITERAL_IDS = 1000
 # Most centers an index may have; they are sent to every task.
 MAX_LISTS = 4096
-MIN_PROBES = 32
+# Share of true neighbours that an index is set to find, how many stored vectors it is
+# measured with, and how many neighbours of each.
+RECALL_AIM = 0.95
+MEASURED = 256
+MEASURED_K = 10
 
 
 def get_by_ids(collection: DataFrame, ids: DataFrame | Sequence, key: str = "id") -> DataFrame:
@@ -244,6 +248,7 @@ class VectorIndex:
 
     centers: np.ndarray
     rows: DataFrame
+    probes: int
 
 
 def build_index(
@@ -259,13 +264,37 @@ def build_index(
         n_lists = int(min(MAX_LISTS, max(2, math.sqrt(collection.count()))))
     if n_lists > MAX_LISTS:
         raise ValueError(f"at most {MAX_LISTS} lists")
-    vectors = collection.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("_v"))
+    # Written once, since every iteration reads them.
+    vectors = materialize(
+        collection.where(F.col("embedding").isNotNull())
+        .select(array_to_vector(F.col("embedding").cast("array<double>")).alias("_v")), "training")
     fit = KMeans(k=n_lists, seed=seed, maxIter=10, featuresCol="_v").fit(vectors)
     centers = np.array(fit.clusterCenters())
     path = path or scratch_path(spark, "index")
     placed = assign_lists(collection.where(F.col("embedding").isNotNull()), centers)
     placed.hint("rebalance", "list").write.partitionBy("list").parquet(path)
-    return VectorIndex(centers, spark.read.schema(placed.schema).parquet(path))
+    rows = spark.read.schema(placed.schema).parquet(path)
+    return VectorIndex(centers, rows, _probes_for(rows, centers))
+
+
+def _probes_for(rows: DataFrame, centers: np.ndarray) -> int:
+    """Lists to look into so that ``RECALL_AIM`` of the true neighbours lie in them.
+
+    Measured with a bounded sample of the stored vectors against all of them.
+    """
+    sample = (
+        rows.orderBy(F.xxhash64("id")).limit(MEASURED)
+        .select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        .toArrow()
+    )
+    if not sample.num_rows:
+        return len(centers)
+    asked = rows.sparkSession.createDataFrame(sample)
+    hits = nearest(asked, rows, MEASURED_K, payload=["list"], skip_self=True).select("query_id", "list").toArrow()
+    gaps = ((matrix(sample.column("embedding"))[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    turn = {q: np.argsort(np.argsort(g, kind="stable")) for q, g in zip(sample.column("query_id").to_pylist(), gaps)}
+    at = np.sort([turn[q][n] for q, n in zip(*(c.to_pylist() for c in hits.columns))])
+    return int(at[min(len(at) - 1, int(RECALL_AIM * len(at)))]) + 1 if len(at) else len(centers)
 
 
 def assign_lists(rows: DataFrame, centers: np.ndarray, out: str = "list") -> DataFrame:
@@ -291,7 +320,8 @@ def approx_topk(
     """Like :func:`topk`, looking only into the ``probes`` lists nearest to a query.
 
     More probes find more of the true neighbours; :func:`recall` tells how many.
-    By default 32 lists or, of a large index, a sixteenth are looked into.
+    By default as many are looked into as the index was measured to need.  Lists
+    that no query probes are neither read nor moved.
     A list larger than ``ROW_BLOCK`` is split into shards by row id and its
     queries go to each shard, so no task gets more than a bounded block.
     """
@@ -301,7 +331,7 @@ def approx_topk(
         [(i, c.tolist()) for i, c in enumerate(centers)], "list int, embedding array<double>"
     )
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    probes = probes or max(MIN_PROBES, len(centers) // 16)
+    probes = probes or index.probes
     probed = nearest(asked, center_rows, min(probes, len(centers)), "l2sq", "list").select(
         "query_id", F.col("id").alias("list")
     )
@@ -310,15 +340,17 @@ def approx_topk(
     shards = F.broadcast(index.rows.groupBy("list").agg(
         F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("shards")
     ))
+    probed = materialize(probed.withColumn("block", _block_of("query_id", blocks)), "probed")
     left = asked.join(probed, "query_id").join(shards, "list").select(
         "query_id", "embedding", "list",
-        F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
-        _block_of("query_id", blocks).alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block",
     )
-    right = index.rows.join(shards, "list").select(
+    # Copies only for the pairs of list and block that occur; the join prunes the scan.
+    pairs = checked_broadcast(
+        probed.groupBy(F.col("list").alias("_l"), F.col("block").alias("_b")).agg(F.count("*").alias("_n")))
+    right = index.rows.join(pairs, F.col("list") == F.col("_l")).join(shards, "list").select(
         "id", "stock_name", "embedding", "list",
-        F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard"), F.col("_b").alias("block"),
     )
     on = ["list", "shard", "block"]
     hits = _best(_compare(left, right, on, k, metric, skip_self), k)

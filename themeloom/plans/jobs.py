@@ -147,8 +147,9 @@ def job_daily_refresh(
 def job_backfill(spark: SparkSession, landing: str, store: str, start: str, end: str) -> DataFrame:
     """(date, status): take in the landed movers of the missing days of a range.
 
-    A stored day is skipped and a success; so is a landed file, even without
-    fields; a day with no landed file failed.
+    A stored day is skipped and a success; so is a landed answer with an empty
+    list of fields.  A day with no landed file, or one that is no valid answer,
+    failed.
     """
     path = f"{store}/action"
     judged = landed.judge(landed.landed(spark, f"{landing}/action"), "action")
@@ -160,7 +161,9 @@ def job_backfill(spark: SparkSession, landing: str, store: str, start: str, end:
     # One row per calendar day.
     good = landed.usable(judged, "action").join(F.broadcast(todo), "date", "left_semi")
     tables.write_by_date(feeds.flatten_actions(good), path)
-    seen = have.unionByName(judged.select(F.expr(landed.DATE_OF).alias("date"))).distinct()
+    empty = (F.col("reason") == "no data") & (F.size("e.data") == 0)
+    fine = judged.where(F.col("reason").isNull() | empty)
+    seen = have.unionByName(fine.select(F.expr(landed.DATE_OF).alias("date"))).distinct()
     return spine.join(seen.withColumn("ok", F.lit(True)), "date", "left").select(
         "date", F.when(F.col("ok"), "success").otherwise("failed").alias("status")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from themeloom.operators import feeds
 from themeloom.sources import tables
-from themeloom.sources.storage import children, exists
+from themeloom.sources.storage import children, exists, make_folder
 
 ITEM = "batch="
 
@@ -31,8 +31,38 @@ def pending(spark: SparkSession, path: str) -> list[int]:
     return sorted(b for b in found if b > done)
 
 
+def _taken(spark: SparkSession, path: str) -> dict[str, int]:
+    """Numbers given to the batches of streams, by stream and batch."""
+    out: dict[str, int] = {}
+    for name, number in (c.rsplit("-", 1) for c in children(spark, f"{path}/taken")):
+        out[name] = max(int(number), out.get(name, -1))
+    return out
+
+
 def next_batch(spark: SparkSession, path: str) -> int:
-    return max(pending(spark, path), default=_done(spark, path)) + 1
+    """A number that no delta has or was promised."""
+    used = [_done(spark, path), *pending(spark, path), *_taken(spark, path).values()]
+    return max(used) + 1
+
+
+def number_of(spark: SparkSession, path: str, run: str, batch_id: int) -> int | None:
+    """The delta number of a stream's batch; none if the snapshot contains the batch.
+
+    A stream counts its batches from 0 again with every fresh checkpoint, so its
+    own numbers do not tell batches apart.  The number is written down before the
+    delta, and a repeated batch gets the same one.
+    """
+    name = f"{run}-{batch_id}"
+    number = _taken(spark, path).get(name)
+    if number is not None and number <= _done(spark, path):
+        if exists(spark, f"{path}/deltas/{ITEM}{number}/_SUCCESS"):
+            return None
+        # Never completed, and later deltas have been folded: it needs a new place.
+        number = None
+    if number is None:
+        number = next_batch(spark, path)
+        make_folder(spark, f"{path}/taken/{name}-{number}")
+    return number
 
 
 def append_delta(batch: DataFrame, path: str, kind: str, number: int) -> None:

@@ -30,6 +30,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.mkdirs(where)
+
+
 def as_uri(path: str) -> str:
     """A path as the URI that tasks open with the Arrow file systems."""
     if path.startswith("/"):

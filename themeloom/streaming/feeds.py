@@ -15,14 +15,18 @@ FLATTEN = {"industry": feeds.flatten_industry, "timeline": feeds.flatten_timelin
 
 
 def stream_feed(
-    spark: SparkSession, landing: str, state: str, kind: str, files_per_batch: int | None = None
+    spark: SparkSession, landing: str, state: str, kind: str, files_per_batch: int | None = None,
+    progress: str | None = None,
 ) -> None:
     """Take in all files that landed since the last run, then stop.
 
     Each micro-batch is reduced to one row per key and stored as a delta of its
     own, so its cost follows the batch and not the table.  Running a batch again
     rewrites the same delta.  Movers go to a partition per date and part.
+    ``progress`` is the checkpoint folder, one per feed by default; with a fresh
+    one the landed files are taken in again, as new deltas.
     """
+    progress = progress or f"{state}/progress/{kind}"
     source = (
         spark.readStream.format("text").option("wholetext", "true")
         .option("pathGlobFilter", "*.json").schema("value string")
@@ -39,11 +43,15 @@ def stream_feed(
             rows = feeds.flatten_actions(good).withColumn("part", feeds.part_of(F.col("field_pos")))
             tables.write_by_date(rows, f"{state}/action", force=True, parts=True)
         else:
-            store.append_delta(FLATTEN[kind](good), f"{state}/{kind}", kind, batch_id)
+            # The checkpoint names its stream, whatever session runs it.
+            run = spark.read.json(f"{progress}/metadata").first()["id"]
+            number = store.number_of(spark, f"{state}/{kind}", run, batch_id)
+            if number is not None:
+                store.append_delta(FLATTEN[kind](good), f"{state}/{kind}", kind, number)
 
     query = (
         files.writeStream.foreachBatch(take)
-        .option("checkpointLocation", f"{state}/progress/{kind}")
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
