@@ -291,6 +291,31 @@ def kmeans(spark, sf):
     return clusters.kmeans(_pool(spark, sf), 10).labels
 
 
+@R.add("m5_label_members", f"WITH {DOC} SELECT cluster_id, id AS code, stock_name AS name FROM doc")
+def label_members(spark, sf):
+    return themes.members(doc_vectors(spark, sf))
+
+
+WHOLE = f"""WITH {DOC} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, true AS few_clusters FROM doc"""
+
+
+def _whole(members, k):
+    return members.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("code").alias("n_ids"),
+        (F.count_distinct("cluster_id") <= k).alias("few_clusters"))
+
+
+@R.add("m4_kmeans_whole", WHOLE)
+def kmeans_whole(spark, sf):
+    return _whole(clusters.kmeans(_pool(spark, sf), 10, starts=2).members, 10)
+
+
+@R.add("m5_theme_members", WHOLE)
+def theme_members(spark, sf):
+    docs = _pool(spark, sf)
+    return _whole(themes.analyze_with_members(docs.select("id"), docs, kw_vectors(spark, sf), 5, 10)[1], 5)
+
+
 @R.add("m5_analyze_themes")
 def analyze_themes(spark, sf):
     docs = _pool(spark, sf)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
-from themeloom.operators.scale import once
+from themeloom.operators.scale import checked_broadcast, once
 
 
 def _row_event(part):
@@ -142,5 +142,8 @@ def drop_contained_concepts(concepts: DataFrame) -> DataFrame:
     )))
     contained = distinct.withColumn("lengths", present).select(
         "code", F.explode(F.array_distinct(pieces)).alias("concept")
-    ).distinct()
+    )
+    # Only pieces that are concepts at all are moved.
+    known = checked_broadcast(distinct.select("concept").distinct())
+    contained = contained.join(known, "concept", "left_semi").distinct()
     return distinct.join(contained, ["code", "concept"], "left_anti")

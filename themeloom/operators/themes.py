@@ -79,7 +79,19 @@ def analyze_themes(
 
     The number of clusters is at most a third of the pool.
     """
+    return analyze_with_members(pool, collection, keywords, k, top)[0]
+
+
+def analyze_with_members(
+    pool, collection: DataFrame, keywords: DataFrame, k: int = 5, top: int = 10
+) -> tuple[DataFrame, DataFrame]:
+    """The theme table, and (cluster_id, code, name) of every stock of every theme."""
     vectors = _pool_vectors(pool, collection)
     parts = theme_count(vectors.count(), k)
     result = single_cluster(vectors) if parts == 1 else kmeans(vectors, parts)
-    return theme_table(result.labelled, result.centers, keywords, top)
+    return theme_table(result.labelled, result.centers, keywords, top), members(result.labelled)
+
+
+def members(labelled: DataFrame) -> DataFrame:
+    """(cluster_id, code, name) of labelled vectors."""
+    return labelled.select("cluster_id", F.col("id").alias("code"), F.col("stock_name").alias("name"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from themeloom.functions.text import industry_of
 from themeloom.operators import concepts, corpus, embed, feeds, merge, quality, quotes, search, universe
 from themeloom.operators.merge import BOARD_SOURCE, QUOTE_SOURCE, WEB_SOURCE
+from themeloom.operators.scale import checked_broadcast
 from themeloom.session import materialize
 from themeloom.sources import feeds as landed
 from themeloom.sources import state, tables
@@ -152,14 +153,16 @@ def job_backfill(spark: SparkSession, landing: str, store: str, start: str, end:
     failed.
     """
     path = f"{store}/action"
-    judged = landed.judge(landed.landed(spark, f"{landing}/action"), "action")
     spine = universe.date_spine(spark, start, end)
     have = spark.createDataFrame(
         [(d,) for d in tables.stored_dates(spark, path)], "date string"
     ).select(F.col("date").cast("date"))
     todo = universe.missing_dates(spine, have)
-    # One row per calendar day.
-    good = landed.usable(judged, "action").join(F.broadcast(todo), "date", "left_semi")
+    # One row per calendar day; a file's name has its date, so others are not parsed.
+    files = landed.landed(spark, f"{landing}/action")
+    wanted = files.join(F.broadcast(todo), F.expr(landed.DATE_OF) == F.col("date"), "left_semi")
+    judged = landed.judge(wanted, "action")
+    good = landed.usable(judged, "action")
     tables.write_by_date(feeds.flatten_actions(good), path)
     empty = (F.col("reason") == "no data") & (F.size("e.data") == 0)
     fine = judged.where(F.col("reason").isNull() | empty)
@@ -169,6 +172,11 @@ def job_backfill(spark: SparkSession, landing: str, store: str, start: str, end:
     )
 
 
+def _of(raw: DataFrame, stocks: DataFrame) -> DataFrame:
+    """The raw rows of some stocks."""
+    return raw.join(checked_broadcast(stocks.select("code").distinct()), "code", "left_semi")
+
+
 def collect_boards(
     stocks: DataFrame, membership: DataFrame, items: DataFrame,
     existing: DataFrame | None = None, at: Column | None = None,
@@ -179,6 +187,8 @@ def collect_boards(
     draft say so, as the open key ``concept_copies``, one count per list entry.
     """
     todo = stocks if existing is None else universe.new_keys(stocks, existing)
+    if existing is not None:
+        items = _of(items, todo)
     lists = concepts.concept_lists(concepts.invert_membership(membership))
     repeats = F.when(
         F.exists("copies", lambda n: n > 1),
@@ -199,6 +209,9 @@ def collect_web(
     ``pages`` has one page per stock; both are read off within the page's row.
     """
     todo = stocks if existing is None else universe.new_keys(stocks, existing)
+    if existing is not None:
+        # Pages of known stocks are not parsed.
+        pages = _of(pages, todo)
     named = pages.withColumn("industry", industry_of(F.col("html")))
     drafts = (
         todo.join(concepts.page_concepts(named, "industry"), "code", "left")
