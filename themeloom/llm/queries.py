@@ -43,7 +43,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.convert(spark, arc, out, order=number(F.col("uri")))
     return warc.read_warc(spark, out, with_payload=False).select(
         number(F.col("uri")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        number(F.col("refers_to_uri")).alias("refers_to"), "record_id", "date",
+        number(F.col("refers_to_uri")).alias("refers_to"),
     )
 
 
