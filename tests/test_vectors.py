@@ -141,6 +141,18 @@ def test_small_pools(spark, n, k, want):
     assert len(table) == want and all(r.rep_code for r in table)
 
 
+def test_kmeans_over_several_tasks(spark, monkeypatch):
+    """Tasks share the passes; the outcome is that of one task."""
+    rows = collection(spark, np.vstack([rng.normal(size=(40, 5)) + 8 * i for i in range(3)]))
+    rows = rows.unionByName(rows.limit(1).withColumn("id", F.lit("none")).withColumn(
+        "embedding", F.lit(None).cast(rows.schema["embedding"].dataType)))
+    one = clusters.kmeans(rows, 3)
+    monkeypatch.setattr(clusters, "ROWS_PER_TASK", 10)
+    many = clusters.kmeans(rows, 3)
+    assert {tuple(r) for r in one.labels.collect()} == {tuple(r) for r in many.labels.collect()}
+    assert abs(one.cost - many.cost) < 1e-6 * one.cost and one.labels.count() == 120
+
+
 def test_coincident_vectors(spark):
     rows = collection(spark, [[1.0, 0.0]] * 6)
     found = clusters.kmeans(rows, 3, starts=2)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as vx
+from themeloom.functions.blocks import matrix
 from themeloom.operators.scale import checked_broadcast
 from themeloom.operators.search import assign_lists, nearest
 from themeloom.session import materialize
@@ -140,49 +141,137 @@ def cluster_table(labelled: DataFrame, centers: DataFrame) -> DataFrame:
     )
 
 
-def kmeans(
-    pool: DataFrame, k: int = 3, seed: int = SEED, starts: int = STARTS, parallel: int = STARTS
-) -> Clustering:
+def kmeans(pool: DataFrame, k: int = 3, seed: int = SEED, starts: int = STARTS) -> Clustering:
     """Cluster (id, stock_name, embedding) into at most ``k`` groups.
 
-    The best of ``starts`` runs by cost is kept.  Clusters are numbered by their
-    smallest member code, so equal partitions get equal numbers.  A pool of one,
-    or ``k`` below two, is one cluster; an empty pool gives no rows.  Rows without
-    a vector are left out.
+    The best of ``starts`` runs by cost is kept.  All starts advance in one pass over
+    the rows per iteration; those that have settled rest.  Clusters are numbered by
+    their smallest member code, so equal partitions get equal numbers.  A pool of one,
+    or ``k`` below two, is one cluster; an empty pool gives no rows.  Rows without a
+    vector are left out.
     """
     pool = pool.where(F.col("embedding").isNotNull())
     n = pool.count()
     k = min(k, n)
     if k < 2:
         return single_cluster(pool)
-    rows = pool.withColumn("_v", array_to_vector(as_double()))
-    # A small pool is one short task per iteration rather than many tiny ones.
-    held = rows.select("id", "_v").coalesce(max(1, n // ROWS_PER_TASK))
-    held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    # Rows lie where a hash of their id puts them, whatever files they came from; a
+    # small pool is one short task per iteration rather than many tiny ones.
+    tasks = max(1, n // ROWS_PER_TASK)
+    held = (
+        pool.select("id", as_double().alias("embedding"))
+        .repartition(tasks, F.xxhash64("id")).sortWithinPartitions("id")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
-        def fit(s: int):
-            return KMeans(
-                k=k, seed=s, maxIter=MAX_ITERATIONS, featuresCol="_v", predictionCol="_p"
-            ).fit(held)
-
-        with ThreadPoolExecutor(max_workers=max(1, parallel)) as workers:
-            run = inheritable_thread_target(pool.sparkSession)(fit)
-            models = list(workers.map(run, range(seed, seed + starts)))
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        first = best.transform(held).groupBy("_p").agg(F.min("id").alias("first"))
+        sample = matrix(
+            held.orderBy(F.xxhash64("id"), "id").limit(max(SEEDED_FROM, 2 * k)).select("embedding").toArrow()
+            .column("embedding"))
+        first = np.stack([_spread_out(sample, k, np.random.default_rng(seed + s)) for s in range(starts)])
+        centers, cost = _advance(held, tasks, first)
+        best = int(np.argmin(cost))
+        placed = assign_lists(held, centers[best], "_p")
         # One row per cluster, k at most.
-        order = [r["_p"] for r in first.orderBy("first").collect()]
+        order = [r["_p"] for r in placed.groupBy("_p").agg(F.min("id").alias("first")).orderBy("first").collect()]
     finally:
         held.unpersist()
     number = {p: i for i, p in enumerate(order)}
-    lookup = F.array(*[F.lit(number.get(p, -1)) for p in range(max(order) + 1)])
-    labelled = best.transform(rows).withColumn("cluster_id", F.get(lookup, F.col("_p"))).drop("_v", "_p")
-    middle = best.clusterCenters()
-    centers = pool.sparkSession.createDataFrame(
-        [(i, [float(x) for x in middle[p]]) for i, p in enumerate(order)],
-        "cluster_id int, embedding array<double>",
-    )
-    return Clustering(labelled, centers, best.summary.trainingCost)
+    lookup = F.array(*[F.lit(number.get(p, -1)) for p in range(k)])
+    labelled = assign_lists(pool, centers[best], "_p").withColumn("cluster_id", F.get(lookup, F.col("_p"))).drop("_p")
+    middle = pool.sparkSession.createDataFrame(
+        [(i, centers[best][p].tolist()) for i, p in enumerate(order)], "cluster_id int, embedding array<double>")
+    return Clustering(labelled, middle, float(cost[best]))
+
+
+# Rows that starting centers are chosen among.
+SEEDED_FROM = 4096
+# A start has settled when no center moves farther than this.
+SETTLED = 1e-4
+
+
+def _spread_out(rows: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """``k`` of the rows, each chosen with a chance that grows with its distance from those before."""
+    chosen = [int(random.integers(len(rows)))]
+    gap = ((rows - rows[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = gap.sum()
+        nth = random.choice(len(rows), p=gap / total) if total > 0 else random.integers(len(rows))
+        chosen.append(int(nth))
+        gap = np.minimum(gap, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
+    return rows[chosen]
+
+
+def _advance(held: DataFrame, tasks: int, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centers (start, cluster, dim) after their iterations, and the cost of each start."""
+    starts, k, dim = centers.shape
+    centers, cost = centers.copy(), np.full(starts, np.inf)
+    live = np.arange(starts)
+    context = held.sparkSession.sparkContext
+    ddl = "start int, cost double, counts binary, sums binary"
+    schema = pa.schema([("start", pa.int32()), ("cost", pa.float64()), ("counts", pa.binary()), ("sums", pa.binary())])
+
+    def emit(cost, counts, sums):
+        return pa.RecordBatch.from_arrays([
+            pa.array(range(len(cost)), pa.int32()), pa.array(cost),
+            pa.array([c.tobytes() for c in counts], pa.binary()), pa.array([x.tobytes() for x in sums], pa.binary()),
+        ], schema=schema)
+
+    def read(batch, cost, counts, sums):
+        for start, c, n, x in zip(*(column.to_pylist() for column in batch.columns)):
+            cost[start] += c
+            counts[start] += np.frombuffer(n).reshape(k)
+            sums[start] += np.frombuffer(x).reshape(k, dim)
+
+    def empty(m):
+        return np.zeros(m), np.zeros((m, k)), np.zeros((m, k, dim))
+
+    for _ in range(MAX_ITERATIONS + 1):
+        sent = context.broadcast(centers[live])
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            m = len(own)
+            flat, found = own.reshape(m * k, dim), empty(m)
+            size = (flat * flat).sum(axis=1)
+            step = max(1, (1 << 21) // (m * k))
+            for batch in batches:
+                rows = matrix(batch.column("embedding"))
+                for at in range(0, len(rows), step):
+                    x = rows[at:at + step]
+                    gap = (size - 2 * (x @ flat.T)).reshape(len(x), m, k)
+                    label = gap.argmin(axis=2)
+                    near = np.take_along_axis(gap, label[:, :, None], 2)[:, :, 0] + (x * x).sum(axis=1)[:, None]
+                    chosen = (label[:, :, None] == np.arange(k)).astype(float)
+                    found[0][:] += np.maximum(near, 0).sum(axis=0)
+                    found[1][:] += chosen.sum(axis=0)
+                    found[2][:] += (chosen.reshape(len(x), m * k).T @ x).reshape(m, k, dim)
+            yield emit(*found)
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # One start's sums at a time in memory, however many tasks have sent them.
+            found = empty(len(sent.value))
+            for batch in batches:
+                read(batch, *found)
+            yield emit(*found)
+
+        parts = held.select("embedding").mapInArrow(measure, ddl)
+        if tasks > 1:
+            parts = parts.repartition(1 + min(8, len(live)), "start").mapInArrow(total, ddl)
+        found = empty(len(live))
+        for batch in parts.toArrow().to_batches():
+            read(batch, *found)
+        cost[live] = found[0]
+        old = centers[live]
+        moved = np.where(found[1][:, :, None] > 0, found[2] / np.maximum(found[1], 1)[:, :, None], old)
+        shift = np.sqrt(((moved - old) ** 2).sum(axis=2)).max(axis=1)
+        # A settled start keeps the centers that its cost was measured with.
+        going = shift > SETTLED
+        centers[live[going]] = moved[going]
+        live = live[going]
+        sent.unpersist()
+        if not len(live):
+            break
+    return centers, cost
 
 
 def single_cluster(pool: DataFrame) -> Clustering:
