@@ -54,7 +54,7 @@ def test_equals_brute_force(spark, window):
 def test_layout_keeps_white_space(spark):
     rows = [(1, "  a b\tc d\n e"), (2, " x\n\na b\tc d y \n"), (3, " q  r ")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["kept"] for r in substrings.dedup(df, window=4, layout=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in substrings.without_repeats(df, window=4).collect()}
     assert got == {1: rows[0][1], 2: " x\n\ny \n", 3: " q  r "}
     assert substrings.dedup(df.limit(0)).count() == 0
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.llm.bpe import _id_type
 from themeloom.llm.words import FACTORS, find_words, mix, slices, span_hash, word_hashes
 from themeloom.session import materialize
 
@@ -110,17 +111,19 @@ def _pairs(names, lo, hi, doc, first, level):
     return out[keep], new_lo[keep], new_hi[keep], doc[keep]
 
 
-def anchors(levels, first: np.ndarray, window: int = WINDOW):
-    """For every window its first word, and name and place of the symbol that stands for it.
+def anchors(levels, hashes: np.ndarray, first: np.ndarray, window: int = WINDOW):
+    """For every window its first word, and key and place of the symbol that stands for it.
 
     Of the symbols decided within a window, on the highest level that has any, the one
     with the least name is taken, the first of equals.  Equal windows take equal ones.
+    The key is a hash of the words that decide the symbol.  Symbols that repeat without
+    a break share one place, so that a periodic text does not get a group per period.
     """
     size = np.diff(first)
     count = np.maximum(size - window + 1, 0)
     total = int(count.sum())
     begin = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
-    name = np.zeros(total, np.uint64)
+    key = np.zeros(total, np.uint64)
     place = np.full(total, -1, np.int64)
     open_ = np.arange(total)
     n = int(first[-1])
@@ -136,14 +139,12 @@ def anchors(levels, first: np.ndarray, window: int = WINDOW):
         has = b > a
         got, a, b = open_[has], a[has], b[has]
         best = _least(names, a, b)
-        if level == 0:
-            # In a run of one word all windows are the same: one group, not one each.
-            new = np.ones(len(names), bool)
-            new[1:] = names[1:] != names[:-1]
-            best = np.maximum.accumulate(np.where(new, np.arange(len(names)), 0))[best]
-        name[got], place[got] = names[best], best * 64 + level
+        key[got] = span_hash(hashes, np.maximum(lo, 0), np.minimum(hi, n), FACTORS[2])[best]
+        new = np.ones(len(names), bool)
+        new[1:] = names[1:] != names[:-1]
+        place[got] = np.maximum.accumulate(np.where(new, np.arange(len(names)), 0))[best] * 64 + level
         open_ = open_[~has]
-    return begin, name, place
+    return begin, key, place
 
 
 def _least(values, a, b):
@@ -176,20 +177,15 @@ def groups(texts: pa.Array, window: int):
             continue
         hashes = word_hashes(part.data, words)
         levels = recompress(hashes, words.row, words.first)
-        begin, name, place = anchors(levels, words.first, window)
+        begin, key, place = anchors(levels, hashes, words.first, window)
         row = words.row[begin]
         new = np.ones(len(begin), bool)
-        new[1:] = (place[1:] != place[:-1]) | (begin[1:] != begin[:-1] + 1)
+        new[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1]) | (begin[1:] != begin[:-1] + 1)
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(begin)) - 1
-        key = np.empty(len(at), np.uint64)
-        symbol, level = place[at] // 64, place[at] % 64
-        for k, (_, lo, hi) in enumerate(levels):
-            of = np.flatnonzero(level == k)
-            key[of] = span_hash(hashes, lo[symbol[of]], hi[symbol[of]], FACTORS[2])
         start, end = begin[at], begin[last] + window
         yield (
-            part.first + row[at], key.view(np.int64),
+            part.first + row[at], key[at].view(np.int64),
             span_hash(hashes, start, end, FACTORS[1]).view(np.int64),
             span_hash(hashes, start, end, FACTORS[3]).view(np.int64),
             start - words.first[row[at]], last - at + 1,
@@ -269,7 +265,7 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
     docs = (
         df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"),
-                F.xxhash64(text_col).alias("body"))
+                F.xxhash64(F.col(text_col).cast("string")).alias("body"))
     )
     shared = materialize(
         docs.select("doc", "text").mapInArrow(_keys(window), "key long, low long, high long")
@@ -281,7 +277,8 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
         docs.select("doc", "text", "body").mapInArrow(_groups(window), GROUP).join(shared, "key", "left_semi"),
         "groups",
     )
-    contents = found.groupBy("key", "c1", "c2").agg(F.min("doc").alias("origin"))
+    # Written before it is joined, so that a content with very many rows can be split.
+    contents = materialize(found.groupBy("key", "c1", "c2").agg(F.min("doc").alias("origin")), "contents")
     several = contents.groupBy("key").agg(F.count("*").alias("contents")).where("contents > 1")
     told = materialize(found.join(contents, ["key", "c1", "c2"]).select(
         "doc", "body", "key", "at", "n", (F.col("origin") < F.col("doc")).alias("whole")), "told")
@@ -295,7 +292,7 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
         .mapInArrow(_windows(window), "doc long, body long, h1 long, h2 long, at int"),
         "windows",
     )
-    first = tried.groupBy("h1", "h2").agg(F.min("doc").alias("origin"))
+    first = materialize(tried.groupBy("h1", "h2").agg(F.min("doc").alias("origin")), "origins")
     single = (
         tried.join(first, ["h1", "h2"]).where("origin < doc")
         .select("doc", "body", "at", F.lit(1).alias("n"))
@@ -303,73 +300,96 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
     return whole.unionByName(single)
 
 
-def _cut(window: int, layout: bool, kind: pa.DataType):
+def cut(texts: pa.Array, spans: pa.Array, window: int, layout: bool):
+    """Slices of a text column with what is left of the texts, and numbers of words and
+    of removed words."""
+    missing = np.asarray(texts.is_null())
+    for part in slices(texts):
+        words = find_words(part)
+        size = np.diff(words.first)
+        own = spans.slice(part.first, part.rows)
+        row = np.repeat(np.arange(part.rows), np.asarray(own.value_lengths().fill_null(0)))
+        flat = own.flatten()
+        begin = words.first[row] + flat.field("at").to_numpy()
+        change = np.zeros(len(words.starts) + 1, np.int64)
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + flat.field("n").to_numpy() + window - 1, -1)
+        gone = np.cumsum(change)[:-1] > 0
+        lost = np.concatenate([[0], np.cumsum(gone)])
+        lost = lost[words.first[1:]] - lost[words.first[:-1]]
+        raw, out = part.data.tobytes(), []
+        for i in range(part.rows):
+            a, b = words.first[i], words.first[i + 1]
+            if layout and (missing[part.first + i] or not lost[i]):
+                out.append(None if missing[part.first + i] else raw[part.bounds[i]:part.bounds[i + 1]])
+                continue
+            keep = np.flatnonzero(~gone[a:b]) + a
+            if layout:
+                # A word goes with the white space behind it.
+                until = np.append(words.starts[a + 1:b], part.bounds[i + 1])[keep - a]
+                lead = raw[part.bounds[i]:words.starts[a]]
+                out.append(lead + b"".join(raw[s:e] for s, e in zip(words.starts[keep], until)))
+            else:
+                out.append(b" ".join(raw[s:e] for s, e in zip(words.starts[keep], words.ends[keep])))
+        kept = pa.array([t if t is None else t.decode() for t in out], pa.string())
+        yield part, kept, size.astype(np.int64), lost.astype(np.int64)
+
+
+def _spans(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """``__doc, __body, __spans``: the repeated windows of each row."""
+    return (
+        repeated_windows(df, id_col, text_col, window)
+        .groupBy(F.col("doc").alias("__doc"), F.col("body").alias("__body"))
+        .agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
+    )
+
+
+def dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """``id_col``, ``n_words``, ``n_removed`` and ``kept`` (the words left, one space
+    between) of every row."""
+    kind, arrow_kind = _id_type(df, id_col)
     schema = pa.schema([
-        ("_id", kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
+        ("_id", arrow_kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2)
-            for part in slices(batch.column(1)):
-                words = find_words(part)
-                size = np.diff(words.first)
-                own = spans.slice(part.first, part.rows)
-                row = np.repeat(np.arange(part.rows), np.asarray(own.value_lengths().fill_null(0)))
-                flat = own.flatten()
-                begin = words.first[row] + flat.field("at").to_numpy()
-                change = np.zeros(len(words.starts) + 1, np.int64)
-                np.add.at(change, begin, 1)
-                np.add.at(change, begin + flat.field("n").to_numpy() + window - 1, -1)
-                gone = np.cumsum(change)[:-1] > 0
-                lost = np.add.reduceat(np.append(gone, False), words.first[:-1]) if part.rows else size
-                lost = np.where(size > 0, lost, 0)
-                raw, texts = part.data.tobytes(), []
-                for i in range(part.rows):
-                    a, b = words.first[i], words.first[i + 1]
-                    if layout and not lost[i]:
-                        texts.append(raw[part.bounds[i]:part.bounds[i + 1]])
-                        continue
-                    keep = np.flatnonzero(~gone[a:b]) + a
-                    if layout:
-                        # A word goes with the white space behind it.
-                        until = np.append(words.starts[a + 1:b], part.bounds[i + 1])[keep - a]
-                        lead = raw[part.bounds[i]:words.starts[a]]
-                        texts.append(lead + b"".join(
-                            raw[s:e] for s, e in zip(words.starts[keep], until)))
-                    else:
-                        texts.append(b" ".join(
-                            raw[s:e] for s, e in zip(words.starts[keep], words.ends[keep])))
+            for part, kept, size, lost in cut(batch.column(1), batch.column(2), window, False):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(part.first, part.rows), pa.array(size.astype(np.int64)),
-                    pa.array(lost.astype(np.int64)),
-                    pa.array([t.decode() for t in texts], pa.string()),
+                    batch.column(0).slice(part.first, part.rows), pa.array(size), pa.array(lost), kept,
                 ], schema=schema)
 
-    return run
+    text = F.col(text_col).cast("string")
+    docs = df.select(
+        F.col(id_col).alias("_id"), text.alias("_text"), F.col(id_col).cast("long").alias("__doc"),
+        F.xxhash64(text).alias("__body"))
+    return (
+        docs.join(_spans(df, id_col, text_col, window), ["__doc", "__body"], "left").select("_id", "_text", "__spans")
+        .mapInArrow(run, f"_id {kind}, n_words long, n_removed long, kept string")
+        .withColumnRenamed("_id", id_col)
+    )
 
 
-def dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-    layout: bool = False,
+def without_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """``id_col``, ``n_words``, ``n_removed`` and ``kept`` of every row.
+    """The rows of ``df``, all columns, with repeated words taken out of their texts, each
+    with the white space behind it."""
+    place = df.columns.index(text_col)
 
-    ``kept`` joins the words left by one space, or with ``layout`` is the text without
-    the removed words and the white space behind each.
-    """
-    from themeloom.llm.bpe import _id_type
-
-    kind, arrow_kind = _id_type(df, id_col)
-    spans = (
-        repeated_windows(df, id_col, text_col, window)
-        .groupBy("doc", "body").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    )
-    docs = df.select(
-        F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
-        F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("body"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(range(2, batch.num_columns))
+            for part, kept, _, _ in cut(batch.column(0), batch.column(1), window, True):
+                own = rows.slice(part.first, part.rows)
+                yield own.set_column(place, own.schema.field(place).with_type(pa.string()), kept)
+
+    text = F.col(text_col).cast("string")
+    keyed = df.select(
+        text.alias("__text"), F.col(id_col).cast("long").alias("__doc"), F.xxhash64(text).alias("__body"), *df.columns)
     return (
-        docs.join(spans, ["doc", "body"], "left").select("_id", "_text", "spans")
-        .mapInArrow(_cut(window, layout, arrow_kind), f"_id {kind}, n_words long, n_removed long, kept string")
-        .withColumnRenamed("_id", id_col)
+        keyed.join(_spans(df, id_col, text_col, window), ["__doc", "__body"], "left")
+        .select("__text", "__spans", *df.columns).mapInArrow(run, df.schema)
     )
