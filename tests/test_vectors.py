@@ -38,18 +38,16 @@ def by_query(hits, column="code"):
 
 
 @pytest.mark.parametrize("skip_self", [False, True])
-@pytest.mark.parametrize("path", ["sent", "blocks"])
+@pytest.mark.parametrize("path", ["sent", "rounds"])
 def test_topk_with_many_copies(spark, monkeypatch, path, skip_self):
     """A third of the rows share one vector, and ties go to the smallest ids."""
     vectors = rng.normal(size=(300, 8))
     vectors[::3] = vectors[0]
     rows = collection(spark, vectors)
     pairs = [(f"{i:04d}", v) for i, v in enumerate(vectors)]
-    if path == "blocks":
-        monkeypatch.setattr(search, "MAX_QUERY_BYTES", 0)
+    if path == "rounds":
+        monkeypatch.setattr(search, "MAX_QUERY_BYTES", 8 * 8 * 70)
         monkeypatch.setattr(search, "FEW_QUERIES", 1)
-        monkeypatch.setattr(search, "QUERY_BLOCK", 64)
-        monkeypatch.setattr(search, "ROW_BLOCK", 50)
     got = by_query(search.topk(as_queries(rows), rows, 7, skip_self=skip_self))
     assert got == brute(pairs, pairs, 7, skip_self)
 

@@ -86,6 +86,15 @@ def _topk(metric):
 
 
 R.add("t1_topk", topk_sql(gap_sql("q.v", "d.v"), 10))(_topk("l2sq"))
+
+
+@R.add("t1_topk_rounds", topk_sql(gap_sql("q.v", "d.v"), 10))
+def topk_rounds(spark, sf):
+    """The same with the queries in about five rounds."""
+    asked = _all_queries(spark, sf)
+    return search.topk(asked, doc_vectors(spark, sf), 10, query_bytes=asked.count() * 64 * 8 // 5 + 1)
+
+
 R.add("t1_topk_l2", topk_sql(f"sqrt({gap_sql('q.v', 'd.v')})", 10))(_topk("l2"))
 R.add("t1_topk_cosine", topk_sql(f"1.0 - {cos_sql('q.v', 'd.v')}", 10))(_topk("cosine"))
 

@@ -20,11 +20,11 @@ from themeloom.functions.blocks import Nearest, closest, matrix
 from themeloom.operators.scale import checked_broadcast, spread
 from themeloom.session import materialize, scratch_path
 
-# Query vectors are sent to every task only below this size.
+# Query vectors sent to every task at once.
 MAX_QUERY_BYTES = 64 << 20
 # So few are fetched before their size is looked at.
 FEW_QUERIES = 1024
-# Upper sizes of the blocks that are compared when they are more than that.
+# Upper sizes of the blocks that the approximate search compares.
 QUERY_BLOCK = 4096
 ROW_BLOCK = 32768
 # An id list this long still becomes a pushed-down filter.
@@ -103,23 +103,35 @@ def nearest(
     key: str = "id",
     payload: Sequence[str] = (),
     skip_self: bool = False,
+    query_bytes: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, *payload, d): exact ``k`` nearest rows per query.
 
     ``queries`` has (query_id, embedding) with unique ids, ``collection`` one row
-    per id.  While the counted queries fit into ``MAX_QUERY_BYTES`` they go to
-    every task, which scans its part of the collection and passes on ``k`` rows
-    per query.  More queries are compared block by block in a co-grouped job.
+    per id.  The queries go to every task, which scans its part of the collection
+    and passes on ``k`` rows per query.  More queries than ``query_bytes`` hold
+    (``MAX_QUERY_BYTES`` by default) go in rounds; the collection is read once a
+    round and never moved.
     """
+    query_bytes = MAX_QUERY_BYTES if query_bytes is None else query_bytes
     if metric not in vx.METRICS:
         raise ValueError(f"metric must be one of {vx.METRICS}, not {metric!r}")
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")) \
         .where(F.col("embedding").isNotNull())
     rows = collection.select(F.col(key).alias("id"), *payload, "embedding") \
         .where(F.col("embedding").isNotNull())
-    found = _by_sent_queries(asked, rows, k, metric, skip_self)
-    if found is None:
-        found = _by_blocks(asked, rows, k, metric, skip_self)
+    table = _fetched(asked, query_bytes)
+    if table is not None:
+        return _best(_scan(asked, table, rows, k, metric, skip_self), k)
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    rounds = math.ceil(size["n"] / max(1, query_bytes // (8 * max(size["d"], 1))))
+    # Written once, so that every round reads its own part only.
+    dealt = materialize(asked.withColumn("_round", _block_of("query_id", rounds)), "asked")
+    found = None
+    for i in range(rounds):
+        part = dealt.where(F.col("_round") == i).drop("_round")
+        hits = _scan(part, part.toArrow(), rows, k, metric, skip_self)
+        found = hits if found is None else found.unionByName(hits)
     return _best(found, k)
 
 
@@ -134,15 +146,19 @@ def _hit_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
 
 
-def _by_sent_queries(queries, rows, k, metric, skip_self) -> DataFrame | None:
-    spark = rows.sparkSession
+def _fetched(queries: DataFrame, query_bytes: int) -> pa.Table | None:
+    """The queries, unless they hold more than ``query_bytes``."""
     table = queries.limit(FEW_QUERIES + 1).toArrow()
-    if table.num_rows > FEW_QUERIES:
-        width = len(table.column("embedding")[0])
-        limit = max(1, MAX_QUERY_BYTES // (8 * max(width, 1)))
-        table = queries.limit(limit + 1).toArrow() if limit > FEW_QUERIES else table
-        if table.num_rows > limit:
-            return None
+    if not table.num_rows:
+        return table
+    limit = max(1, query_bytes // (8 * max(len(table.column("embedding")[0]), 1)))
+    if table.num_rows > FEW_QUERIES and limit > FEW_QUERIES:
+        table = queries.limit(limit + 1).toArrow()
+    return table if table.num_rows <= limit else None
+
+
+def _scan(queries: DataFrame, table: pa.Table, rows: DataFrame, k, metric, skip_self) -> DataFrame:
+    spark = rows.sparkSession
     schema = _hit_schema(queries, rows)
     sent = spark.sparkContext.broadcast((
         table.column("query_id").combine_chunks(), matrix(table.column("embedding")),
@@ -185,27 +201,12 @@ def _compare(queries: DataFrame, rows: DataFrame, on: list[str], k, metric, skip
     return queries.groupBy(*on).cogroup(rows.groupBy(*on)).applyInArrow(pair, schema)
 
 
-def _by_blocks(queries, rows, k, metric, skip_self) -> DataFrame:
-    """Every query block meets every row block, each in a group of bounded size."""
-    q_blocks = math.ceil(queries.count() / QUERY_BLOCK) or 1
-    r_blocks = math.ceil(rows.count() / ROW_BLOCK) or 1
-    left = queries.select(
-        "*", _block_of("query_id", q_blocks).alias("_q"),
-        F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("_r"),
-    )
-    right = rows.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_q"),
-        _block_of("id", r_blocks).alias("_r"),
-    )
-    return _compare(left, right, ["_q", "_r"], k, metric, skip_self)
-
-
 def topk(
     queries: DataFrame, collection: DataFrame, k: int = 10, metric: str = "l2sq",
-    skip_self: bool = False,
+    skip_self: bool = False, query_bytes: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, code, name, score, distance) for many queries at once."""
-    hits = nearest(queries, collection, k, metric, "id", ["stock_name"], skip_self)
+    hits = nearest(queries, collection, k, metric, "id", ["stock_name"], skip_self, query_bytes)
     return _scored(hits).select(
         "query_id", "rank", F.col("id").alias("code"), F.col("stock_name").alias("name"),
         "score", "distance",
