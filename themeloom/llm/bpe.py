@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+import types
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -175,16 +177,19 @@ class Codec:
         return " ".join([strings[i] for i in array("I", ids)])
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(content: bytes) -> Codec:
-    """One codec per worker and vocabulary, so that its memory lasts over tasks."""
+    """One codec per worker and vocabulary, so that its memory lasts over tasks.
+
+    Functions reach tasks by value, and with them the globals of this module; the table
+    of loaded modules stays with the worker.
+    """
+    held = sys.modules.setdefault("themeloom_codecs", types.ModuleType("themeloom_codecs"))
     key = hashlib.sha256(content).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(content)
-    return _CODECS[key]
+    own = vars(held).get(key)
+    if own is None:
+        own = Codec(content)
+        setattr(held, key, own)
+    return own
 
 
 def vocabulary(path: str) -> bytes:
