@@ -22,6 +22,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = {
     "t2_similar_to_id": "embeddings",
     "t1_topk": "embeddings",
+    "t1_topk_rounds": "embeddings",
+    "t6_approx_topk": "embeddings",
     "t2_similar_to": "embeddings",
     "t3_topk_keywords": "embeddings",
     "t7_score_pairs": "lineitem",
