@@ -38,6 +38,20 @@ def test_rejects_only_what_is_far_away(spark, model):
         assert 0 <= r["score"] <= 1
 
 
+def test_junk_longer_than_all_labelled_texts_is_rejected(model):
+    pick = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    junk = ["".join(pick.choices(letters, k=n)) for n in (500, 1000, 4000, 40_000)]
+    part = next(slices(pa.array([*junk, ENGLISH * 500])))
+    bands = langid.size_band(langid.counts(part))
+    learned = langid.size_band(langid.counts(next(slices(pa.array([ENGLISH * 5, GERMAN * 5]))))).max()
+    assert bands[3] > learned + 2
+    assert langid.judge(model, part)[2].tolist() == [True, True, True, True, False]
+    # Sizes below the smallest learned one have no limit, larger ones all have one.
+    held = np.flatnonzero(model.limits)
+    assert held[-1] == langid.SIZE_BANDS - 1 and (np.diff(held) == 1).all()
+
+
 def test_nothing_to_learn_from_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = langid.fit(df)

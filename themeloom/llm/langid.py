@@ -189,9 +189,13 @@ def fit(
         return None
     blocks = [np.frombuffer(bytes(r["centers"]), "<f4").reshape(-1, BUCKETS) for r in learned]
     usual = np.array([r["usual"] for r in learned], float)
-    # The usual cosine at a size or nearly that size; sizes never seen have no limit.
+    # The usual cosine at a size or nearly that size.
     seen = np.pad(np.fmin.reduce(usual, axis=0), (1, 2), constant_values=np.nan)
     near = np.fmin.reduce([seen[i:i + SIZE_BANDS] for i in range(4)], axis=0)
+    # A size never seen is judged as the next smaller one; below the smallest there is no limit.
+    for band in range(1, SIZE_BANDS):
+        if np.isnan(near[band]):
+            near[band] = near[band - 1]
     limits = np.where(np.isnan(near), 0, near) * MARGIN
     limits[:JUDGED_FROM] = 0
     return Model(
