@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from themeloom.llm import langid, queries
 from themeloom.llm.words import slices
@@ -52,6 +53,20 @@ def test_junk_longer_than_all_labelled_texts_is_rejected(model):
     assert held[-1] == langid.SIZE_BANDS - 1 and (np.diff(held) == 1).all()
 
 
+def test_copies_of_a_text_do_not_starve_its_language(spark):
+    words = GERMAN.split()
+    rows = [(f"{words[i % 17]} {GERMAN[i:]} {words[i % 13]}", "de") for i in range(40)] + [(ENGLISH, "en")] * 3
+    copies = spark.range(300_000).select(F.lit("seite nicht gefunden").alias("text"), F.lit("de").alias("lang"))
+    df = spark.createDataFrame(rows, "text string, lang string").union(copies)
+    model = langid.fit(df)
+    assert model.languages == ["de", "en"]
+    lang, _, rejected = langid.judge(model, next(slices(pa.array([GERMAN * 3, ENGLISH * 3]))))
+    assert lang.tolist() == ["de", "en"] and not rejected.any()
+    # A small sample has different texts in it, whichever are copied.
+    few = langid.fit(df, per_language=20)
+    assert few.languages == ["de", "en"]
+
+
 def test_nothing_to_learn_from_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = langid.fit(df)

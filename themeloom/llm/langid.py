@@ -6,8 +6,8 @@ texts.  The prediction is the language of the centroid with the largest cosine,
 is the score.  A text farther from every centroid than labelled texts of similar size
 usually are, by a margin, is rejected.
 
-Document frequencies cover all training texts; the sample (``per_language`` texts of
-each language, picked by a hash) only places the centroids and the limits.
+Document frequencies cover all training texts; the sample (``per_language`` different
+texts of each language, picked by a hash) only places the centroids and the limits.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and
 rejected; a text too short for a trigram gets the language of the first centroid in
@@ -150,19 +150,27 @@ def fit(
     rows = df.select(
         F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")
     ).where("_text is not null and _lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    # Copies of a text are one text here, known by its hash; they all would be picked or left.
+    hashed = rows.withColumn("_hash", F.xxhash64("_text"))
+    sizes = {
+        r[0]: r[1]
+        for r in hashed.select("_lang", "_hash").distinct().groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()
+    }
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; is the label column right?")
     if not sizes:
         return None
     found, total = document_frequencies(rows, "_text")
     idf = (np.log((1 + total) / (1 + found)) + 1).astype(np.float32)
-    # A hash picks about per_language texts of each language where they lie.
+    # The hash picks about per_language different texts of each language where they lie.
     share: Column = F.lit(0)
     for lang, n in sizes.items():
         part = min(1 << 30, int((1 << 30) * 1.2 * per_language / n))
         share = F.when(F.col("_lang") == lang, part).otherwise(share)
-    picked = rows.withColumn("_pick", F.pmod(F.xxhash64("_text"), F.lit(1 << 30))).where(F.col("_pick") < share)
+    picked = (
+        hashed.select("_lang", "_text", F.pmod("_hash", F.lit(1 << 30)).alias("_pick"))
+        .where(F.col("_pick") < share).distinct()
+    )
 
     def one_language(key, group):
         import pandas as pd
