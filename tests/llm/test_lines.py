@@ -38,6 +38,17 @@ def test_odd_texts(spark):
     assert run(spark, []) == []
 
 
+def test_identical_lines_of_many_fields_recur_in_the_pipeline(spark):
+    rows = [(i, f"Page 3 of 10\nown {'abcdef'[i]}\nUpdated 2024-05-01\n{i} {i} {i}\nCopyright  2024 v{i // 2}") for i in range(6)]
+    rows += [(6, "Copyright 2024"), (7, "x\nCopyright 2024\nPage 3 of 11"), (8, "\tCopyright 2024 "), (9, None)]
+    rows += [(7, "x\nCopyright 2024\nPage 3 of 11")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")
+    got = sorted(((r["doc_id"], r["text"]) for r in lines.without_recurring(df).collect()), key=repr)
+    want = [rows[0]] + [(i, f"own {'abcdef'[i]}\n{i} {i} {i}\nCopyright  2024 v{i // 2}") for i in range(1, 6)]
+    # Three documents have the line of 2024 alone, two those of one version: these stay.
+    assert got == sorted([*want, (6, "Copyright 2024"), *[(7, "x\nPage 3 of 11")] * 2, (8, ""), (9, None)], key=repr)
+
+
 def test_query_equals_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")

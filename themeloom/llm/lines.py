@@ -53,7 +53,8 @@ class Lines:
         self.row = words.row[first]
         digits = np.concatenate([[0], np.cumsum((part.data >= 48) & (part.data <= 57))])
         field = digits[words.ends] > digits[words.starts]
-        self.tokens = np.where(field, FIELD, word_hashes(part.data, words))
+        self.words = word_hashes(part.data, words)
+        self.tokens = np.where(field, FIELD, self.words)
         size = (self.end - self.first).astype(np.uint64)
         lead = span_hash(self.tokens, self.first, np.minimum(self.first + depth, self.end), FACTORS[1])
         self.leaf = mix(lead + size * np.uint64(FACTORS[2])).view(np.int64)
@@ -64,6 +65,10 @@ class Lines:
         after = np.append(feeds + 1, part.bounds[-1])
         self.stop = np.minimum(after[before], part.bounds[self.row + 1]) if len(first) else first
 
+    def exact(self) -> np.ndarray:
+        """Content with digits; that of a line without fields is its content."""
+        return span_hash(self.words, self.first, self.end, FACTORS[3]).view(np.int64)
+
 
 def _distinct(*keys: np.ndarray) -> np.ndarray:
     order = np.lexsort(keys)
@@ -99,6 +104,24 @@ def _seen(depth: int):
     return run
 
 
+def _with_fields(depth: int):
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("content", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(2)):
+                lines = Lines(part, depth)
+                exact = lines.exact()
+                own = _distinct(exact, lines.row)
+                own = own[exact[own] != lines.content[own]]
+                at = pa.array(part.first + lines.row[own])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(at), batch.column(1).take(at), pa.array(exact[own]),
+                ], schema=schema)
+
+    return run
+
+
 def _tokens(depth: int):
     schema = pa.schema([("leaf", pa.int64()), ("content", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
@@ -119,12 +142,13 @@ def _tokens(depth: int):
     return run
 
 
-def cut(texts: pa.Array, drops: pa.Array, depth: int):
+def cut(texts: pa.Array, drops: pa.Array, depth: int, identical: bool = False):
     """Slices of a text column with their texts without the dropped lines, the numbers of
-    lines and of dropped lines."""
+    lines and of dropped lines.  With ``identical``, drops may be exact contents too."""
     missing = np.asarray(texts.is_null())
     for part in slices(texts):
         lines = Lines(part, depth)
+        exact = lines.exact() if identical else lines.content
         raw = part.data.tobytes()
         feeds = np.concatenate([[0], np.cumsum(part.data == 10)])
         counts = feeds[part.bounds[1:]] - feeds[part.bounds[:-1]] + 1
@@ -139,7 +163,7 @@ def cut(texts: pa.Array, drops: pa.Array, depth: int):
                 continue
             own = np.arange(first[i], first[i + 1])
             gone = drops[part.first + i].values
-            own = own[np.isin(lines.content[own], gone.to_numpy())] if gone is not None else own[:0]
+            own = own[np.isin([lines.content[own], exact[own]], gone.to_numpy()).any(axis=0)] if gone is not None else own[:0]
             pieces, at = [], begin
             for k in own:
                 pieces.append(raw[at:lines.start[k]])
@@ -194,14 +218,30 @@ def recurring_lines(
     )
 
 
-def _drops(df: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int, share: float) -> DataFrame:
+def identical_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``row, content`` of lines with fields that recur as they are, whatever their share of
+    constants; those without fields are templates of their own."""
+    found = materialize(
+        docs.select(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "row", "text")
+        .mapInArrow(_with_fields(depth), "doc long, row long, content long").distinct(), "fields")
+    recurring = materialize(
+        found.groupBy("content").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "row")).alias("first"))
+        .where(F.col("docs") >= min_docs).select("content", F.col("first.row").alias("first")), "identical")
+    return found.join(recurring, "content").where("row != first").select("row", "content")
+
+
+def _drops(
+    df: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int, share: float, identical: bool = False
+) -> DataFrame:
     """``__row, __drops``: the lines that each row loses."""
     text = F.col(text_col).cast("string")
     docs = df.select(
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
+    lost = recurring_lines(docs, depth, min_docs, share)
+    if identical:
+        lost = lost.union(identical_lines(docs, depth, min_docs))
     return (
-        recurring_lines(docs, depth, min_docs, share)
-        .groupBy(F.col("row").alias("__row")).agg(F.collect_list("content").alias("__drops"))
+        lost.groupBy(F.col("row").alias("__row")).agg(F.collect_list("content").alias("__drops"))
     )
 
 
@@ -237,18 +277,22 @@ def without_recurring(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
     min_docs: int = MIN_DOCS, share: float = SHARE,
 ) -> DataFrame:
-    """The rows of ``df``, all columns, with the recurring lines taken out of their texts."""
+    """The rows of ``df``, all columns, with the recurring lines taken out of their texts.
+
+    Identical lines recur here even if fewer than ``share`` of their tokens are constants;
+    ``dedup`` goes by templates alone, as its SQL does.
+    """
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.select(range(2, batch.num_columns))
-            for part, kept, _, _ in cut(batch.column(0), batch.column(1), depth):
+            for part, kept, _, _ in cut(batch.column(0), batch.column(1), depth, identical=True):
                 own = rows.slice(part.first, part.rows)
                 yield own.set_column(place, own.schema.field(place).with_type(pa.string()), kept)
 
     text = F.col(text_col).cast("string")
-    drops = _drops(df, id_col, text_col, depth, min_docs, share)
+    drops = _drops(df, id_col, text_col, depth, min_docs, share, identical=True)
     keyed = df.select(F.xxhash64(F.col(id_col), text).alias("__row"), text.alias("__text"), *df.columns)
     return (
         keyed.join(drops, "__row", "left").select("__text", "__drops", *df.columns).mapInArrow(run, df.schema)
