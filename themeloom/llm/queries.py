@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, fingerprints, jaccard, langid, lines, lm, packing, substrings, topk, warc
+from themeloom.llm import bpe, fim, fingerprints, jaccard, langid, lines, lm, packing, substrings, topk, warc
 from themeloom.session import scratch_path
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -102,6 +102,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, and its text rebuilt from the output."""
+    cut = fim.transform(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -113,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_jaccard": op9_jaccard,
     "op10_substrings": op10_substrings,
+    "op11_fim": op11_fim,
 }
 
 SQL: dict[str, str] = {
@@ -120,4 +130,5 @@ SQL: dict[str, str] = {
     "op3_topk": topk.SQL,
     "op4_fingerprints": fingerprints.SQL,
     "op7_lines": lines.SQL,
+    "op11_fim": fim.SQL,
 }
