@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, fim, fingerprints, jaccard, langid, lines, lm, packing, substrings, topk, warc
+from themeloom.llm import bpe, fim, fingerprints, jaccard, langid, lexical, lines, lm, packing, substrings, topk, warc
 from themeloom.session import scratch_path
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -111,6 +111,11 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_substrings": op10_substrings,
     "op11_fim": op11_fim,
+    "op12_lexical": op12_lexical,
 }
 
 SQL: dict[str, str] = {
@@ -131,4 +137,5 @@ SQL: dict[str, str] = {
     "op4_fingerprints": fingerprints.SQL,
     "op7_lines": lines.SQL,
     "op11_fim": fim.SQL,
+    "op12_lexical": lexical.SQL,
 }

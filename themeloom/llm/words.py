@@ -91,6 +91,49 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor:
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIERS: dict[int, np.ndarray] = {}
+
+
+def multipliers(family: int, n: int) -> np.ndarray:
+    """At least ``n`` random numbers, the same in every process, one for each place of a span."""
+    held = _MULTIPLIERS.get(family)
+    if held is None or len(held) < n:
+        size = max(1024, 1 << int(n - 1).bit_length())
+        held = mix(np.arange(1, size + 1, dtype=np.uint64) * GOLD + mix(np.full(1, family, np.uint64) + GOLD))
+        if size <= SLICE_BYTES:
+            _MULTIPLIERS[family] = held
+    return held
+
+
+def sequence_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
+    """64-bit hash of ``values[start:end]`` for spans that follow one another without overlap.
+
+    Every place of a span has a multiplier of its own, so there are no arrangements of the
+    same values whose hashes are equal by structure, as those of powers of one factor are
+    for a Thue-Morse word and its complement.  Families are independent of each other.
+    """
+    n = len(values)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    longest = int(size.max())
+    place = np.arange(n) - np.concatenate([
+        np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, n)))])
+    factor = multipliers(family, longest + 1)[np.minimum(place, longest)]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * factor, dtype=np.uint64, out=sums[1:])
+    return mix(sums[ends] - sums[starts] + size.astype(np.uint64) * GOLD)
+
+
+def window_hash(values: np.ndarray, starts: np.ndarray, width: int, family: int) -> np.ndarray:
+    """64-bit hash of ``values[start:start + width]``; windows may overlap."""
+    out = np.zeros(len(starts), np.uint64)
+    for place, factor in enumerate(multipliers(family, width)[:width]):
+        out += values[starts + place] * factor
+    return mix(out + np.uint64(width) * GOLD)
+
+
 @dataclass
 class Words:
     """Words of a slice: byte spans, the row of each, and where each row's words begin."""
@@ -101,8 +144,9 @@ class Words:
     first: np.ndarray
 
 
-def find_words(part: Slice) -> Words:
-    inside = ~IS_SPACE[part.data]
+def find_words(part: Slice, apart: np.ndarray = IS_SPACE) -> Words:
+    """Words between the bytes that ``apart`` marks."""
+    inside = ~apart[part.data]
     n = len(inside)
     begins = np.zeros(n + 1, bool)
     begins[part.bounds] = True
@@ -116,9 +160,9 @@ def find_words(part: Slice) -> Words:
     return Words(starts, ends, row, first)
 
 
-def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
+def word_hashes(data: np.ndarray, words: Words, family: int = 0) -> np.ndarray:
     """A 64-bit hash of every word; ``data`` are the bytes as they are to be compared."""
-    return span_hash(_BYTE[data], words.starts, words.ends, FACTORS[0])
+    return sequence_hash(_BYTE[data], words.starts, words.ends, family)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
