@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, fim, fingerprints, jaccard, langid, lexical, lines, lm, packing, substrings, topk, warc
+from themeloom.llm import bpe, fim, fingerprints, jaccard, langid, lexical, lines, lm, packing, sharding, substrings, topk, warc
 from themeloom.session import scratch_path
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -116,6 +116,19 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, sources in proportion in every shard."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    rows = docs.select(
+        "doc_id", "source", F.sha2("text", 256).alias("digest"), sharding.size_of(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
+    placed = sharding.assign(rows, key=["doc_id", "digest"], keep=["doc_id", "size", "text_crc32"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -129,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
     "op11_fim": op11_fim,
     "op12_lexical": op12_lexical,
+    "op13_sharding": op13_sharding,
 }
 
 SQL: dict[str, str] = {
