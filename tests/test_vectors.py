@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.functions.blocks import Nearest, closest
-from themeloom.operators import clusters, search, themes
+from themeloom.operators import approx, clusters, search, themes
 
 rng = np.random.default_rng(7)
 
@@ -38,16 +38,18 @@ def by_query(hits, column="code"):
 
 
 @pytest.mark.parametrize("skip_self", [False, True])
-@pytest.mark.parametrize("path", ["sent", "rounds"])
+@pytest.mark.parametrize("path", ["sent", "one block", "blocks"])
 def test_topk_with_many_copies(spark, monkeypatch, path, skip_self):
     """A third of the rows share one vector, and ties go to the smallest ids."""
     vectors = rng.normal(size=(300, 8))
     vectors[::3] = vectors[0]
     rows = collection(spark, vectors)
     pairs = [(f"{i:04d}", v) for i, v in enumerate(vectors)]
-    if path == "rounds":
-        monkeypatch.setattr(search, "MAX_QUERY_BYTES", 8 * 8 * 70)
-        monkeypatch.setattr(search, "FEW_QUERIES", 1)
+    if path != "sent":
+        monkeypatch.setattr(search, "MAX_QUERY_BYTES", 1)
+    if path == "blocks":
+        monkeypatch.setattr(search, "QUERY_BLOCK", 40)
+        monkeypatch.setattr(search, "ROW_BLOCK", 25)
     got = by_query(search.topk(as_queries(rows), rows, 7, skip_self=skip_self))
     assert got == brute(pairs, pairs, 7, skip_self)
 
@@ -90,28 +92,112 @@ def test_block_kernel_across_slices():
     assert blocks.matrix(pa.array([], pa.list_(pa.float64()))).shape == (0, 0)
 
 
-def test_approximate_search_recall(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(
+def numpy_distance(metric, q, v):
+    if metric == "cosine":
+        return 1 - q @ v / (np.linalg.norm(q) * np.linalg.norm(v) + 1e-8)
+    return float(np.sqrt(((q - v) ** 2).sum()))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_blocks_are_pruned_and_lose_nothing(spark, monkeypatch, metric):
+    """Far groups, short vectors and zeros; block pairs that cannot matter are left out."""
+    centers = rng.normal(size=(8, 6)) * 20
+    vectors = np.vstack([c + rng.normal(size=(60, 6)) for c in centers] + [np.zeros((3, 6)), 1e-9 * rng.normal(size=(5, 6))])
+    vectors[100:140] = vectors[100]
+    rows = collection(spark, vectors)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(search, "ROW_BLOCK", 30)
+    seen = []
+    real = search._surviving
+    monkeypatch.setattr(search, "_surviving", lambda *a: seen.append((len(a[0]) * len(a[1]), real(*a))) or seen[-1][1])
+    got = by_query(search.topk(as_queries(rows), rows, 5, metric, skip_self=True, query_bytes=1))
+    (possible, kept), = seen
+    assert len(kept) < possible
+    for i, q in enumerate(vectors):
+        d = {f"{j:04d}": numpy_distance(metric, q, v) for j, v in enumerate(vectors) if j != i}
+        limit = sorted(d.values())[4]
+        assert len(got[f"{i:04d}"]) == 5 and all(d[c] <= limit + 1e-7 for c in got[f"{i:04d}"])
+
+
+def test_queries_never_pass_through_the_driver(spark, monkeypatch):
+    rows = collection(spark, rng.normal(size=(200, 4)))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(search, "_scan", None)
+    assert search.topk(as_queries(rows), rows, 3, query_bytes=1).count() == 600
+
+
+def sf_vectors(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(
         F.lpad(F.col("vec_id").cast("string"), 6, "0").alias("id"), F.lit("n").alias("stock_name"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
+
+
+@pytest.mark.parametrize("k, metric", [(10, "l2sq"), (30, "l2"), (10, "cosine")])
+def test_approximate_search_recall(spark, sf, k, metric):
+    rows = sf_vectors(spark, sf)
+    exact = search.topk(as_queries(rows), rows, k, metric)
+    index = approx.build_index(rows, n_lists=40)
+    assert approx.recall(approx.approx_topk(as_queries(rows), index, k, metric=metric), exact).first().recall >= 0.9
+    lists, vectors = index.settings_for(k, metric)
+    assert lists <= index.model.lists and k <= vectors < index.size
+    whole = approx.approx_topk(as_queries(rows), index, k, probes=index.model.lists, metric=metric, rerank=index.size)
+    assert approx.recall(whole, exact).first().recall == 1.0
+
+
+def test_lists_prune_where_vectors_lie_in_groups(spark):
+    """With neighbours close together a tenth of the rows is enough."""
+    centers = rng.normal(size=(50, 16)) * 5
+    vectors = np.vstack([c + 0.3 * rng.normal(size=(40, 16)) for c in centers])
+    rows = collection(spark, vectors)
+    index = approx.build_index(rows)
+    lists, measured = index.settings_for(10, "l2sq")
+    sizes = np.sort(index.sizes)[::-1]
+    assert measured <= 0.1 * index.size and sizes[:lists].sum() <= 0.35 * index.size
     exact = search.topk(as_queries(rows), rows, 10)
-    index = search.build_index(rows, n_lists=40)
-    share = search.recall(search.approx_topk(as_queries(rows), index, 10), exact).first().recall
-    assert 0.9 <= share
-    whole = search.approx_topk(as_queries(rows), index, 10, probes=len(index.centers))
-    assert search.recall(whole, exact).first().recall == 1.0
+    assert approx.recall(approx.approx_topk(as_queries(rows), index, 10), exact).first().recall >= 0.9
 
 
-def test_approximate_search_splits_a_large_list(spark, monkeypatch):
-    monkeypatch.setattr(search, "ROW_BLOCK", 16)
+@pytest.mark.parametrize("skip_self", [False, True])
+def test_approximate_search_splits_a_large_group(spark, monkeypatch, skip_self):
+    monkeypatch.setattr(approx, "ROW_BLOCK", 16)
+    monkeypatch.setattr(approx, "LEAST_BLOCK", 30)
     vectors = rng.normal(size=(200, 4))
     vectors[:70] = vectors[0]
     rows = collection(spark, vectors)
-    index = search.build_index(rows, n_lists=3)
-    hits = search.approx_topk(as_queries(rows), index, 5, probes=3)
+    index = approx.build_index(rows, n_lists=3)
+    assert index.size == 200
+    hits = approx.approx_topk(as_queries(rows), index, 5, probes=4, rerank=200, skip_self=skip_self)
     pairs = [(f"{i:04d}", v) for i, v in enumerate(vectors)]
-    assert by_query(hits) == brute(pairs, pairs, 5)
+    assert by_query(hits) == brute(pairs, pairs, 5, skip_self)
+
+
+def test_approximate_search_probes_until_it_has_k(spark):
+    rows = collection(spark, rng.normal(size=(120, 4)))
+    index = approx.build_index(rows, n_lists=30)
+    got = by_query(approx.approx_topk(as_queries(rows), index, 60, probes=1, rerank=60))
+    assert len(got) == 120 and all(len(set(v)) == 60 for v in got.values())
+    assert approx.approx_topk(as_queries(rows).limit(2), index, 200, probes=1, rerank=1).count() == 240
+
+
+def test_approximate_search_of_few_or_no_rows(spark):
+    rows = collection(spark, np.eye(3))
+    index = approx.build_index(rows)
+    assert by_query(approx.approx_topk(as_queries(rows), index, 2, skip_self=True)).keys() == {"0000", "0001", "0002"}
+    none = approx.build_index(rows.where("false"))
+    assert none.size == 0 and approx.approx_topk(as_queries(rows), none, 2).count() == 0
+    assert approx.approx_topk(as_queries(rows).where("false"), index, 2).count() == 0
+
+
+def test_many_lists_rank_those_of_near_groups(spark, monkeypatch):
+    monkeypatch.setattr(approx, "RANKED_LISTS", 10)
+    x = rng.normal(size=(3000, 8))
+    model = approx.fit(x, 400, 1)
+    sizes = np.bincount(model.encode(x)[0], minlength=model.lists)
+    near = model.near_lists(x[:50], "l2sq", 20, 10, sizes)
+    assert all(len(n) >= 20 and (sizes[n] > 0).all() for n in near)
+    deep = model.near_lists(x[:5], "l2sq", 1, 3000, sizes)
+    assert all(sizes[n].sum() == 3000 for n in deep)
 
 
 def test_kmeans_properties(spark):
@@ -163,6 +249,7 @@ def test_assign_beyond_the_sent_centers(spark, monkeypatch):
     centers = rows.limit(5).select(F.col("id").cast("int").alias("cluster_id"), "embedding")
     near = {r.id: r.cluster_id for r in clusters.assign(rows, centers).collect()}
     monkeypatch.setattr(clusters, "MAX_CENTERS", 2)
+    monkeypatch.setattr(search, "MAX_QUERY_BYTES", 1)
     assert {r.id: r.cluster_id for r in clusters.assign(rows, centers).collect()} == near
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.checks.base import Registry, code, code_sql, table
-from themeloom.operators import clusters, search, themes
+from themeloom.operators import approx, clusters, search, themes
 from themeloom.session import scratch_path
 from themeloom.sources import tables
 
@@ -90,9 +90,8 @@ R.add("t1_topk", topk_sql(gap_sql("q.v", "d.v"), 10))(_topk("l2sq"))
 
 @R.add("t1_topk_rounds", topk_sql(gap_sql("q.v", "d.v"), 10))
 def topk_rounds(spark, sf):
-    """The same with the queries in about five rounds."""
-    asked = _all_queries(spark, sf)
-    return search.topk(asked, doc_vectors(spark, sf), 10, query_bytes=asked.count() * 64 * 8 // 5 + 1)
+    """The same with queries and rows compared block by block, as too many to send."""
+    return search.topk(_all_queries(spark, sf), doc_vectors(spark, sf), 10, query_bytes=1)
 
 
 R.add("t1_topk_l2", topk_sql(f"sqrt({gap_sql('q.v', 'd.v')})", 10))(_topk("l2"))
@@ -149,21 +148,21 @@ def topk_keywords(spark, sf):
 
 @R.add("t6_approx_topk")
 def approx_topk(spark, sf):
-    index = search.build_index(doc_vectors(spark, sf).drop("cluster_id"))
-    return search.approx_topk(_all_queries(spark, sf), index, 10)
+    index = approx.build_index(doc_vectors(spark, sf).drop("cluster_id"))
+    return approx.approx_topk(_all_queries(spark, sf), index, 10)
 
 
 @R.add("t6_recall", "SELECT true AS reached")
 def approx_recall(spark, sf):
     rows, asked = doc_vectors(spark, sf).drop("cluster_id"), _all_queries(spark, sf)
-    found = search.approx_topk(asked, search.build_index(rows), 10)
-    return search.recall(found, search.topk(asked, rows, 10)).select((F.col("recall") >= 0.9).alias("reached"))
+    found = approx.approx_topk(asked, approx.build_index(rows), 10)
+    return approx.recall(found, search.topk(asked, rows, 10)).select((F.col("recall") >= 0.9).alias("reached"))
 
 
 @R.add("t6_approx_topk_every_list", topk_sql(gap_sql("q.v", "d.v"), 10))
 def approx_topk_every_list(spark, sf):
-    index = search.build_index(doc_vectors(spark, sf).drop("cluster_id"), n_lists=8)
-    return search.approx_topk(_all_queries(spark, sf), index, 10, probes=8)
+    index = approx.build_index(doc_vectors(spark, sf).drop("cluster_id"), n_lists=8)
+    return approx.approx_topk(_all_queries(spark, sf), index, 10, probes=index.model.lists, rerank=index.size)
 
 
 PAIRS = f"""pairs AS (

@@ -28,7 +28,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _rough(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+def distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     """All distances by one matrix product (squared for both Euclidean metrics)."""
     product = q @ c.T
     if metric == "cosine":
@@ -65,7 +65,7 @@ def closest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
     out = np.empty(len(rows), dtype="int64")
     for s in range(0, len(rows), ROW_SLICE):
         part = rows[s:s + ROW_SLICE]
-        rough = _rough(part, centers, "l2sq")
+        rough = distances(part, centers, "l2sq")
         near = rough <= rough.min(1, keepdims=True) + _slack(part, centers, "l2sq")
         ri, ci = np.nonzero(near)
         gaps = _exact_pairs(part, centers, ri, ci, "l2sq")
@@ -105,7 +105,7 @@ class Nearest:
             own = own.fill_null(-1).to_numpy()
         for s in range(0, len(self.vectors), QUERY_SLICE):
             q = self.vectors[s:s + QUERY_SLICE]
-            rough = _rough(q, c, self.metric)
+            rough = distances(q, c, self.metric)
             if own is not None:
                 hit = np.nonzero((own >= s) & (own < s + len(q)))[0]
                 rough[own[hit] - s, hit] = np.inf

@@ -1,41 +1,37 @@
-"""Nearest vectors: one query, many queries, keywords, pairs and an inverted index."""
+"""Nearest vectors, exactly: of one query, many queries, keywords and pairs."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from themeloom.functions import vectors as vx
-from themeloom.functions.blocks import Nearest, closest, matrix
+from themeloom.functions.blocks import Nearest, closest, distances, matrix
 from themeloom.operators.scale import checked_broadcast, spread
-from themeloom.session import materialize, scratch_path
+from themeloom.session import materialize
 
 # Query vectors sent to every task at once.
 MAX_QUERY_BYTES = 64 << 20
 # So few are fetched before their size is looked at.
 FEW_QUERIES = 1024
-# Upper sizes of the blocks that the approximate search compares.
-QUERY_BLOCK = 4096
-ROW_BLOCK = 32768
+# Upper sizes of the blocks that are compared with each other.
+QUERY_BLOCK = 8192
+ROW_BLOCK = 65536
+# Most cells that vectors are laid out in, by the nearest of as many stored vectors.
+MAX_CELLS = 256
 # An id list this long still becomes a pushed-down filter.
 MAX_LITERAL_IDS = 1000
-# Most centers an index may have; they are sent to every task.
-MAX_LISTS = 4096
-# Share of true neighbours that an index is set to find, how many stored vectors it is
-# measured with, and how many neighbours of each.
-RECALL_AIM = 0.95
-MEASURED = 256
-MEASURED_K = 10
+# Vectors shorter than this are not told apart by angle when cells are pruned, and room for
+# the rounding of bounds, which are squared distances.
+SHORT = 0.1
+SLACK = 1e-5
 
 
 def get_by_ids(collection: DataFrame, ids: DataFrame | Sequence, key: str = "id") -> DataFrame:
@@ -53,7 +49,7 @@ def get_by_ids(collection: DataFrame, ids: DataFrame | Sequence, key: str = "id"
     return get_by_ids(collection, table, key)
 
 
-def _scored(hits: DataFrame) -> DataFrame:
+def scored(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", vx.score(F.col("d"))).withColumn("distance", F.round("d", 4))
 
 
@@ -85,7 +81,7 @@ def _take(collection: DataFrame, target, k: int, metric: str) -> DataFrame:
     )
     # The window runs over the k rows left, not over the collection.
     numbered = hits.withColumn("rank", F.row_number().over(Window.orderBy("d", "id")))
-    return _scored(numbered).select(
+    return scored(numbered).select(
         F.col("rank"), F.col("id").alias("code"), F.col("stock_name").alias("name"), "score", "distance"
     )
 
@@ -108,10 +104,10 @@ def nearest(
     """(query_id, rank, id, *payload, d): exact ``k`` nearest rows per query.
 
     ``queries`` has (query_id, embedding) with unique ids, ``collection`` one row
-    per id.  The queries go to every task, which scans its part of the collection
-    and passes on ``k`` rows per query.  More queries than ``query_bytes`` hold
-    (``MAX_QUERY_BYTES`` by default) go in rounds; the collection is read once a
-    round and never moved.
+    per id.  Queries of at most ``query_bytes`` (``MAX_QUERY_BYTES`` by default) go to
+    every task, which scans its part of the collection and passes on ``k`` rows per
+    query; the collection is not moved.  More queries are compared block by block
+    (see :func:`_nested`).
     """
     query_bytes = MAX_QUERY_BYTES if query_bytes is None else query_bytes
     if metric not in vx.METRICS:
@@ -123,16 +119,7 @@ def nearest(
     table = _fetched(asked, query_bytes)
     if table is not None:
         return _best(_scan(asked, table, rows, k, metric, skip_self), k)
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    rounds = math.ceil(size["n"] / max(1, query_bytes // (8 * max(size["d"], 1))))
-    # Written once, so that every round reads its own part only.
-    dealt = materialize(asked.withColumn("_round", _block_of("query_id", rounds)), "asked")
-    found = None
-    for i in range(rounds):
-        part = dealt.where(F.col("_round") == i).drop("_round")
-        hits = _scan(part, part.toArrow(), rows, k, metric, skip_self)
-        found = hits if found is None else found.unionByName(hits)
-    return _best(found, k)
+    return _best(_nested(asked, rows, k, metric, skip_self), k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -178,8 +165,123 @@ def _scan(queries: DataFrame, table: pa.Table, rows: DataFrame, k, metric, skip_
     return spread(rows).mapInArrow(scan, schema)
 
 
-def _block_of(key: str, blocks: int):
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+def _cells(rows: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
+    """Add ``_cell``, the nearest pivot, and ``_gap``, the distance to it.
+
+    Angles are compared as distances of unit vectors; one too short for that lies
+    nowhere, so its gap has no bound.
+    """
+    schema = T.StructType(rows.schema.fields + [
+        T.StructField("_cell", T.IntegerType()), T.StructField("_gap", T.DoubleType())])
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, nowhere = _flat(matrix(batch.column("embedding")), metric)
+                cell = closest(x, sent.value)
+                gap = np.where(nowhere, np.inf, np.sqrt(((x - sent.value[cell]) ** 2).sum(axis=1)))
+                yield pa.RecordBatch.from_arrays(
+                    batch.columns + [pa.array(cell, pa.int32()), pa.array(gap)], batch.schema.names + ["_cell", "_gap"])
+
+    return spread(rows).mapInArrow(place, schema)
+
+
+def _flat(x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors whose Euclidean order is that of the metric, and which of them have no place."""
+    if metric != "cosine":
+        return x, np.zeros(len(x), bool)
+    size = np.sqrt((x * x).sum(axis=1))
+    return x / np.maximum(size, SHORT)[:, None], size < SHORT
+
+
+def _pivots(rows: DataFrame, cells: int, metric: str) -> np.ndarray:
+    """Stored vectors far from one another, chosen from a bounded sample."""
+    sample = rows.orderBy(F.xxhash64("id")).limit(4 * cells).select(
+        F.col("embedding").cast("array<double>").alias("embedding")).toArrow()
+    x, _ = _flat(matrix(sample.column("embedding")), metric)
+    chosen = [0]
+    gap = distances(x[:1], x, "l2sq")[0]
+    while len(chosen) < min(cells, len(x)):
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, distances(x[chosen[-1:]], x, "l2sq")[0])
+    return x[chosen]
+
+
+def _laid_out(rows: DataFrame, pivots: np.ndarray, key: str, block: int, metric: str) -> tuple[DataFrame, list]:
+    """Rows stored with ``_cell`` and ``_part``, and (cell, parts, rows, least gap, largest gap) of each cell.
+
+    A cell of any size, such as that of a vector in a third of all rows, is cut into
+    parts of about ``block`` rows.
+    """
+    stored = materialize(_cells(rows, pivots, metric), "cells")
+    told = stored.groupBy("_cell").agg(F.count("*").alias("n"), F.min("_gap").alias("lo"), F.max("_gap").alias("hi"))
+    cells = [(r["_cell"], math.ceil(r["n"] / block), r["n"], r["lo"], r["hi"]) for r in told.collect()]
+    parts = [1] * len(pivots)
+    for cell, n, *_ in cells:
+        parts[cell] = n
+    of_cell = F.get(F.array(*[F.lit(n) for n in parts]), F.col("_cell"))
+    part = F.pmod(F.xxhash64(key), of_cell).cast("int").alias("_part")
+    return stored.drop("_gap").select("*", part), cells
+
+
+def _surviving(asked: list, held: list, pivots: np.ndarray, need: int) -> list[tuple[int, int, int, int]]:
+    """(query cell, its parts, row cell, its parts) of the pairs that can hold a result.
+
+    By the triangle inequality the ``need`` nearest of every query of a cell lie within
+    the bound of the cells around it that hold as many rows together; a cell of rows
+    that lies wholly beyond has none of them.
+    """
+    held = sorted(held)
+    at = pivots[[h[0] for h in held]]
+    rows = np.array([h[2] for h in held])
+    hi = np.array([h[4] for h in held])
+    lo = np.where(np.isfinite(hi), [h[3] for h in held], 0)
+    out = []
+    for cell, parts, _, _, reach in asked:
+        between = np.sqrt(((at - pivots[cell]) ** 2).sum(axis=1))
+        most = between + reach + hi
+        order = np.argsort(most, kind="stable")
+        enough = np.flatnonzero(np.cumsum(rows[order]) >= need)
+        limit = most[order[enough[0]]] if len(enough) else np.inf
+        # A reach without bound leaves every cell in.
+        least = np.zeros(len(held))
+        if np.isfinite(reach):
+            bounded = np.isfinite(hi)
+            least[bounded] = np.maximum(between - reach - hi, lo - between - reach)[bounded]
+        for i in np.flatnonzero(~(np.maximum(least, 0) ** 2 > limit ** 2 * (1 + SLACK) + SLACK)):
+            out.append((int(cell), int(parts), int(held[i][0]), int(held[i][1])))
+    return out
+
+
+def _nested(asked: DataFrame, rows: DataFrame, k: int, metric: str, skip_self: bool) -> DataFrame:
+    """Hits of blocks of queries with blocks of rows.
+
+    Queries and rows are stored by cell, the nearest of a few stored vectors; a cell is
+    cut into parts of bounded size.  Pairs of cells that cannot hold a result are left
+    out by their centers and radii, of which there are ``MAX_CELLS`` at most; the parts
+    of the others meet in a task each.  No query and no row passes through the driver.
+    """
+    spark = asked.sparkSession
+    cells = min(MAX_CELLS, max(math.ceil(asked.count() / QUERY_BLOCK), math.ceil(rows.count() / ROW_BLOCK)))
+    on = ["_q", "_q_part", "_r", "_r_part"]
+    if cells <= 1:
+        # One block with one block: nothing to lay out.
+        here = [F.lit(0).alias(c) for c in on]
+        return _compare(asked.select("*", *here), rows.select("*", *here), on, k, metric, skip_self)
+    pivots = _pivots(rows, cells, metric)
+    left, asked_cells = _laid_out(asked, pivots, "query_id", QUERY_BLOCK, metric)
+    right, row_cells = _laid_out(rows, pivots, "id", ROW_BLOCK, metric)
+    pairs = _surviving(asked_cells, row_cells, pivots, k + int(skip_self))
+    # At most MAX_CELLS * MAX_CELLS rows.
+    pairs = F.broadcast(spark.createDataFrame(pairs, "_q int, _q_parts int, _r int, _r_parts int"))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = left.withColumnRenamed("_cell", "_q").withColumnRenamed("_part", "_q_part").join(pairs, "_q") \
+        .withColumn("_r_part", every("_r_parts"))
+    right = right.withColumnRenamed("_cell", "_r").withColumnRenamed("_part", "_r_part").join(pairs, "_r") \
+        .withColumn("_q_part", every("_q_parts"))
+    return _compare(
+        left.select("query_id", "embedding", *on), right.select(*rows.columns, *on), on, k, metric, skip_self)
 
 
 def _compare(queries: DataFrame, rows: DataFrame, on: list[str], k, metric, skip_self) -> DataFrame:
@@ -207,7 +309,7 @@ def topk(
 ) -> DataFrame:
     """(query_id, rank, code, name, score, distance) for many queries at once."""
     hits = nearest(queries, collection, k, metric, "id", ["stock_name"], skip_self, query_bytes)
-    return _scored(hits).select(
+    return scored(hits).select(
         "query_id", "rank", F.col("id").alias("code"), F.col("stock_name").alias("name"),
         "score", "distance",
     )
@@ -227,7 +329,7 @@ def topk_keywords(
     """(cluster_id, rank, keyword, score, doc_freq) nearest to each centroid."""
     queries = centroids.select(F.col("cluster_id").alias("query_id"), "embedding")
     hits = nearest(queries, keywords, k, metric, "keyword", ["doc_freq"])
-    return _scored(hits).select(
+    return scored(hits).select(
         F.col("query_id").alias("cluster_id"), "rank", F.col("id").alias("keyword"), "score",
         F.coalesce("doc_freq", F.lit(0)).alias("doc_freq"),
     )
@@ -243,61 +345,6 @@ def score_pairs(pairs: DataFrame, collection: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class VectorIndex:
-    """Collection rows stored by ``list``, the nearest of the ``centers``."""
-
-    centers: np.ndarray
-    rows: DataFrame
-    probes: int
-
-
-def build_index(
-    collection: DataFrame, n_lists: int | None = None, seed: int = 42, path: str | None = None
-) -> VectorIndex:
-    """Put every vector into the list of its nearest center and store the lists.
-
-    The rows are written once, partitioned by list, to ``path`` or the shared
-    folder; a list that holds much of the collection spans several files.
-    """
-    spark = collection.sparkSession
-    if n_lists is None:
-        n_lists = int(min(MAX_LISTS, max(2, math.sqrt(collection.count()))))
-    if n_lists > MAX_LISTS:
-        raise ValueError(f"at most {MAX_LISTS} lists")
-    # Written once, since every iteration reads them.
-    vectors = materialize(
-        collection.where(F.col("embedding").isNotNull())
-        .select(array_to_vector(F.col("embedding").cast("array<double>")).alias("_v")), "training")
-    fit = KMeans(k=n_lists, seed=seed, maxIter=10, featuresCol="_v").fit(vectors)
-    centers = np.array(fit.clusterCenters())
-    path = path or scratch_path(spark, "index")
-    placed = assign_lists(collection.where(F.col("embedding").isNotNull()), centers)
-    placed.hint("rebalance", "list").write.partitionBy("list").parquet(path)
-    rows = spark.read.schema(placed.schema).parquet(path)
-    return VectorIndex(centers, rows, _probes_for(rows, centers))
-
-
-def _probes_for(rows: DataFrame, centers: np.ndarray) -> int:
-    """Lists to look into so that ``RECALL_AIM`` of the true neighbours lie in them.
-
-    Measured with a bounded sample of the stored vectors against all of them.
-    """
-    sample = (
-        rows.orderBy(F.xxhash64("id")).limit(MEASURED)
-        .select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        .toArrow()
-    )
-    if not sample.num_rows:
-        return len(centers)
-    asked = rows.sparkSession.createDataFrame(sample)
-    hits = nearest(asked, rows, MEASURED_K, payload=["list"], skip_self=True).select("query_id", "list").toArrow()
-    gaps = ((matrix(sample.column("embedding"))[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-    turn = {q: np.argsort(np.argsort(g, kind="stable")) for q, g in zip(sample.column("query_id").to_pylist(), gaps)}
-    at = np.sort([turn[q][n] for q, n in zip(*(c.to_pylist() for c in hits.columns))])
-    return int(at[min(len(at) - 1, int(RECALL_AIM * len(at)))]) + 1 if len(at) else len(centers)
-
-
 def assign_lists(rows: DataFrame, centers: np.ndarray, out: str = "list") -> DataFrame:
     """Add the number of the nearest center; ``centers`` is small by construction."""
     schema = T.StructType(rows.schema.fields + [T.StructField(out, T.IntegerType())])
@@ -312,58 +359,3 @@ def assign_lists(rows: DataFrame, centers: np.ndarray, out: str = "list") -> Dat
                 )
 
     return spread(rows).mapInArrow(label, schema)
-
-
-def approx_topk(
-    queries: DataFrame, index: VectorIndex, k: int = 10, probes: int | None = None,
-    metric: str = "l2sq", skip_self: bool = False,
-) -> DataFrame:
-    """Like :func:`topk`, looking only into the ``probes`` lists nearest to a query.
-
-    More probes find more of the true neighbours; :func:`recall` tells how many.
-    By default as many are looked into as the index was measured to need.  Lists
-    that no query probes are neither read nor moved.
-    A list larger than ``ROW_BLOCK`` is split into shards by row id and its
-    queries go to each shard, so no task gets more than a bounded block.
-    """
-    spark = queries.sparkSession
-    centers = index.centers
-    center_rows = spark.createDataFrame(
-        [(i, c.tolist()) for i, c in enumerate(centers)], "list int, embedding array<double>"
-    )
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    probes = probes or index.probes
-    probed = nearest(asked, center_rows, min(probes, len(centers)), "l2sq", "list").select(
-        "query_id", F.col("id").alias("list")
-    )
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    # One row per center, and their number is bounded by MAX_LISTS.
-    shards = F.broadcast(index.rows.groupBy("list").agg(
-        F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("shards")
-    ))
-    probed = materialize(probed.withColumn("block", _block_of("query_id", blocks)), "probed")
-    left = asked.join(probed, "query_id").join(shards, "list").select(
-        "query_id", "embedding", "list",
-        F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block",
-    )
-    # Copies only for the pairs of list and block that occur; the join prunes the scan.
-    pairs = checked_broadcast(
-        probed.groupBy(F.col("list").alias("_l"), F.col("block").alias("_b")).agg(F.count("*").alias("_n")))
-    right = index.rows.join(pairs, F.col("list") == F.col("_l")).join(shards, "list").select(
-        "id", "stock_name", "embedding", "list",
-        F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard"), F.col("_b").alias("block"),
-    )
-    on = ["list", "shard", "block"]
-    hits = _best(_compare(left, right, on, k, metric, skip_self), k)
-    return _scored(hits).select(
-        "query_id", "rank", F.col("id").alias("code"), F.col("stock_name").alias("name"),
-        "score", "distance",
-    )
-
-
-def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
-    """Share of the exact hits that the approximate search found."""
-    found = exact.select("query_id", "code").join(
-        approximate.select("query_id", "code", F.lit(1).alias("hit")), ["query_id", "code"], "left"
-    )
-    return found.agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
