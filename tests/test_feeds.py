@@ -322,3 +322,100 @@ def test_a_fresh_checkpoint_adds_and_never_hides(spark, folder):
     assert got == {"a": "2", "b": "1"}
     compact(spark, folder, "industry")
     assert {r.industry_id for r in read_state(spark, folder, "industry").collect()} == {"a", "b"}
+
+
+def land_pages(spark, folder, *pages):
+    rows = envelopes(spark, *pages)
+    write_files(rows.select(F.concat("name", F.lit(".json")).alias("name"), F.col("value").alias("content")), folder)
+
+
+@pytest.mark.parametrize("order, compacted", [("4321", True), ("3142", False)])
+def test_stream_ends_a_run_at_a_bad_page_in_any_order(spark, folder, order, compacted):
+    """Pages beyond a bad one do not count, also if they were taken in before it."""
+    pages = {
+        "1": ("r-1", *page(1, True, "ab")[1:]), "2": ("r-2", *page(2, True, "b")[1:]),
+        "3": ("r-3", json.dumps({"errCode": 401})), "4": ("r-4", *page(4, False, "bcd")[1:])}
+    for n in order:
+        land_pages(spark, f"{folder}/in", pages[n])
+        stream_feed(spark, f"{folder}/in", folder, "industry")
+        if compacted:
+            compact(spark, folder, "industry")
+    batch = landed.usable(landed.judge(envelopes(spark, *pages.values()), "industry"), "industry")
+    want = {r.industry_id for r in feeds.flatten_industry(batch).collect()}
+    assert want == {"a", "b"}
+    assert {r.industry_id for r in read_state(spark, folder, "industry").collect()} == want
+
+
+def test_runs_of_pages_are_closed_by_the_next(spark, folder):
+    from themeloom.sources import state
+
+    land_pages(spark, f"{folder}/in", ("r1-1", page(1, True, "a")[1]), ("r1-5", page(5, True, "z")[1]))
+    stream_feed(spark, f"{folder}/in", folder, "industry")
+    compact(spark, folder, "industry")
+    # Page 2 might still be bad, so nothing is folded.
+    assert len(state.pending(spark, f"{folder}/industry")) == 1
+    land_pages(spark, f"{folder}/in", ("r2-1", page(1, False, "b")[1]))
+    stream_feed(spark, f"{folder}/in", folder, "industry")
+    compact(spark, folder, "industry")
+    assert state.pending(spark, f"{folder}/industry") == []
+    assert {r.industry_id for r in read_state(spark, folder, "industry").collect()} == {"a", "z", "b"}
+
+
+def test_a_refresh_reads_the_touched_buckets_only(spark, folder, monkeypatch):
+    from themeloom.plans.jobs import refresh_feed
+    from themeloom.sources import state
+
+    monkeypatch.setattr(state, "ROWS_PER_BUCKET", 10)
+    whole = [(f"k{i}", "1", "x") for i in range(1000)]
+    assert refresh_feed(notes(spark, whole), folder, "industry", compact_after=0).first().total == 1000
+    stored = tables.read_snapshot(spark, folder)
+    keys = spark.createDataFrame([("k7",), ("k8",), ("new",)], "industry_id string")
+    touched = tables.read_buckets(spark, folder, keys)
+    assert len(touched.inputFiles()) == len(stored.inputFiles()) and touched.count() < 60
+    read = touched.select(F.input_file_name()).distinct().count()
+    assert read <= 3 and len(stored.inputFiles()) >= 100
+    # Nothing but the touched buckets is read; the total is added up.
+    monkeypatch.setattr(state, "read_state", None)
+    report = refresh_feed(notes(spark, [("k7", "2", "y"), ("k8", "0", "y"), ("new", "1", "y")]), folder, "industry").first()
+    assert (report.added, report.updated, report.total) == (1, 1, 1001)
+    report = refresh_feed(notes(spark, [("new", "2", "y"), ("newer", "1", "y")]), folder, "industry").first()
+    assert (report.added, report.updated, report.total) == (1, 1, 1002)
+
+
+def test_old_versions_and_folded_deltas_go(spark, folder):
+    from themeloom.plans.jobs import refresh_feed
+    from themeloom.sources import state
+    from themeloom.sources.storage import children
+
+    for i in range(6):
+        refresh_feed(notes(spark, [(f"k{i}", "1", "x"), ("same", str(i), "x")]), folder, "industry", compact_after=0)
+    assert len([c for c in children(spark, folder) if c.startswith("v=")]) == tables.KEPT_VERSIONS
+    assert len(children(spark, f"{folder}/deltas")) <= 1 and len(children(spark, f"{folder}/notes")) <= 1
+    now = {r.industry_id: r.update_time for r in state.read_state(spark, folder, "industry").collect()}
+    assert len(now) == 7 and now["same"] == "5" and state.total(spark, folder, "industry") == 7
+
+
+def test_marks_of_a_stream_stay_few(spark, folder):
+    from themeloom.sources import state
+    from themeloom.sources.storage import children
+
+    for i in range(5):
+        body = json.dumps({"errCode": "0", "data": [{"list": [{"article_id": str(i)}]}]})
+        land_pages(spark, f"{folder}/in", (str(i + 1), body))
+        stream_feed(spark, f"{folder}/in", folder, "timeline")
+        compact(spark, folder, "timeline")
+    path = f"{folder}/timeline"
+    assert len(children(spark, f"{path}/taken")) <= 2 and len(children(spark, f"{path}/folded")) == 1
+    run, batch_id = children(spark, f"{path}/folded")[0].rsplit("-", 1)
+    # A batch that was folded is not taken again, also after its marks went.
+    assert state.number_of(spark, path, run, int(batch_id)) is None and state.number_of(spark, path, run, 0) is None
+    assert read_state(spark, folder, "timeline").count() == 5
+
+
+def test_collections_keep_two_versions(spark, folder):
+    from themeloom.sources.storage import children
+
+    for i in range(4):
+        rows = spark.createDataFrame([(str(i), [1.0])], "id string, embedding array<double>")
+        tables.write_collection(rows, folder)
+    assert len(children(spark, folder)) == 2 and tables.read_collection(spark, folder).first().id == "3"

@@ -18,6 +18,7 @@ KEYS = {"industry": "industry_id", "timeline": "article_id"}
 VERSIONS = {"industry": "update_time", "timeline": None}
 # Order of a row within a feed: page number in the high half, position in the low.
 PAGE_STRIDE = 1 << 32
+COUNT = "map<string,string>"
 # Stored rows come before every row of a batch.
 STORED_SEQ = -1
 
@@ -39,21 +40,19 @@ def action_fields(raw: DataFrame) -> DataFrame:
     whose count is missing or equals 0; a null count is not 0.  ``field_pos`` orders the fields of a date by their part
     and their place in it.
     """
-    entry = F.from_json("entry", ACTION_FIELD.simpleString())
     # As a map of texts, a missing count differs from a null one, and 3.0 is kept.
-    count = F.element_at(F.from_json("entry", "map<string,string>"), "count")
-    has_count = F.map_contains_key(F.from_json("entry", "map<string,string>"), "count")
+    both = F.struct(
+        F.from_json("entry", ACTION_FIELD.simpleString()).alias("f"), F.from_json("entry", COUNT).alias("counts"))
+    count, has_count = F.element_at("e.counts", "count"), F.map_contains_key("e.counts", "count")
     counted = has_count & (F.coalesce(count.try_cast("double"), F.lit(1.0)) != 0)
-    listed = F.coalesce(F.size(F.col("f.list")), F.lit(0))
+    listed = F.coalesce(F.size(F.col("e.f.list")), F.lit(0))
     entries = raw.select(
         "date", "part", F.posexplode_outer("data").alias("pos", "entry")
     ).where(F.ltrim(F.col("entry")).startswith("{"))
     return (
-        once(entries, "f", entry)
-        .select(
-            "date", (F.col("part").cast("bigint") * PAGE_STRIDE + F.col("pos")).alias("field_pos"), "f", "entry"
-        )
+        once(entries, "e", both)
         .where((listed > 0) | counted)
+        .select("date", (F.col("part").cast("bigint") * PAGE_STRIDE + F.col("pos")).alias("field_pos"), "e.f")
         .select(
             "date", "field_pos",
             _text("f.name").alias("field_name"),
@@ -84,10 +83,12 @@ def flatten_actions(raw: DataFrame) -> DataFrame:
 
 
 def flatten_industry(raw: DataFrame) -> DataFrame:
-    """Industry notes of all pages in order; ``raw`` has (page, data)."""
+    """Industry notes of all pages in order; ``raw`` has (page, data), and ``run`` if that is to be kept."""
     item = F.col("item")
-    items = raw.select("page", F.posexplode_outer("data.result").alias("pos", "item"))
+    run = [c for c in raw.columns if c == "run"]
+    items = raw.select(*run, "page", F.posexplode_outer("data.result").alias("pos", "item"))
     return items.where(F.col("pos").isNotNull()).select(
+        *run,
         (F.col("page").cast("bigint") * PAGE_STRIDE + F.col("pos")).alias("seq"),
         *[_text(item[c]).alias(c) for c in INDUSTRY_FIELDS[:-1]],
         F.coalesce(item["browsers_count"], F.lit(0)).alias("browsers_count"),
@@ -138,6 +139,13 @@ def reduce_batch(batch: DataFrame, kind: str) -> DataFrame:
     return _first_per_key(batch, KEYS[kind], *_ranking(kind))
 
 
+def reduce_pages(batch: DataFrame, kind: str) -> DataFrame:
+    """The row of each key, run and page that can still win, whichever pages will count."""
+    page = F.floor(F.col("seq") / PAGE_STRIDE)
+    w = Window.partitionBy(KEYS[kind], "run", page).orderBy(*_ranking(kind))
+    return batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
 def reduce_deltas(deltas: DataFrame, kind: str) -> DataFrame:
     """The winner of each key over numbered batches; an earlier ``batch`` goes first."""
     order = [*_ranking(kind)[:-1], F.asc("batch"), F.asc("seq")]
@@ -188,12 +196,15 @@ def in_feed_order(rows: DataFrame, kind: str) -> DataFrame:
     return rows.orderBy(F.asc("date"), "seq", "article_id")
 
 
-def change_report(existing: DataFrame | None, batch: DataFrame, kind: str) -> DataFrame:
+def change_report(
+    existing: DataFrame | None, batch: DataFrame, kind: str, total_before: int | None = None
+) -> DataFrame:
     """(added, updated, total, blank_keys) of an upsert.
 
     A row is an addition if its key was never seen, and an update if it is newer
     than everything seen before it.  Rows that share the empty key are counted
-    separately as well, since they hide missing keys.
+    separately as well, since they hide missing keys.  With ``total_before``, the rows
+    of the feed, ``existing`` needs to have those with keys of the batch only.
     """
     key, version = KEYS[kind], VERSIONS[kind]
     at = F.col(version) if version else F.lit("")
@@ -202,31 +213,36 @@ def change_report(existing: DataFrame | None, batch: DataFrame, kind: str) -> Da
     others = F.lit(0).cast("bigint")
     if existing is not None:
         old = existing.drop("seq").withColumn("seq", F.lit(STORED_SEQ))
-        old, rest = _by_batch_keys(old, batch, key)
+        if total_before is None:
+            old, rest = _by_batch_keys(old, batch, key)
+            others = rest.agg(F.count("*")).scalar()
         rows = old.select(*columns, F.lit(True).alias("stored")).unionByName(rows)
-        others = rest.agg(F.count("*")).scalar()
     if version is None:
         # Nothing is ever updated, so counting keys is enough.
         per_key = rows.groupBy("k").agg(
             F.max("stored").alias("stored"),
             F.count_if(~F.col("stored") & (F.col("k") == "")).alias("blank"),
         )
-        return per_key.agg(
+        report = per_key.agg(
             F.count_if(~F.col("stored")).alias("added"),
             F.lit(0).cast("bigint").alias("updated"),
             F.count("*").alias("total"),
             F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_keys"),
-        ).withColumn("total", F.col("total") + others)
-    # Several passes follow; the slim table is written once for them.
-    seen = running_max(materialize(rows, "versions"), "k", "seq", "v", "before")
-    fresh = ~F.col("stored")
-    first = F.col("before").isNull()
-    return seen.agg(
-        F.count_if(fresh & first).alias("added"),
-        F.count_if(fresh & (F.col("v") > F.col("before"))).alias("updated"),
-        F.count_if(first).alias("total"),
-        F.count_if(fresh & (F.col("k") == "")).alias("blank_keys"),
-    ).withColumn("total", F.col("total") + others)
+        )
+    else:
+        # Several passes follow; the slim table is written once for them.
+        seen = running_max(materialize(rows, "versions"), "k", "seq", "v", "before")
+        fresh = ~F.col("stored")
+        first = F.col("before").isNull()
+        report = seen.agg(
+            F.count_if(fresh & first).alias("added"),
+            F.count_if(fresh & (F.col("v") > F.col("before"))).alias("updated"),
+            F.count_if(first).alias("total"),
+            F.count_if(fresh & (F.col("k") == "")).alias("blank_keys"),
+        )
+    if total_before is None:
+        return report.withColumn("total", F.col("total") + others)
+    return report.withColumn("total", F.lit(total_before).cast("bigint") + F.col("added"))
 
 
 def action_day_summary(actions: DataFrame) -> DataFrame:

@@ -111,16 +111,20 @@ def refresh_feed(
     """Add a batch to a stored feed; returns the change report.
 
     The batch becomes a delta, and the feed is rewritten only when more than
-    ``compact_after`` of them are waiting.  An empty batch changes nothing and has
-    no report.  Read the feed with :func:`themeloom.sources.state.read_state`.
+    ``compact_after`` of them are waiting.  Of the stored feed, only the buckets with
+    keys of the batch are read.  An empty batch changes nothing and has no report.
+    Read the feed with :func:`themeloom.sources.state.read_state`.
     """
     spark = batch.sparkSession
     batch = materialize(batch, kind)
     if batch.isEmpty():
         return None
-    stored = state.read_state(spark, path, kind)
-    report = materialize(feeds.change_report(stored, batch, kind), "report")
-    state.append_delta(batch, path, kind, state.next_batch(spark, path))
+    keys = materialize(batch.select(feeds.KEYS[kind]).distinct(), "keys")
+    touched = state.read_touched(spark, path, kind, keys)
+    report = materialize(
+        feeds.change_report(touched, batch, kind, state.total(spark, path, kind)), "report")
+    state.append_delta(
+        batch, path, kind, state.next_batch(spark, path), added=report.first()["added"])
     if len(state.pending(spark, path)) > compact_after:
         state.compact(spark, path, kind, at)
     return report
@@ -161,7 +165,8 @@ def job_backfill(spark: SparkSession, landing: str, store: str, start: str, end:
     # One row per calendar day; a file's name has its date, so others are not parsed.
     files = landed.landed(spark, f"{landing}/action")
     wanted = files.join(F.broadcast(todo), F.expr(landed.DATE_OF) == F.col("date"), "left_semi")
-    judged = landed.judge(wanted, "action")
+    # Written once: the rows are taken from it, and so is what became of each day.
+    judged = materialize(landed.judge(wanted, "action"), "judged")
     good = landed.usable(judged, "action")
     tables.write_by_date(feeds.flatten_actions(good), path)
     empty = (F.col("reason") == "no data") & (F.size("e.data") == 0)

@@ -13,7 +13,9 @@ from themeloom.sources.drafts import decoded
 NO_ERROR = "0"
 # The date a response is named by and the number of its part, or its page.
 DATE_OF = "try_cast(substring(name, 1, 10) AS DATE)"
-PAGE_OF = "try_cast(name AS INT)"
+# A page is named by its number, behind the name of its run if there are several.
+RUN_OF = "regexp_extract(name, '^(.*)-[0-9]+$', 1)"
+PAGE_OF = "try_cast(nullif(regexp_extract(name, '^(?:.*-)?([0-9]+)$', 1), '') AS INT)"
 PART_OF = "try_cast(nullif(regexp_extract(name, '_([0-9]+)$', 1), '') AS INT)"
 
 
@@ -51,10 +53,18 @@ def judge(envelopes: DataFrame, kind: str) -> DataFrame:
     return parsed.withColumn("reason", reason)
 
 
-def usable(judged: DataFrame, kind: str, one_run: bool = True) -> DataFrame:
+def pages_of(judged: DataFrame) -> DataFrame:
+    """(run, page, data, good, last) of judged pages."""
+    return judged.select(
+        F.expr(RUN_OF).alias("run"), F.expr(PAGE_OF).alias("page"), F.col("e.data").alias("data"),
+        F.col("reason").isNull().alias("good"), (~F.coalesce(F.col("e.data.hasNext"), F.lit(False))).alias("last"))
+
+
+def usable(judged: DataFrame, kind: str) -> DataFrame:
     """(date, part, data) of valid mover envelopes, or (page, data) of the other feeds.
 
-    ``one_run`` says that the pages belong together, so that paging rules apply.
+    Notes are paged: those of a run end before a bad page, and with the page that
+    says it is the last.
     """
     if kind == "action":
         return judged.where("reason is null").select(
@@ -62,14 +72,14 @@ def usable(judged: DataFrame, kind: str, one_run: bool = True) -> DataFrame:
             F.coalesce(F.expr(PART_OF), F.lit(0)).alias("part"),
             F.col("e.data").alias("data"),
         )
-    pages = judged.select(F.expr(PAGE_OF).alias("page"), F.col("e.data").alias("data"), "reason")
-    if kind == "industry" and one_run:
-        # Paging stops at a bad page and after a page that says it is the last.
-        bad = F.min(F.when(F.col("reason").isNotNull(), F.col("page")))
-        last = F.min(F.when(~F.coalesce(F.col("data.hasNext"), F.lit(False)), F.col("page") + 1))
-        end = pages.agg(F.least(bad, last)).scalar()
-        pages = pages.where(F.col("page") < F.coalesce(end, F.lit(2**31 - 1)))
-    return pages.where("reason is null").select("page", "data")
+    if kind != "industry":
+        return judged.where("reason is null").select(F.expr(PAGE_OF).alias("page"), F.col("e.data").alias("data"))
+    pages = pages_of(judged)
+    bad = F.min(F.when(~F.col("good"), F.col("page")))
+    last = F.min(F.when(F.col("last"), F.col("page") + 1))
+    ends = pages.groupBy("run").agg(F.least(bad, last).alias("end"))
+    within = F.col("page") < F.coalesce("end", F.lit(2**31 - 1))
+    return pages.join(ends, "run").where(within & F.col("good")).select("page", "data")
 
 
 def read_feed(

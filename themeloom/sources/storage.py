@@ -35,6 +35,12 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(where)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder; one that is not there is no error."""
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
 def as_uri(path: str) -> str:
     """A path as the URI that tasks open with the Arrow file systems."""
     if path.startswith("/"):
