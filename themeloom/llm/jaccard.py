@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.graph import components
-from themeloom.llm.words import FACTORS, find_words, mix, slices, span_hash, word_hashes
+from themeloom.llm.words import FACTORS, find_words, mix, sequence_hash, slices, window_hash, word_hashes
 from themeloom.operators.scale import checked_broadcast
 from themeloom.session import materialize
 
@@ -64,7 +64,11 @@ def gram_sets(part, n: int) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(part.rows), count)
     start = words.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     end = np.minimum(start + n, words.first[row + 1])
-    gram = span_hash(hashes, start, end, FACTORS[1])
+    # A text of fewer words is one n-gram of its own kind.
+    gram = np.empty(len(start), np.uint64)
+    whole = end - start == n
+    gram[whole] = window_hash(hashes, start[whole], n, 1)
+    gram[~whole] = sequence_hash(hashes, start[~whole], end[~whole], 2)
     order = np.lexsort((gram, row))
     row, gram = row[order], gram[order]
     new = np.ones(len(row), bool)

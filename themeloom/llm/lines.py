@@ -5,8 +5,9 @@ tokens, where a token with a digit is a variable field.  In the leaf it reaches,
 is a constant if lines of at least ``min_docs`` documents have it at that place, and a
 variable field otherwise.  Constants and fields make the template; if at least ``share``
 of its tokens are constants, lines of one template are taken to be the same line.  A
-template found in at least ``min_docs`` documents is recurring: its lines are dropped from
-all documents but the first (the least id), so nothing is lost from all of them.
+template found in at least ``min_docs`` documents is recurring, and so is a line found in as
+many as it is, whatever its share of constants: such lines are dropped from all documents
+but the first (the least id), so nothing is lost from all of them.
 
 Lines are reduced to one row per content before their tokens are counted, so a line in a
 third of all documents is one row per task; lines of leaves that too few documents reach
@@ -15,7 +16,8 @@ are left out before their tokens move.
 Defined results: lines end at a line feed; tokens are separated by the six ASCII white
 space bytes; lines without tokens stay; a null text stays null with no lines; a text that
 loses all its lines becomes empty; repeated rows (same id and text) are one document;
-rows without id come after all others.  The id is an integer.  Other columns are left
+rows of one id with different texts are documents of their own, but none of them loses a
+line that is first in another; rows without id are taken to have the largest id.  The id is an integer.  Other columns are left
 aside.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.bpe import _id_type
-from themeloom.llm.words import FACTORS, Slice, find_words, mix, slices, span_hash, word_hashes
+from themeloom.llm.words import FACTORS, Slice, find_words, mix, sequence_hash, slices, word_hashes
 from themeloom.session import materialize
 
 DEPTH = 3
@@ -56,9 +58,9 @@ class Lines:
         self.words = word_hashes(part.data, words)
         self.tokens = np.where(field, FIELD, self.words)
         size = (self.end - self.first).astype(np.uint64)
-        lead = span_hash(self.tokens, self.first, np.minimum(self.first + depth, self.end), FACTORS[1])
+        lead = sequence_hash(self.tokens, self.first, np.minimum(self.first + depth, self.end), 2)
         self.leaf = mix(lead + size * np.uint64(FACTORS[2])).view(np.int64)
-        self.content = span_hash(self.tokens, self.first, self.end, FACTORS[3]).view(np.int64)
+        self.content = sequence_hash(self.tokens, self.first, self.end, 3).view(np.int64)
         before = np.searchsorted(feeds, words.starts[first])
         edge = np.append(-1, feeds)
         self.start = np.maximum(edge[before] + 1, part.bounds[self.row]) if len(first) else first
@@ -67,7 +69,7 @@ class Lines:
 
     def exact(self) -> np.ndarray:
         """Content with digits; that of a line without fields is its content."""
-        return span_hash(self.words, self.first, self.end, FACTORS[3]).view(np.int64)
+        return sequence_hash(self.words, self.first, self.end, 3).view(np.int64)
 
 
 def _distinct(*keys: np.ndarray) -> np.ndarray:
@@ -142,13 +144,13 @@ def _tokens(depth: int):
     return run
 
 
-def cut(texts: pa.Array, drops: pa.Array, depth: int, identical: bool = False):
+def cut(texts: pa.Array, drops: pa.Array, depth: int):
     """Slices of a text column with their texts without the dropped lines, the numbers of
-    lines and of dropped lines.  With ``identical``, drops may be exact contents too."""
+    lines and of dropped lines.  Drops are contents with fields or as they are."""
     missing = np.asarray(texts.is_null())
     for part in slices(texts):
         lines = Lines(part, depth)
-        exact = lines.exact() if identical else lines.content
+        exact = lines.exact()
         raw = part.data.tobytes()
         feeds = np.concatenate([[0], np.cumsum(part.data == 10)])
         counts = feeds[part.bounds[1:]] - feeds[part.bounds[:-1]] + 1
@@ -211,10 +213,10 @@ def recurring_lines(
     found = materialize(own.join(templates, ["leaf", "content"]).select("doc", "row", "content", "template"), "found")
     recurring = materialize(
         found.select("template", "doc", "row").distinct().groupBy("template").agg(
-            F.count("*").alias("docs"), F.min(F.struct("doc", "row")).alias("first"))
-        .where(F.col("docs") >= min_docs).select("template", F.col("first.row").alias("first")), "recurring")
+            F.count("*").alias("docs"), F.min("doc").alias("first"))
+        .where(F.col("docs") >= min_docs).select("template", "first"), "recurring")
     return (
-        found.join(recurring, "template").where("row != first").select("row", "content").distinct()
+        found.join(recurring, "template").where("doc != first").select("row", "content").distinct()
     )
 
 
@@ -225,21 +227,17 @@ def identical_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
         docs.select(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "row", "text")
         .mapInArrow(_with_fields(depth), "doc long, row long, content long").distinct(), "fields")
     recurring = materialize(
-        found.groupBy("content").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "row")).alias("first"))
-        .where(F.col("docs") >= min_docs).select("content", F.col("first.row").alias("first")), "identical")
-    return found.join(recurring, "content").where("row != first").select("row", "content")
+        found.groupBy("content").agg(F.count("*").alias("docs"), F.min("doc").alias("first"))
+        .where(F.col("docs") >= min_docs).select("content", "first"), "identical")
+    return found.join(recurring, "content").where("doc != first").select("row", "content")
 
 
-def _drops(
-    df: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int, share: float, identical: bool = False
-) -> DataFrame:
+def _drops(df: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int, share: float) -> DataFrame:
     """``__row, __drops``: the lines that each row loses."""
     text = F.col(text_col).cast("string")
     docs = df.select(
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
-    lost = recurring_lines(docs, depth, min_docs, share)
-    if identical:
-        lost = lost.union(identical_lines(docs, depth, min_docs))
+    lost = recurring_lines(docs, depth, min_docs, share).union(identical_lines(docs, depth, min_docs))
     return (
         lost.groupBy(F.col("row").alias("__row")).agg(F.collect_list("content").alias("__drops"))
     )
@@ -277,22 +275,18 @@ def without_recurring(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
     min_docs: int = MIN_DOCS, share: float = SHARE,
 ) -> DataFrame:
-    """The rows of ``df``, all columns, with the recurring lines taken out of their texts.
-
-    Identical lines recur here even if fewer than ``share`` of their tokens are constants;
-    ``dedup`` goes by templates alone, as its SQL does.
-    """
+    """The rows of ``df``, all columns, with the recurring lines taken out of their texts."""
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.select(range(2, batch.num_columns))
-            for part, kept, _, _ in cut(batch.column(0), batch.column(1), depth, identical=True):
+            for part, kept, _, _ in cut(batch.column(0), batch.column(1), depth):
                 own = rows.slice(part.first, part.rows)
                 yield own.set_column(place, own.schema.field(place).with_type(pa.string()), kept)
 
     text = F.col(text_col).cast("string")
-    drops = _drops(df, id_col, text_col, depth, min_docs, share, identical=True)
+    drops = _drops(df, id_col, text_col, depth, min_docs, share)
     keyed = df.select(F.xxhash64(F.col(id_col), text).alias("__row"), text.alias("__text"), *df.columns)
     return (
         keyed.join(drops, "__row", "left").select("__text", "__drops", *df.columns).mapInArrow(run, df.schema)
@@ -301,21 +295,24 @@ def without_recurring(
 
 # The same in SQL, over table ``documents``.
 SQL = f"""
-WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+WITH texts AS (
+  SELECT DISTINCT coalesce(doc_id, 9223372036854775807) AS doc_id, text FROM documents WHERE text IS NOT NULL
+),
 lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS num FROM texts
 ), cut AS (
   SELECT *, [CASE WHEN regexp_matches(t, '[0-9]') THEN NULL ELSE t END
-             for t in regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')] AS toks FROM lines
+             for t in regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')] AS toks,
+         regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS words FROM lines
 ), placed AS (
   SELECT *, len(toks) AS size, toks[1:{DEPTH}] AS lead FROM cut WHERE len(toks) > 0
 ), leaves AS (
-  SELECT size, lead FROM placed GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
+  SELECT size, lead FROM placed GROUP BY ALL HAVING count(DISTINCT (doc_id, text)) >= {MIN_DOCS}
 ), own AS (
   SELECT p.* FROM placed p JOIN leaves l ON p.size = l.size AND p.lead IS NOT DISTINCT FROM l.lead
 ), contents AS (
-  SELECT size, lead, toks, count(DISTINCT doc_id) AS docs FROM own GROUP BY ALL
+  SELECT size, lead, toks, count(DISTINCT (doc_id, text)) AS docs FROM own GROUP BY ALL
 ), places AS (
   SELECT size, lead, toks, docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS place FROM contents
 ), constants AS (
@@ -330,11 +327,15 @@ lines AS (
     ON o.size = t.size AND o.lead IS NOT DISTINCT FROM t.lead AND o.toks IS NOT DISTINCT FROM t.toks
 ), recurring AS (
   SELECT size, lead, template, min(doc_id) AS first FROM found
-  GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
+  GROUP BY ALL HAVING count(DISTINCT (doc_id, text)) >= {MIN_DOCS}
+), identical AS (
+  SELECT words, min(doc_id) AS first FROM placed GROUP BY ALL HAVING count(DISTINCT (doc_id, text)) >= {MIN_DOCS}
 ), dropped AS (
   SELECT f.doc_id, f.text, f.num FROM found f JOIN recurring r
     ON f.size = r.size AND f.lead IS NOT DISTINCT FROM r.lead AND f.template = r.template
   WHERE f.doc_id <> r.first
+  UNION
+  SELECT p.doc_id, p.text, p.num FROM placed p JOIN identical i ON p.words = i.words WHERE p.doc_id <> i.first
 ), kept AS (
   SELECT l.doc_id, l.text, count(*) AS n_lines, count(d.num) AS n_dropped,
          coalesce(string_agg(l.line, chr(10) ORDER BY l.num) FILTER (d.num IS NULL), '') AS kept
@@ -342,5 +343,5 @@ lines AS (
   GROUP BY l.doc_id, l.text
 )
 SELECT x.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, sha256(k.kept) AS kept_sha256
-FROM documents x LEFT JOIN kept k ON x.doc_id = k.doc_id AND x.text = k.text
+FROM documents x LEFT JOIN kept k ON coalesce(x.doc_id, 9223372036854775807) = k.doc_id AND x.text = k.text
 """

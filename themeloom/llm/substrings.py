@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.bpe import _id_type
-from themeloom.llm.words import FACTORS, find_words, mix, slices, span_hash, word_hashes
+from themeloom.llm.words import FACTORS, field_hash, find_words, mix, slices, span_hash, window_hash, word_hashes
 from themeloom.session import materialize
 
 WINDOW = 50
@@ -166,10 +166,11 @@ def _least(values, a, b):
     return out
 
 
-def groups(texts: pa.Array, window: int):
+def groups(texts: pa.Array, window: int, contents: bool = True):
     """Groups of windows of a text column, slice by slice.
 
-    Yields the row of each group, key, two hashes of its words, first word, windows.
+    Yields the row of each group, key, two hashes of its words (only with ``contents``),
+    first word, windows.
     """
     for part in slices(texts):
         words = find_words(part)
@@ -186,8 +187,7 @@ def groups(texts: pa.Array, window: int):
         start, end = begin[at], begin[last] + window
         yield (
             part.first + row[at], key[at].view(np.int64),
-            span_hash(hashes, start, end, FACTORS[1]).view(np.int64),
-            span_hash(hashes, start, end, FACTORS[3]).view(np.int64),
+            *(field_hash(hashes, start, end, f).view(np.int64) if contents else None for f in (0, 1)),
             start - words.first[row[at]], last - at + 1,
         )
 
@@ -198,7 +198,7 @@ def _keys(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for row, key, *_ in groups(batch.column(1), window):
+            for row, key, *_ in groups(batch.column(1), window, contents=False):
                 order = np.lexsort((ids[row], key))
                 key, doc = key[order], ids[row][order]
                 at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -249,8 +249,8 @@ def _windows(window: int):
                 start = words.first[row] + first
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[part.first + row]), pa.array(bodies[part.first + row]),
-                    pa.array(span_hash(hashes, start, start + window, FACTORS[1]).view(np.int64)),
-                    pa.array(span_hash(hashes, start, start + window, FACTORS[3]).view(np.int64)),
+                    pa.array(window_hash(hashes, start, window, 3).view(np.int64)),
+                    pa.array(window_hash(hashes, start, window, 4).view(np.int64)),
                     pa.array(first, pa.int32()),
                 ], schema=schema)
 

@@ -81,16 +81,6 @@ def powers(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return held
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
-    """64-bit hash of ``values[start:end]`` for each span; equal spans, equal hashes."""
-    n = len(values)
-    up, down = powers(factor, n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up[:n], dtype=np.uint64, out=sums[1:])
-    out = (sums[ends] - sums[starts]) * down[starts]
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS: dict[int, np.ndarray] = {}
 
@@ -131,7 +121,59 @@ def window_hash(values: np.ndarray, starts: np.ndarray, width: int, family: int)
     out = np.zeros(len(starts), np.uint64)
     for place, factor in enumerate(multipliers(family, width)[:width]):
         out += values[starts + place] * factor
-    return mix(out + np.uint64(width) * GOLD)
+    return mix(out + np.full(1, width, np.uint64) * GOLD)
+
+
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
+    """64-bit hash of ``values[start:end]`` for each span; equal spans, equal hashes.
+
+    Different spans may have equal hashes by structure (a Thue-Morse sequence and its
+    complement), so this finds candidates and never decides.
+    """
+    n = len(values)
+    up, down = powers(factor, n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * up[:n], dtype=np.uint64, out=sums[1:])
+    out = (sums[ends] - sums[starts]) * down[starts]
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+PRIME = (1 << 31) - 1
+_BASES = [int(b) for b in np.random.default_rng(5).integers(1 << 20, PRIME - 1, 8)]
+_FIELD: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _field_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``base`` and its inverse modulo ``PRIME``, to the powers 0 .. n."""
+    held = _FIELD.get(base)
+    if held is None or len(held[0]) <= n:
+        both = []
+        for f in (base, pow(base, -1, PRIME)):
+            p = np.ones(1, np.uint64)
+            while len(p) <= max(n, 1 << 16):
+                p = np.concatenate([p, p * np.uint64(pow(f, len(p), PRIME)) % np.uint64(PRIME)])
+            both.append(p)
+        held = tuple(both)
+        if len(held[0]) <= 4 * SLICE_BYTES:
+            _FIELD[base] = held
+    return held
+
+
+def field_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
+    """Hash of ``values[start:end]`` for spans of any place: two polynomials over a prime field.
+
+    Two different spans of m values agree with a chance of (m / 2^31)^2 at most, whatever
+    their structure; families are independent of each other.
+    """
+    p, n = np.uint64(PRIME), len(values)
+    folded = ((values & p) + (values >> np.uint64(31))) % p + np.uint64(1)
+    out = np.zeros(len(starts), np.uint64)
+    for base in _BASES[2 * family:2 * family + 2]:
+        up, down = _field_powers(base, n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(folded * up[:n] % p, dtype=np.uint64, out=sums[1:])
+        out = (out << np.uint64(31)) + (sums[ends] - sums[starts]) % p * down[starts] % p
+    return mix(out + (ends - starts).astype(np.uint64) * GOLD)
 
 
 @dataclass
