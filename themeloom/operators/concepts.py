@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
-from themeloom.operators.scale import checked_broadcast, once
+from themeloom.operators.scale import once
+from themeloom.session import materialize
 
 
 def _row_event(part):
@@ -125,25 +130,57 @@ def kv_to_map(rows: DataFrame) -> DataFrame:
 
 
 def drop_contained_concepts(concepts: DataFrame) -> DataFrame:
-    """Distinct (code, concept) without concepts that lie inside a longer one.
+    """Distinct (code, concept) without concepts that lie inside a longer one of their code.
 
-    Instead of comparing the concepts of a stock with each other, every concept
-    lists its own shorter pieces (only lengths that occur) and those are matched
-    by equality on (code, piece).  Work grows with the rows, not their square.
+    Every concept is read once against an automaton of all names, which finds the names
+    inside it in one pass over its letters, however long it is and however many there
+    are.  The names are sent to the tasks, at most about ``NAME_BYTES`` of them at once; a
+    larger vocabulary goes in rounds.  What was found is matched by equality on (code,
+    concept), so work grows with the rows and not with their square.
     """
-    distinct = concepts.select("code", "concept").distinct()
-    lengths = distinct.select(F.char_length("concept").alias("n")).distinct()
-    # One row holding each name length that occurs: bounded by the longest name.
-    present = lengths.agg(F.sort_array(F.collect_list("n"))).scalar()
-    shorter = F.filter("lengths", lambda n: n < F.char_length("concept"))
-    pieces = F.flatten(F.transform(shorter, lambda n: F.transform(
-        F.sequence(F.lit(1), F.char_length("concept") - n + 1),
-        lambda i: F.substr(F.col("concept"), i, n),
-    )))
-    contained = distinct.withColumn("lengths", present).select(
-        "code", F.explode(F.array_distinct(pieces)).alias("concept")
-    )
-    # Only pieces that are concepts at all are moved.
-    known = checked_broadcast(distinct.select("concept").distinct())
-    contained = contained.join(known, "concept", "left_semi").distinct()
-    return distinct.join(contained, ["code", "concept"], "left_anti")
+    distinct = materialize(concepts.select("code", "concept").distinct(), "concepts")
+    names = distinct.select("concept").where(F.col("concept").isNotNull()).distinct()
+    size = names.agg(F.sum(F.octet_length("concept") + NAME_COST)).first()[0] or 0
+    rounds = max(1, math.ceil(size / NAME_BYTES))
+    inside = None
+    for i in range(rounds):
+        part = names if rounds == 1 else names.where(F.pmod(F.xxhash64("concept"), F.lit(rounds)) == i)
+        found = _names_inside(distinct, part)
+        inside = found if inside is None else inside.unionByName(found)
+    return distinct.join(inside, ["code", "concept"], "left_anti")
+
+
+# Bytes of names that an automaton is built from at once, and what each name adds to its own.
+NAME_BYTES = 32 << 20
+NAME_COST = 64
+
+
+def _names_inside(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(code, concept): the ``names`` that lie inside a longer concept of a code."""
+    sent = rows.sparkSession.sparkContext.broadcast(names.toArrow().column("concept").to_pylist())
+    schema = rows.select("code", "concept").schema
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for name in sent.value:
+            if name:
+                known.add_word(name)
+        known.make_automaton()
+        # The empty name lies inside every other.
+        nothing = {""} & set(sent.value)
+        for batch in batches:
+            at, found = [], []
+            for i, concept in enumerate(batch.column(1).to_pylist()):
+                if not concept:
+                    continue
+                own = set(nothing)
+                if len(known):
+                    own |= {concept[end + 1 - n:end + 1] for end, n in known.iter(concept) if n < len(concept)}
+                at += [i] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["code", "concept"])
+
+    return rows.select("code", "concept").mapInArrow(find, schema).distinct()

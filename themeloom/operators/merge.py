@@ -19,8 +19,8 @@ MERGED_DIR = "merged"
 
 NO_TEXT_LIST = "array<string>"
 TEXT_MAP = "map<string,string>"
-# A directory tree has few sources; more than this points at a wrong path.
-MAX_SOURCES = 1000
+# Place of sources that no ranking names.
+UNRANKED = 2**31 - 1
 
 
 def stamp(df: DataFrame, source: str, at: Column | None = None) -> DataFrame:
@@ -36,87 +36,82 @@ def stamp(df: DataFrame, source: str, at: Column | None = None) -> DataFrame:
     )
 
 
-def discover_sources(drafts: DataFrame) -> list[str]:
-    """Source names in alphabetical order, the default ranking."""
-    names = drafts.select("source").where(F.col("source") != MERGED_DIR).distinct()
-    found = [r.source for r in names.limit(MAX_SOURCES + 1).collect()]
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} draft sources")
-    return sorted(found)
-
-
 def _override(base: Column, top: Column) -> Column:
     """Map union where ``top`` wins."""
     kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k))
     return F.map_concat(kept, top)
 
 
-def merge_drafts(drafts: DataFrame, source_rank: Sequence[str] | None = None) -> DataFrame:
-    """One record per code from all drafts, with a single shuffle on the code.
+def latest_drafts(drafts: DataFrame) -> DataFrame:
+    """(code, source, draft): the latest draft of each code and source.
 
-    ``source_rank`` lists the sources, most trusted first; others follow by name.  Each source gets an
-    aggregate of fixed size (the latest draft of that source), so partial
-    aggregation bounds what a code sends over the network, whatever its rows.
+    A draft has the fields that are taken from its source.  A code with very many drafts
+    of one source is reduced in every task before the shuffle.
     """
-    found = discover_sources(drafts)
-    order = [s for s in source_rank or [] if s != MERGED_DIR]
-    # Sources that are not named are least trusted, by name among themselves.
-    order += [s for s in found if s not in order]
     quote = F.map_filter(
         F.map_from_arrays(
             F.array(*[F.lit(f) for f in QUOTE_FIELDS]), F.array(*[F.col(f) for f in QUOTE_FIELDS])
         ),
         lambda _, v: F.coalesce(v, F.lit("")) != "",
     )
-    no_map = F.create_map().cast(TEXT_MAP)
-    fields = {
-        BOARD_SOURCE: ["concepts", "info"],
-        WEB_SOURCE: ["concepts_ths", "industry"],
-        QUOTE_SOURCE: ["quote"],
-    }
-    slim = drafts.where(F.col("source").isin(order)).select(
+    extra = F.coalesce("extra", F.create_map().cast(TEXT_MAP))
+    body = ("extra", "concepts", "info", "concepts_ths", "industry", "quote")
+    slim = drafts.where(F.col("source") != MERGED_DIR).select(
         "code", "source", "name", "concepts", "info", "concepts_ths", "industry",
-        F.coalesce("extra", no_map).alias("extra"), quote.alias("quote"),
-        F.coalesce("_meta.collected_at", F.lit("")).alias("at"),
-    ).withColumn("_body", F.xxhash64(F.to_json(F.struct(
-        "extra", "concepts", "info", "concepts_ths", "industry", "quote"))))
-    # Rows of other sources have a null rank, which max_by passes over.
-    picks = [
-        F.max_by(
-            F.struct("name", "extra", *fields.get(s, [])),
-            F.when(F.col("source") == s, F.struct("at", "name", "_body")),
-        ).alias(f"s{i}")
-        for i, s in enumerate(order)
-    ]
-    if not picks:
-        picks = [F.count("*").alias("n")]
-    grouped = slim.groupBy("code").agg(*picks)
+        extra.alias("extra"), quote.alias("quote"), F.coalesce("_meta.collected_at", F.lit("")).alias("at"),
+    ).withColumn("_body", F.xxhash64(F.to_json(F.struct(*body))))
+
+    def of(source: str, *fields: str) -> list[Column]:
+        return [F.when(F.col("source") == source, F.col(f)).alias(f) for f in fields]
+
+    draft = F.struct(
+        "name", "extra", *of(BOARD_SOURCE, "concepts", "info"), *of(WEB_SOURCE, "concepts_ths", "industry"),
+        *of(QUOTE_SOURCE, "quote"))
+    return slim.groupBy("code", "source").agg(F.max_by(draft, F.struct("at", "name", "_body")).alias("draft"))
+
+
+def merge_drafts(drafts: DataFrame, source_rank: Sequence[str] | None = None) -> DataFrame:
+    """One record per code from all drafts.
+
+    ``source_rank`` lists the sources, most trusted first; others follow by name.  Drafts
+    are reduced to one per code and source first; those of a code, as many as it has
+    sources, are then folded in the order of trust.  The plan does not depend on the
+    number of sources.
+    """
+    order = [s for s in source_rank or [] if s != MERGED_DIR]
+    place = F.lit(UNRANKED)
+    if order:
+        named = F.create_map(*[F.lit(x) for i, s in enumerate(order) for x in (s, i)])
+        place = F.coalesce(F.element_at(named, F.col("source")), place)
+    grouped = latest_drafts(drafts).groupBy("code").agg(
+        F.array_sort(F.collect_list(F.struct(place.alias("place"), "source", "draft")), _by_trust).alias("drafts"))
+    no_map = F.create_map().cast(TEXT_MAP)
 
     def of(source: str, field: str, default: Column) -> Column:
-        if source not in order:
-            return default
-        return F.coalesce(F.col(f"s{order.index(source)}.{field}"), default)
-
-    names = [nonempty(F.col(f"s{i}.name")) for i in range(len(order))]
-    extra = no_map
-    for i in range(len(order)):
-        extra = _override(extra, F.coalesce(F.col(f"s{i}.extra"), no_map))
-    sources = F.array_compact(F.array(*[
-        F.when(F.col(f"s{i}").isNotNull(), F.lit(s)) for i, s in enumerate(order)
-    ])) if order else F.array()
+        own = F.filter("drafts", lambda d: d["source"] == source)
+        return F.coalesce(F.get(own, F.lit(0))["draft"][field], default)
+
+    names = F.filter(F.transform("drafts", lambda d: nonempty(d["draft"]["name"])), lambda n: n.isNotNull())
+    extra = F.aggregate("drafts", no_map, lambda held, d: _override(held, F.coalesce(d["draft"]["extra"], no_map)))
     return grouped.select(
         "code",
-        F.coalesce(*names, F.lit("")).alias("name"),
+        F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("name"),
         of(BOARD_SOURCE, "concepts", F.array().cast(NO_TEXT_LIST)).alias("concepts_eastmoney"),
         of(WEB_SOURCE, "concepts_ths", F.array().cast(f"array<{CONCEPT.simpleString()}>"))
         .alias("concepts_ths"),
         of(WEB_SOURCE, "industry", F.lit("")).alias("industry"),
         _override(of(BOARD_SOURCE, "info", no_map), of(QUOTE_SOURCE, "quote", no_map)).alias("info"),
-        sources.cast(NO_TEXT_LIST).alias("sources"),
+        F.transform("drafts", lambda d: d["source"]).alias("sources"),
         extra.alias("extra"),
     )
 
 
+def _by_trust(a: Column, b: Column) -> Column:
+    """Most trusted first, then by name; a code has each source once."""
+    first = (a["place"] < b["place"]) | ((a["place"] == b["place"]) & (a["source"] < b["source"]))
+    return F.when(first, -1).otherwise(1)
+
+
 def assemble_documents(merged: DataFrame) -> DataFrame:
     """(code, name, content): a text per record in a fixed order of parts.
 
@@ -144,12 +139,13 @@ def assemble_documents(merged: DataFrame) -> DataFrame:
 
 
 def concept_counts(merged: DataFrame) -> DataFrame:
-    """Concepts per stock and source."""
-    return merged.select(
-        "code",
-        F.size("concepts_eastmoney").alias("n_boards"),
-        F.size("concepts_ths").alias("n_web"),
-        (F.size("concepts_eastmoney") + F.size("concepts_ths")).alias("n_concepts"),
+    """Concepts per stock and source; a board that lists a stock several times counts as often."""
+    copies = F.from_json(F.element_at("extra", "concept_copies"), "array<int>")
+    boards = F.size("concepts_eastmoney")
+    repeated = F.when(F.size(copies) == boards, F.aggregate(copies, F.lit(0), lambda n, x: n + x))
+    return merged.withColumn("n_boards", F.coalesce(repeated, boards)).select(
+        "code", "n_boards", F.size("concepts_ths").alias("n_web"),
+        (F.col("n_boards") + F.size("concepts_ths")).alias("n_concepts"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from themeloom.session import materialize
 from themeloom.sources.storage import file_size
 
 # A side is broadcast only if it was counted and found no larger than this.
@@ -59,27 +60,20 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def running_max(
-    df: DataFrame, key: str, seq: str, value: str, out: str, chunks: int = 16384
-) -> DataFrame:
+def running_max(df: DataFrame, key: str, seq: str, value: str, out: str) -> DataFrame:
     """Largest ``value`` of the same key at a strictly smaller ``seq``.
 
-    ``seq`` is an integer, unique within a key.  Its range is cut into ``chunks``
-    slices and rows are distributed by (key, slice), so that a key holding a
-    third of all rows is spread over all tasks.  The maxima of the earlier
-    slices come from a reduced table with at most ``chunks`` rows per key.
+    ``seq`` is an integer, unique within a key.  Rows are cut into ranges of (key,
+    ``seq``) that hold equal numbers of rows, so neither a key with a third of all rows
+    nor a burst of close numbers makes a large task.  The maxima of the earlier ranges of
+    a key come from a reduced table with one row for each key and range.
     """
-    span = df.agg(F.struct(F.min(seq).alias("lo"), F.max(seq).alias("hi"))).scalar()
-    width = (span["hi"] - span["lo"] + 1).cast("double")
-    # As a double: the product may exceed a long, and rounding keeps the order.
-    place = (F.col(seq) - span["lo"]).cast("double")
-    spread = (
-        df.withColumn("_slice", F.floor(place * F.lit(chunks) / width))
-        .repartition(F.col(key), F.col("_slice"))
-    )
+    # Written once, with the range that each row fell into.
+    ranged = materialize(
+        df.repartitionByRange(key, seq).withColumn("_slice", F.spark_partition_id()), "ranges")
     by_slice = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
-        spread.groupBy(key, "_slice").agg(F.max(value).alias("_top"))
+        ranged.groupBy(key, "_slice").agg(F.max(value).alias("_top"))
         .select(
             F.col(key).alias("_key"), F.col("_slice").alias("_at"),
             F.max("_top").over(by_slice).alias("_earlier"),
@@ -90,7 +84,7 @@ def running_max(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        spread.join(
+        ranged.join(
             earlier,
             F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_at")),
             "left",
