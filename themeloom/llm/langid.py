@@ -22,16 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.bpe import _id_type
 from themeloom.llm.words import Slice, slices
+from themeloom.operators.scale import checked_broadcast
+from themeloom.session import materialize
 
 BUCKETS = 8192
 CENTROIDS = 4
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 400
 # A text is rejected below this part of the median cosine of labelled texts of its size,
 # so that a few odd texts among them do not move the limit.  Texts of fewer different
 # trigrams than 2^JUDGED_FROM say too little to be rejected.
@@ -152,24 +153,18 @@ def fit(
     ).where("_text is not null and _lang is not null")
     # Copies of a text are one text here, known by its hash; they all would be picked or left.
     hashed = rows.withColumn("_hash", F.xxhash64("_text"))
-    sizes = {
-        r[0]: r[1]
-        for r in hashed.select("_lang", "_hash").distinct().groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()
-    }
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; is the label column right?")
-    if not sizes:
+    sizes = materialize(
+        hashed.select("_lang", "_hash").distinct().groupBy(F.col("_lang").alias("_of")).agg(F.count("*").alias("_n")), "sizes")
+    if sizes.isEmpty():
         return None
     found, total = document_frequencies(rows, "_text")
     idf = (np.log((1 + total) / (1 + found)) + 1).astype(np.float32)
     # The hash picks about per_language different texts of each language where they lie.
-    share: Column = F.lit(0)
-    for lang, n in sizes.items():
-        part = min(1 << 30, int((1 << 30) * 1.2 * per_language / n))
-        share = F.when(F.col("_lang") == lang, part).otherwise(share)
+    share = F.least(F.lit(1 << 30), (F.lit((1 << 30) * 1.2 * per_language) / F.col("_n")).cast("long"))
     picked = (
         hashed.select("_lang", "_text", F.pmod("_hash", F.lit(1 << 30)).alias("_pick"))
-        .where(F.col("_pick") < share).distinct()
+        .join(checked_broadcast(sizes), F.col("_lang") == F.col("_of"))
+        .where(F.col("_pick") < share).select("_lang", "_text", "_pick").distinct()
     )
 
     def one_language(key, group):
