@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as vx
-from themeloom.functions.blocks import matrix
+from themeloom.functions.blocks import closest, matrix
 from themeloom.operators.scale import checked_broadcast
 from themeloom.operators.search import assign_lists, nearest
 from themeloom.session import materialize
@@ -145,7 +145,8 @@ def kmeans(pool: DataFrame, k: int = 3, seed: int = SEED, starts: int = STARTS)
     """Cluster (id, stock_name, embedding) into at most ``k`` groups.
 
     The best of ``starts`` runs by cost is kept.  All starts advance in one pass over
-    the rows per iteration; those that have settled rest.  Clusters are numbered by
+    the rows per iteration; those that have settled rest.  A pool that fits in a task
+    is clustered there in one job.  Clusters are numbered by
     their smallest member code, so equal partitions get equal numbers.  A pool of one,
     or ``k`` below two, is one cluster; an empty pool gives no rows.  Rows without a
     vector are left out.
@@ -155,8 +156,60 @@ def kmeans(pool: DataFrame, k: int = 3, seed: int = SEED, starts: int = STARTS)
     k = min(k, n)
     if k < 2:
         return single_cluster(pool)
-    # Rows lie where a hash of their id puts them, whatever files they came from; a
-    # small pool is one short task per iteration rather than many tiny ones.
+    if n <= ROWS_PER_TASK:
+        best, cost, order = _settled_in_one_task(pool, k, seed, starts)
+    else:
+        best, cost, order = _settled_over_tasks(pool, n, k, seed, starts)
+    number = {p: i for i, p in enumerate(order)}
+    lookup = F.array(*[F.lit(number.get(p, -1)) for p in range(k)])
+    labelled = assign_lists(pool, best, "_p").withColumn("cluster_id", F.get(lookup, F.col("_p"))).drop("_p")
+    middle = pool.sparkSession.createDataFrame(
+        [(i, best[p].tolist()) for i, p in enumerate(order)], "cluster_id int, embedding array<double>")
+    return Clustering(labelled, middle, cost)
+
+
+def _first_centers(sample: np.ndarray, k: int, seed: int, starts: int) -> np.ndarray:
+    return np.stack([_spread_out(sample, k, np.random.default_rng(seed + s)) for s in range(starts)])
+
+
+def _settled_in_one_task(pool: DataFrame, k: int, seed: int, starts: int) -> tuple[np.ndarray, float, list[int]]:
+    """Best centers, their cost, and their numbers by smallest member; all passes run where the rows are.
+
+    The rows fit in a task, so a pass over them is no job of its own.
+    """
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("id", "ascending")])
+        x = matrix(rows.column("embedding"))
+
+        def measured(centers: np.ndarray):
+            found = _empty(len(centers), k, x.shape[1])
+            _add(found, x, centers)
+            return found
+
+        centers, cost = _iterate(_first_centers(x[:max(SEEDED_FROM, 2 * k)], k, seed, starts), measured)
+        best = int(np.argmin(cost))
+        label = closest(x, centers[best])
+        first = {}
+        for p, i in zip(label.tolist(), rows.column("id").to_pylist()):
+            first[p] = min(i, first.get(p, i))
+        order = sorted(first, key=first.get)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([centers[best].tobytes()], pa.binary()), pa.array([float(cost[best])]),
+            pa.array([order], pa.list_(pa.int32()))], names=["centers", "cost", "numbers"])
+
+    told = (
+        pool.select(F.xxhash64("id").alias("h"), "id", as_double().alias("embedding"))
+        .repartition(1).mapInArrow(settle, "centers binary, cost double, numbers array<int>").first()
+    )
+    return np.frombuffer(bytes(told["centers"])).reshape(k, -1), told["cost"], list(told["numbers"])
+
+
+def _settled_over_tasks(pool: DataFrame, n: int, k: int, seed: int, starts: int) -> tuple[np.ndarray, float, list[int]]:
+    """The same with every pass over the rows as a job."""
+    # Rows lie where a hash of their id puts them, whatever files they came from.
     tasks = max(1, n // ROWS_PER_TASK)
     held = (
         pool.select("id", as_double().alias("embedding"))
@@ -167,20 +220,15 @@ def kmeans(pool: DataFrame, k: int = 3, seed: int = SEED, starts: int = STARTS)
         sample = matrix(
             held.orderBy(F.xxhash64("id"), "id").limit(max(SEEDED_FROM, 2 * k)).select("embedding").toArrow()
             .column("embedding"))
-        first = np.stack([_spread_out(sample, k, np.random.default_rng(seed + s)) for s in range(starts)])
-        centers, cost = _advance(held, tasks, first)
+        centers, cost = _iterate(
+            _first_centers(sample, k, seed, starts), lambda centers: _measured_by_tasks(held, tasks, centers))
         best = int(np.argmin(cost))
         placed = assign_lists(held, centers[best], "_p")
         # One row per cluster, k at most.
         order = [r["_p"] for r in placed.groupBy("_p").agg(F.min("id").alias("first")).orderBy("first").collect()]
     finally:
         held.unpersist()
-    number = {p: i for i, p in enumerate(order)}
-    lookup = F.array(*[F.lit(number.get(p, -1)) for p in range(k)])
-    labelled = assign_lists(pool, centers[best], "_p").withColumn("cluster_id", F.get(lookup, F.col("_p"))).drop("_p")
-    middle = pool.sparkSession.createDataFrame(
-        [(i, centers[best][p].tolist()) for i, p in enumerate(order)], "cluster_id int, embedding array<double>")
-    return Clustering(labelled, middle, float(cost[best]))
+    return centers[best], float(cost[best]), order
 
 
 # Rows that starting centers are chosen among.
@@ -201,14 +249,53 @@ def _spread_out(rows: np.ndarray, k: int, random: np.random.Generator) -> np.nda
     return rows[chosen]
 
 
-def _advance(held: DataFrame, tasks: int, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _empty(m: int, k: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cost, sizes and sums of ``m`` starts."""
+    return np.zeros(m), np.zeros((m, k)), np.zeros((m, k, dim))
+
+
+def _add(found: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, centers: np.ndarray) -> None:
+    """Count ``rows`` in with the nearest of the centers of every start."""
+    m, k, dim = centers.shape
+    flat = centers.reshape(m * k, dim)
+    size = (flat * flat).sum(axis=1)
+    step = max(1, (1 << 21) // (m * k))
+    for at in range(0, len(rows), step):
+        x = rows[at:at + step]
+        gap = (size - 2 * (x @ flat.T)).reshape(len(x), m, k)
+        label = gap.argmin(axis=2)
+        near = np.take_along_axis(gap, label[:, :, None], 2)[:, :, 0] + (x * x).sum(axis=1)[:, None]
+        chosen = (label[:, :, None] == np.arange(k)).astype(float)
+        found[0][:] += np.maximum(near, 0).sum(axis=0)
+        found[1][:] += chosen.sum(axis=0)
+        found[2][:] += (chosen.reshape(len(x), m * k).T @ x).reshape(m, k, dim)
+
+
+def _iterate(centers: np.ndarray, measured: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Centers (start, cluster, dim) after their iterations, and the cost of each start."""
+    centers, cost = centers.copy(), np.full(len(centers), np.inf)
+    live = np.arange(len(centers))
+    for _ in range(MAX_ITERATIONS + 1):
+        found = measured(centers[live])
+        cost[live] = found[0]
+        old = centers[live]
+        moved = np.where(found[1][:, :, None] > 0, found[2] / np.maximum(found[1], 1)[:, :, None], old)
+        shift = np.sqrt(((moved - old) ** 2).sum(axis=2)).max(axis=1)
+        # A settled start keeps the centers that its cost was measured with.
+        going = shift > SETTLED
+        centers[live[going]] = moved[going]
+        live = live[going]
+        if not len(live):
+            break
+    return centers, cost
+
+
+def _measured_by_tasks(held: DataFrame, tasks: int, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cost, sizes and sums of every start over all rows."""
     starts, k, dim = centers.shape
-    centers, cost = centers.copy(), np.full(starts, np.inf)
-    live = np.arange(starts)
-    context = held.sparkSession.sparkContext
     ddl = "start int, cost double, counts binary, sums binary"
     schema = pa.schema([("start", pa.int32()), ("cost", pa.float64()), ("counts", pa.binary()), ("sums", pa.binary())])
+    sent = held.sparkSession.sparkContext.broadcast(centers)
 
     def emit(cost, counts, sums):
         return pa.RecordBatch.from_arrays([
@@ -222,56 +309,27 @@ def _advance(held: DataFrame, tasks: int, centers: np.ndarray) -> tuple[np.ndarr
             counts[start] += np.frombuffer(n).reshape(k)
             sums[start] += np.frombuffer(x).reshape(k, dim)
 
-    def empty(m):
-        return np.zeros(m), np.zeros((m, k)), np.zeros((m, k, dim))
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _empty(starts, k, dim)
+        for batch in batches:
+            _add(found, matrix(batch.column("embedding")), sent.value)
+        yield emit(*found)
 
-    for _ in range(MAX_ITERATIONS + 1):
-        sent = context.broadcast(centers[live])
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            m = len(own)
-            flat, found = own.reshape(m * k, dim), empty(m)
-            size = (flat * flat).sum(axis=1)
-            step = max(1, (1 << 21) // (m * k))
-            for batch in batches:
-                rows = matrix(batch.column("embedding"))
-                for at in range(0, len(rows), step):
-                    x = rows[at:at + step]
-                    gap = (size - 2 * (x @ flat.T)).reshape(len(x), m, k)
-                    label = gap.argmin(axis=2)
-                    near = np.take_along_axis(gap, label[:, :, None], 2)[:, :, 0] + (x * x).sum(axis=1)[:, None]
-                    chosen = (label[:, :, None] == np.arange(k)).astype(float)
-                    found[0][:] += np.maximum(near, 0).sum(axis=0)
-                    found[1][:] += chosen.sum(axis=0)
-                    found[2][:] += (chosen.reshape(len(x), m * k).T @ x).reshape(m, k, dim)
-            yield emit(*found)
-
-        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # One start's sums at a time in memory, however many tasks have sent them.
-            found = empty(len(sent.value))
-            for batch in batches:
-                read(batch, *found)
-            yield emit(*found)
-
-        parts = held.select("embedding").mapInArrow(measure, ddl)
-        if tasks > 1:
-            parts = parts.repartition(1 + min(8, len(live)), "start").mapInArrow(total, ddl)
-        found = empty(len(live))
-        for batch in parts.toArrow().to_batches():
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One start's sums at a time in memory, however many tasks have sent them.
+        found = _empty(starts, k, dim)
+        for batch in batches:
             read(batch, *found)
-        cost[live] = found[0]
-        old = centers[live]
-        moved = np.where(found[1][:, :, None] > 0, found[2] / np.maximum(found[1], 1)[:, :, None], old)
-        shift = np.sqrt(((moved - old) ** 2).sum(axis=2)).max(axis=1)
-        # A settled start keeps the centers that its cost was measured with.
-        going = shift > SETTLED
-        centers[live[going]] = moved[going]
-        live = live[going]
-        sent.unpersist()
-        if not len(live):
-            break
-    return centers, cost
+        yield emit(*found)
+
+    parts = held.select("embedding").mapInArrow(measure, ddl)
+    if tasks > 1:
+        parts = parts.repartition(1 + min(8, starts), "start").mapInArrow(total, ddl)
+    found = _empty(starts, k, dim)
+    for batch in parts.toArrow().to_batches():
+        read(batch, *found)
+    sent.unpersist()
+    return found
 
 
 def single_cluster(pool: DataFrame) -> Clustering:
