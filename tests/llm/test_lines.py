@@ -58,3 +58,15 @@ def test_query_equals_sql(spark, sf):
     pd.testing.assert_frame_equal(
         ours[key].sort_values("doc_id", ignore_index=True), theirs.sort_values("doc_id", ignore_index=True))
     assert ours["n_dropped"].sum() > 0
+
+
+def test_query_equals_sql_with_repeated_ids(spark, folder):
+    line = "all rights of this page are reserved"
+    rows = [(1, f"{line}\nPage 3 of 10"), (1, f"{line}\nother"), (1, f"{line}\nother"), (2, f"x\n{line}\nPage 3 of 10"), (None, line),
+            (None, f"{line}\nPage 3 of 10"), (3, None), (4, ""), (5, "Page 4 of 10"), (6, "w " * 1024)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    theirs = [tuple(r) for r in con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({lines.SQL})").fetchall()]
+    got = [tuple(r) for r in queries.op7_lines(spark, folder).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()]
+    assert sorted(got, key=repr) == sorted(theirs, key=repr) and sum(r[2] for r in got) == 5

@@ -77,3 +77,12 @@ def test_query_equals_sql(spark, sf):
     key = ["query_id", "rank"]
     pd.testing.assert_frame_equal(
         ours.sort_values(key, ignore_index=True), theirs[ours.columns].sort_values(key, ignore_index=True), check_dtype=False)
+
+
+def test_query_equals_sql_with_repeated_rows_and_odd_vectors(spark, folder):
+    rows = [(i % 120 * 5, [float(i % 7), float(i % 3) - 1]) for i in range(300)] + [(None, [1.0, 2.0]), (7, None), (100, [1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    theirs = sorted(con.execute(topk.SQL).fetchall())
+    assert sorted(map(tuple, queries.op3_topk(spark, folder).collect())) == theirs

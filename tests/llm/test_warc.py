@@ -67,3 +67,17 @@ def test_query_equals_sql(spark, sf):
     ours = queries.op2_warc(spark, sf).toPandas()[list(theirs.columns)]
     pd.testing.assert_frame_equal(
         ours.sort_values("page_id", ignore_index=True), theirs.sort_values("page_id", ignore_index=True), check_dtype=False)
+
+
+def test_query_equals_sql_with_repeated_rows_and_no_ids(spark, folder):
+    import duckdb
+
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (None, "u", "same"), (None, "v", "lone"), (None, "v", "lone"),
+            (3, "u", None), (4, None, ""), (5, "u", "own")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    names = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    theirs = con.execute(f"SELECT {names} FROM ({warc.SQL})").fetchall()
+    got = [tuple(r) for r in queries.op2_warc(spark, folder).selectExpr(*names.split(", ")).collect()]
+    assert sorted(got, key=repr) == sorted(map(tuple, theirs), key=repr)

@@ -271,11 +271,11 @@ def top(
 # The same in SQL, over table ``embeddings``.
 SQL = f"""
 WITH whole AS (
-  SELECT vec_id, [floor({SCALE} * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+  SELECT DISTINCT vec_id, [floor({SCALE} * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v::DOUBLE[], p.v::DOUBLE[])::BIGINT AS score
-  FROM whole q JOIN whole p ON q.vec_id % 100 = 0 AND q.vec_id <> p.vec_id
+  SELECT DISTINCT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v::DOUBLE[], p.v::DOUBLE[])::BIGINT AS score
+  FROM whole q JOIN whole p ON q.vec_id % 100 = 0 AND q.vec_id <> p.vec_id AND len(q.v) = len(p.v)
 ), ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
 )

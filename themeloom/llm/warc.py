@@ -316,7 +316,9 @@ SQL = """
 WITH hashed AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
 ), grouped AS (
-  SELECT page_id, strlen(html) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first,
+  SELECT page_id, strlen(html) AS payload_bytes,
+         first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS first,
+         row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS nth,
          [('0x' || substr(hex, 5 * k + 1, 5))::INTEGER for k in range(8)] AS parts FROM hashed
 )
 SELECT page_id, payload_bytes,
@@ -324,7 +326,7 @@ SELECT page_id, payload_bytes,
          || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v >> 10) % 32, 1)
          || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v >> 5) % 32, 1)
          || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + v % 32, 1) for v in parts], 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN first END AS refers_to
 FROM grouped
 """
