@@ -296,13 +296,18 @@ def embed_documents(spark, sf):
     return _sparse(embed.embed_documents(docs(spark, sf), DIM), "doc_id")
 
 
-@R.add("m2_embed_keywords", f"""WITH {TOKENS}, {KEYWORDS.replace("keywords AS (", "keywords AS MATERIALIZED (")}, {vector_sql('keywords', 'token', 'token', 'e')}
-    SELECT key AS keyword, doc_freq, idf, bucket, round(x, 6) AS x FROM e JOIN keywords ON token = key""")
+@R.add("m2_embed_keywords", f"""WITH {TOKENS}, {KEYWORDS.replace("keywords AS (", "keywords AS MATERIALIZED (")}, {vector_sql('keywords', 'token', 'token', 'e')},
+    entries AS (
+      SELECT key, string_agg(bucket || ':' || CAST(round(x * 1000000) AS BIGINT), ' ' ORDER BY bucket) AS entries
+      FROM e GROUP BY key)
+    SELECT token AS keyword, doc_freq, idf, coalesce(entries, '') AS entries
+    FROM keywords LEFT JOIN entries ON token = key""")
 def embed_keywords(spark, sf):
+    """One row per keyword; its vector as text, in millionths."""
     rows = embed.embed_keywords(corpus.extract_keywords(docs(spark, sf)), DIM)
-    return rows.select("keyword", "doc_freq", "idf", F.posexplode_outer("embedding").alias("bucket", "x")).where(
-        "x <> 0"
-    ).withColumn("x", F.round("x", 6))
+    placed = F.transform("embedding", lambda x, i: F.when(
+        x != 0, F.concat(i.cast("string"), F.lit(":"), F.round(x * 1000000).cast("bigint").cast("string"))))
+    return rows.select("keyword", "doc_freq", "idf", F.array_join(F.array_compact(placed), " ").alias("entries"))
 
 
 @R.add("m2_embed_queries", f"""WITH {vector_sql('benchmark', 'item_id', 'text', 'e')}
