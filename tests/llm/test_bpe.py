@@ -60,3 +60,17 @@ def test_query_equals_the_library(spark, sf, library):
     assert dict(got.dtypes)["n_tokens"] == "bigint"
     assert {tuple(r) for r in got.collect()} == want
     assert got.where(F.col("doc_id").isNull()).count() == 0
+
+
+def test_every_code_point_as_the_library():
+    """Letters, numbers and lower case are those of the library's tables, not of Python's."""
+    from array import array
+
+    path = queries.WORD_VOCAB
+    own, theirs = bpe.Codec(bpe.vocabulary(path)), Tokenizer.from_file(path)
+    theirs.no_truncation()
+    theirs.no_padding()
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = " ".join(f"a{c}b {c}1{c}" for c in points[at:at + 4096])
+        assert list(array("I", own.encode(text))) == theirs.encode(text, add_special_tokens=False).ids, hex(at)

@@ -39,6 +39,24 @@ BATCH_BYTES = 4 << 20
 # White space as the pattern library of the vocabulary file sees it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NOT_WHITE = regex.compile(f"[^{WHITE}]+")
+# Code points that newer character tables than those of the vocabulary's
+# library call letters or numbers, and capitals that only that library lowers, as
+# (first, last, distance to the first lower-case one).
+NO_LETTERS = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1"
+    "\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a"
+    "\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3"
+    "\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191"
+    "\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81"
+    "\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
+    "\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e"
+    "\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+NO_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+LOWERED = (
+    (0x1c89, 0x1c89, 1), (0xa7cb, 0xa7cb, -42343), (0xa7cc, 0xa7cc, 1), (0xa7ce, 0xa7ce, 1), (0xa7d2, 0xa7d2, 1), (0xa7d4, 0xa7d4, 1), (0xa7da, 0xa7da, 1), (0xa7dc, 0xa7dc, -42561), (0x10d50, 0x10d65, 32), (0x16ea0, 0x16eb8, 27),
+)
+MORE_LOWERED = {c: c + by for first, last, by in LOWERED for c in range(first, last + 1)}
 # Marks that are a pre-token of their own after letters.
 SINGLE_MARKS = frozenset(".,;:!?")
 ODD_FOR_SPLIT = regex.compile("[\\x1c-\\x1f]")
@@ -81,7 +99,10 @@ class Codec:
         split = next(
             p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"
         )
-        self.pieces = regex.compile(split["pattern"]["Regex"])
+        # The same classes as the library's, without what newer tables have added.
+        letters, numbers = f"[\\p{{L}}--[{NO_LETTERS}]]", f"[\\p{{N}}--[{NO_NUMBERS}]]"
+        self.pieces = regex.compile("(?V1)" + split["pattern"]["Regex"].replace("[\\p{L}]+", letters + "+").replace(
+            "[\\p{N}]|", numbers + "|").replace("[^\\s\\p{L}\\p{N}]+", f"[^\\s{letters}{numbers}]+"))
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -151,8 +172,9 @@ class Codec:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             # A capital sigma is lowered without looking at its neighbours.
-            text = text.replace("Σ", "σ")
-        text = text.lower()
+            text = text.replace("Σ", "σ").lower().translate(MORE_LOWERED)
+        else:
+            text = text.lower()
         words = NOT_WHITE.findall(text) if ODD_FOR_SPLIT.search(text) else text.split()
         chunk, out = self.chunk, []
         for word in words:
