@@ -174,3 +174,21 @@ def test_validate_job(spark, folder):
     report, failing = jobs.job_validate(spark, folder)
     assert tuple(report.first()) == (3, 1, 2)
     assert {r.file_name for r in failing.collect()} == {"a.md", "_c.md"}
+
+
+def test_an_update_opens_new_files_only(spark, folder, monkeypatch):
+    store, summaries = folder + "-store", folder + "-in"
+    land(spark, summaries, ("1_a.md", "one"), ("2_b {x}[1],*.md", "two"), ("_h.md", "# 000007 hidden\ntext"))
+    jobs.job_rebuild(spark, summaries, store, dim=8)
+    land(spark, summaries, ("1_z.md", "another of a known code"), ("3_c {y}[1],?.md", "three"), ("_i.md", "# 000008 next\ntext"))
+    opened = []
+    real = jobs.read_summaries
+    monkeypatch.setattr(jobs, "read_summaries", lambda s, f, only=None: opened.append(only) or real(s, f, only))
+    assert sorted(r.id for r in jobs.job_update(spark, summaries, store, 8).collect()) == ["000008", "3"]
+    assert opened == [["3_c {y}[1],?.md"]] and stored(spark, store)["3"] == "three"
+    # Too many to be named: the folder is read, with the same result.
+    land(spark, summaries, ("4_d.md", "four"))
+    monkeypatch.setattr(jobs, "NAMED_FILES", 0)
+    assert [r.id for r in jobs.job_update(spark, summaries, store, 8).collect()] == ["4"] and opened[-1] is None
+    monkeypatch.setattr(jobs, "NAMED_FILES", 5)
+    assert jobs.job_update(spark, summaries, store, 8).count() == 0 and opened[-1] == []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
@@ -24,6 +24,15 @@ MAX_SHARE = 0.5
 HEADER = r"(?mdU)^#\s+(\d{6})\s+(.+)"
 
 
+def _name_parts(file_name: Column) -> Column:
+    return F.split(F.regexp_replace(file_name, r"\.md$", ""), "_", 2)
+
+
+def code_of(file_name: Column) -> Column:
+    """The code that a file's name gives, which may be empty."""
+    return F.get(_name_parts(file_name), F.lit(0))
+
+
 def parse_summary(df: DataFrame) -> DataFrame:
     """(path, code, name, content) from whole files (file_name, content).
 
@@ -31,9 +40,8 @@ def parse_summary(df: DataFrame) -> DataFrame:
     if that gives no code does the heading count.  Empty files and files without
     a code are dropped.
     """
-    stem = F.regexp_replace("file_name", r"\.md$", "")
     content = tx.strip(F.col("content"))
-    cut = F.split(stem, "_", 2)
+    cut = _name_parts(F.col("file_name"))
     named = df.select(
         F.col("file_name").alias("path"),
         F.get(cut, F.lit(0)).alias("_code"),

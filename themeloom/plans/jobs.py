@@ -13,7 +13,7 @@ from themeloom.session import materialize
 from themeloom.sources import feeds as landed
 from themeloom.sources import state, tables
 from themeloom.sources.drafts import conform_draft, read_drafts
-from themeloom.sources.summaries import read_summaries
+from themeloom.sources.summaries import read_summaries, summary_names
 
 
 def job_merge_all(
@@ -57,17 +57,30 @@ def job_rebuild(
     return tables.collection_stats(spark, documents(store), keywords(store))
 
 
+# Files that an update opens by name; beyond that it reads the folder.
+NAMED_FILES = 10_000
+
+
+def _unseen(spark: SparkSession, summaries: str, stored: DataFrame) -> list[str] | None:
+    """Names of the files without a code that is stored; none if they are very many."""
+    names = summary_names(spark, summaries).withColumn("code", corpus.code_of(F.col("file_name")))
+    new = universe.new_keys(names, stored.select(F.col("id").alias("code"))).limit(NAMED_FILES + 1).collect()
+    return [r["file_name"] for r in new] if len(new) <= NAMED_FILES else None
+
+
 def job_update(
     spark: SparkSession, summaries: str, store: str, dim: int = embed.DIM, changed: bool = False
 ) -> DataFrame:
     """Add summaries with unseen codes; returns the ids that were embedded.
 
-    With ``changed`` stored documents whose text differs are embedded anew as
-    well.  Keywords stay as they are.
+    Files whose name has a stored code are not opened, as long as the others are few
+    enough to be named.  With ``changed`` stored documents whose text differs are embedded
+    anew as well, which takes reading all.  Keywords stay as they are.
     """
-    docs = corpus.parse_summary(read_summaries(spark, summaries))
-    docs = tables.one_per_id(docs, "code", "path")
     stored = tables.read_collection(spark, documents(store))
+    only = None if stored is None or changed else _unseen(spark, summaries, stored)
+    docs = corpus.parse_summary(read_summaries(spark, summaries, only))
+    docs = tables.one_per_id(docs, "code", "path")
     if stored is None:
         todo = docs
     elif changed:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +15,35 @@ from themeloom.sources.storage import as_uri
 SUFFIX = ".md"
 # Fixed value: file sources pass over names that start like this.
 HIDDEN = ("_", ".")
+# Signs of a name that a path pattern would read as its own.
+GLOB_SIGN = re.compile(r"[\\*?\[\]{},]")
 
 
-def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
+def read_summaries(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
     """(file_name, content) of every Markdown file, each file whole.
 
-    Rows carry no order; sort by ``file_name`` where the order matters.
+    With ``only``, of the ordinary files just those names are opened; hidden and empty
+    ones, which are few, come as well.  Rows carry no order; sort by ``file_name`` where
+    the order matters.
     """
-    seen = (
-        spark.read.option("pathGlobFilter", f"*{SUFFIX}").text(folder, wholetext=True)
-        .select(decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("content"))
-    )
+    if only is None:
+        found = spark.read.option("pathGlobFilter", f"*{SUFFIX}").text(folder, wholetext=True)
+    elif only:
+        found = spark.read.text([f"{folder}/{GLOB_SIGN.sub(r'\\\g<0>', n)}" for n in only], wholetext=True)
+    else:
+        found = None
+    rest = _passed_over(spark, folder)
+    if found is not None:
+        rest = found.select(
+            decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("content")).unionByName(rest)
     # Every line end counts as a line feed.
-    return seen.unionByName(_passed_over(spark, folder)).withColumn(
-        "content", F.regexp_replace("content", "\r\n?", "\n")
-    )
+    return rest.withColumn("content", F.regexp_replace("content", "\r\n?", "\n"))
+
+
+def summary_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name) of the ordinary Markdown files; none of them is opened."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
+    return listed.select(F.regexp_extract(decoded(F.col("path")), "([^/]+)$", 1).alias("file_name"))
 
 
 def _passed_over(spark: SparkSession, folder: str) -> DataFrame:
