@@ -137,6 +137,22 @@ def test_contained_concepts(spark, names):
     assert got == sorted(n for n in set(names) if not any(n != o and n in o for o in set(names)))
 
 
+def test_contained_concepts_in_rounds_and_of_long_names(spark, monkeypatch):
+    """A name of 10,000 letters costs its length; many rounds of names give the same."""
+    names = ["ab", "b", "", "x" * 10_000, "xxx", "x" * 9_999, "中文", "文", "lone"]
+    rows = [("1", n) for n in names] + [("2", n) for n in ("b", "cd", None)] + [("3", "")]
+    table = spark.createDataFrame(rows, "code string, concept string")
+
+    def outcome():
+        return sorted(((r.code, r.concept) for r in concepts.drop_contained_concepts(table).collect()), key=repr)
+
+    got = outcome()
+    assert got == sorted([("1", "ab"), ("1", "x" * 10_000), ("1", "中文"), ("1", "lone"),
+                          ("2", "b"), ("2", "cd"), ("2", None), ("3", "")], key=repr)
+    monkeypatch.setattr(concepts, "NAME_BYTES", 200)
+    assert outcome() == got
+
+
 def drafts(spark, *files):
     return parse_drafts(spark.createDataFrame(
         [(s, c, json.dumps(body, ensure_ascii=False)) for s, c, body in files], "source string, code string, value string"
@@ -182,6 +198,32 @@ def test_sources_without_a_rank_come_last(spark):
     assert some["1"].sources[0] == "ths" and set(some["1"].sources) == set(everything["1"].sources)
 
 
+def test_merge_of_very_many_sources(spark):
+    """No limit of sources, and a plan that does not grow with them."""
+    files = [(f"s{i:04d}", "1", {"name": "" if i < 3 else f"n{i}", "key": str(i)}) for i in range(2000)]
+    files += [("ths", "1", {"name": "web", "industry": "i"})] + [("s0005", "2", {"name": f"{j}"}) for j in range(300)]
+    table = drafts(spark, *files)
+    got = {r.code: r for r in merge.merge_drafts(table, ["s1999", "ths"]).collect()}
+    one = got["1"]
+    assert one.sources == ["s1999", "ths", *[f"s{i:04d}" for i in range(1999)]]
+    assert (one.name, one.industry, one.extra) == ("n1999", "i", {"key": "1998"})
+    assert got["2"].sources == ["s0005"]
+    assert merge.merge_drafts(table.where("false")).count() == 0
+
+    def plan(df):
+        return len(merge.merge_drafts(df)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert plan(table) < 1.2 * plan(drafts(spark, *files[:2]))
+
+
+def test_repeated_boards_are_counted(spark):
+    table = merge.merge_drafts(drafts(
+        spark, ("eastmoney", "1", {"concepts": ["x", "y"], "concept_copies": "[2,1]"}), ("eastmoney", "2", {"concepts": ["x"]}),
+        ("eastmoney", "3", {"concepts": ["x"], "concept_copies": "odd"})))
+    got = {r.code: (r.n_boards, r.n_web, r.n_concepts) for r in merge.concept_counts(table).collect()}
+    assert got == {"1": (3, 0, 3), "2": (1, 0, 1), "3": (1, 0, 1)}
+
+
 def test_draft_folder(spark, folder):
     rows = [(f"{s}/{c}.json", json.dumps(b)) for s, c, b in FILES]
     rows += [("merged/1.json", "{}"), ("ths/stock_list.json", "{}")]
