@@ -57,6 +57,7 @@ LOWERED = (
     (0x1c89, 0x1c89, 1), (0xa7cb, 0xa7cb, -42343), (0xa7cc, 0xa7cc, 1), (0xa7ce, 0xa7ce, 1), (0xa7d2, 0xa7d2, 1), (0xa7d4, 0xa7d4, 1), (0xa7da, 0xa7da, 1), (0xa7dc, 0xa7dc, -42561), (0x10d50, 0x10d65, 32), (0x16ea0, 0x16eb8, 27),
 )
 MORE_LOWERED = {c: c + by for first, last, by in LOWERED for c in range(first, last + 1)}
+RARE_CAPITAL = regex.compile("[" + "".join(map(chr, MORE_LOWERED)) + "]")
 # Marks that are a pre-token of their own after letters.
 SINGLE_MARKS = frozenset(".,;:!?")
 ODD_FOR_SPLIT = regex.compile("[\\x1c-\\x1f]")
@@ -72,6 +73,15 @@ def byte_symbols() -> list[str]:
     return [signs[b] for b in range(256)]
 
 
+def has_rare_capital(text: str) -> bool:
+    """Whether ``text`` has one of ``MORE_LOWERED``; texts of Latin letters only are told apart quickly."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return RARE_CAPITAL.search(text) is not None
+    return False
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file (byte level, word ends)."""
 
@@ -172,7 +182,9 @@ class Codec:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             # A capital sigma is lowered without looking at its neighbours.
-            text = text.replace("Σ", "σ").lower().translate(MORE_LOWERED)
+            text = text.replace("Σ", "σ").lower()
+            if has_rare_capital(text):
+                text = text.translate(MORE_LOWERED)
         else:
             text = text.lower()
         words = NOT_WHITE.findall(text) if ODD_FOR_SPLIT.search(text) else text.split()
