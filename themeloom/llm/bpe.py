@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 import types
 import unicodedata
@@ -57,7 +58,7 @@ LOWERED = (
     (0x1c89, 0x1c89, 1), (0xa7cb, 0xa7cb, -42343), (0xa7cc, 0xa7cc, 1), (0xa7ce, 0xa7ce, 1), (0xa7d2, 0xa7d2, 1), (0xa7d4, 0xa7d4, 1), (0xa7da, 0xa7da, 1), (0xa7dc, 0xa7dc, -42561), (0x10d50, 0x10d65, 32), (0x16ea0, 0x16eb8, 27),
 )
 MORE_LOWERED = {c: c + by for first, last, by in LOWERED for c in range(first, last + 1)}
-RARE_CAPITAL = regex.compile("[" + "".join(map(chr, MORE_LOWERED)) + "]")
+RARE_CAPITAL = re.compile("[" + "".join(map(chr, MORE_LOWERED)) + "]")
 # Marks that are a pre-token of their own after letters.
 SINGLE_MARKS = frozenset(".,;:!?")
 ODD_FOR_SPLIT = regex.compile("[\\x1c-\\x1f]")
