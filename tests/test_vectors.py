@@ -289,3 +289,21 @@ def test_themes_of_a_pool(spark):
     one = themes.analyze_themes(pool[:4], rows, words, k=1).collect()
     assert len(one) == 1 and one[0]["size"] == 4
     assert themes.analyze_themes(["unknown"], rows, words).count() == 0
+
+
+def test_reranking_every_row_passes_on_a_bounded_number_of_rows_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(approx, "PASSED_ON", 2000)
+    vectors = rng.normal(size=(300, 4))
+    rows = collection(spark, vectors)
+    index = approx.build_index(rows, n_lists=3)
+    rank_codes, seen = approx._rank_codes, []
+
+    def counted(left, right, on, *rest):
+        seen.append(left.select("block").distinct().count())
+        return rank_codes(left, right, on, *rest)
+
+    monkeypatch.setattr(approx, "_rank_codes", counted)
+    hits = approx.approx_topk(as_queries(rows), index, 5, probes=index.model.lists, rerank=index.size)
+    assert seen and seen[0] >= 300 * 300 / 2000
+    pairs = [(f"{i:04d}", v) for i, v in enumerate(vectors)]
+    assert by_query(hits) == brute(pairs, pairs, 5)

@@ -49,6 +49,8 @@ QUERY_BLOCK = 4096
 ROW_BLOCK = 131072
 LEAST_BLOCK = 256
 QUERY_SLICE = 128
+# Rows that a pair of blocks passes on at most: its queries times the rows kept for each.
+PASSED_ON = 1 << 22
 # Up to so many lists, all are ranked for a query; of more, those of the nearest groups.
 RANKED_LISTS = 4096
 
@@ -412,7 +414,8 @@ def approx_topk(
     if not index.size:
         asked = asked.where("false")
     n, cores = asked.count(), asked.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(n / QUERY_BLOCK), min(cores, math.ceil(n / LEAST_BLOCK)))
+    blocks = max(1, math.ceil(n / QUERY_BLOCK), min(cores, math.ceil(n / LEAST_BLOCK)),
+                 math.ceil(n * min(rerank, ROW_BLOCK) / PASSED_ON))
     # One number per group, of which there are about as many as the fourth root of the rows.
     bundle, counts = _bundles(index.sizes.reshape(-1, len(index.model.steps)).sum(axis=1))
     parts = F.get(F.array(*[F.lit(c) for c in counts]), F.col("bundle"))
