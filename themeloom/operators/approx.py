@@ -339,8 +339,16 @@ def _probed(asked: DataFrame, index: VectorIndex, bundle: np.ndarray, probes: in
     return spread(asked).mapInArrow(run, schema)
 
 
-def _rank_codes(left: DataFrame, right: DataFrame, on: list[str], model: Quantizer, rerank: int, metric: str) -> DataFrame:
-    """``query_id, grp, id, rough``: the best ``rerank`` rows of each query in each pair of blocks."""
+def _rank_codes(
+    left: DataFrame, right: DataFrame, on: list[str], model: Quantizer, rerank: int, metric: str,
+    exact: int | None = None,
+) -> DataFrame:
+    """``query_id, grp, id, rough``: the best ``rerank`` rows of each query in each pair of blocks.
+
+    With ``exact``, every row is to be reranked and ``right`` has the vectors in ``_v``: of the
+    rows ranked, those are passed on that are among the ``exact`` nearest by the vectors, near
+    ties included, which the measure that follows decides.
+    """
     sent = left.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([
         T.StructField("query_id", left.schema["query_id"].dataType), T.StructField("grp", T.IntegerType()),
@@ -360,6 +368,9 @@ def _rank_codes(left: DataFrame, right: DataFrame, on: list[str], model: Quantiz
         # What is compared here is rough already, so single precision will do.
         x = model.decode(number, codes).astype(np.float32)
         q = matrix(asked.column("embedding")).astype(np.float32)
+        if exact:
+            v, whole = matrix(held.column("_v")), matrix(asked.column("embedding"))
+            size = (whole * whole).sum(1)[:, None] + (v * v).sum(1).max()
         lists = [np.frombuffer(b, np.int32) for b in asked.column("lists").to_pylist()]
         qi, ci, gap = [], [], []
         for at in range(0, len(q), QUERY_SLICE):
@@ -379,7 +390,12 @@ def _rank_codes(left: DataFrame, right: DataFrame, on: list[str], model: Quantiz
             else:
                 near = np.broadcast_to(np.arange(rough.shape[1]), rough.shape)
             found = np.take_along_axis(rough, near, 1)
-            a, b = np.nonzero(np.isfinite(found))
+            ok = np.isfinite(found)
+            if exact and near.shape[1] > exact:
+                d = np.where(ok, np.take_along_axis(distances(whole[at:at + len(own)], v, metric), near, 1), np.inf)
+                bound = np.partition(d, exact - 1, axis=1)[:, exact - 1:exact]
+                ok &= d <= bound + 1e-9 * size[at:at + len(own)]
+            a, b = np.nonzero(ok)
             qi.append(at + a)
             ci.append(near[a, b])
             gap.append(found[a, b])
@@ -414,8 +430,10 @@ def approx_topk(
     if not index.size:
         asked = asked.where("false")
     n, cores = asked.count(), asked.sparkSession.sparkContext.defaultParallelism
+    # Every row is reranked: the rough order decides nothing, and the vectors meet the queries.
+    every = rerank >= index.size
     blocks = max(1, math.ceil(n / QUERY_BLOCK), min(cores, math.ceil(n / LEAST_BLOCK)),
-                 math.ceil(n * min(rerank, ROW_BLOCK) / PASSED_ON))
+                 math.ceil(n * min(need if every else rerank, ROW_BLOCK) / PASSED_ON))
     # One number per group, of which there are about as many as the fourth root of the rows.
     bundle, counts = _bundles(index.sizes.reshape(-1, len(index.model.steps)).sum(axis=1))
     parts = F.get(F.array(*[F.lit(c) for c in counts]), F.col("bundle"))
@@ -424,11 +442,12 @@ def approx_topk(
         "*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
     right = index.rows.select(
-        "grp", "list", "id", "code", F.get(F.array(*[F.lit(int(b)) for b in bundle]), F.col("grp")).alias("bundle"),
+        "grp", "list", "id", "code", *([F.col("embedding").cast("array<double>").alias("_v")] if every else []),
+        F.get(F.array(*[F.lit(int(b)) for b in bundle]), F.col("grp")).alias("bundle"),
     ).select(
         "*", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    hits = _rank_codes(left, right, ["bundle", "part", "block"], index.model, rerank, metric)
+    hits = _rank_codes(left, right, ["bundle", "part", "block"], index.model, rerank, metric, need if every else None)
     by_rough = Window.partitionBy("query_id").orderBy("rough", "id")
     best = hits.withColumn("_n", F.row_number().over(by_rough)).where(F.col("_n") <= rerank)
     if skip_self:
