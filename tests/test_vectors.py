@@ -312,3 +312,22 @@ def test_reranking_every_row_passes_on_a_bounded_number_of_rows_a_pair(spark, mo
         assert by_query(hits) == brute(pairs, pairs, 5, skip_self)
     # At most the nearest of each query in each of at most three bundles, near ties aside.
     assert passed and max(passed) <= 300 * 16 * 3
+
+
+def test_kmeans_passes_send_one_sum_a_start_to_the_driver(spark, monkeypatch):
+    rows = collection(spark, np.vstack([rng.normal(size=(40, 5)) + 8 * i for i in range(3)]))
+    DataFrame = type(rows)
+    one = clusters.kmeans(rows, 3, starts=4)
+    monkeypatch.setattr(clusters, "ROWS_PER_TASK", 10)
+    to_arrow, sent = DataFrame.toArrow, []
+
+    def counted(df):
+        table = to_arrow(df)
+        if "start" in table.column_names:
+            sent.append(table.column("start").to_pylist())
+        return table
+
+    monkeypatch.setattr(DataFrame, "toArrow", counted)
+    many = clusters.kmeans(rows, 3, starts=4)
+    assert sent and all(len(s) == len(set(s)) <= 4 for s in sent)
+    assert {tuple(r) for r in one.labels.collect()} == {tuple(r) for r in many.labels.collect()}

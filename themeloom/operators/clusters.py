@@ -297,14 +297,18 @@ def _measured_by_tasks(held: DataFrame, tasks: int, centers: np.ndarray) -> tupl
     schema = pa.schema([("start", pa.int32()), ("cost", pa.float64()), ("counts", pa.binary()), ("sums", pa.binary())])
     sent = held.sparkSession.sparkContext.broadcast(centers)
 
-    def emit(cost, counts, sums):
+    def emit(cost, counts, sums, which=None):
+        which = range(len(cost)) if which is None else sorted(which)
         return pa.RecordBatch.from_arrays([
-            pa.array(range(len(cost)), pa.int32()), pa.array(cost),
-            pa.array([c.tobytes() for c in counts], pa.binary()), pa.array([x.tobytes() for x in sums], pa.binary()),
+            pa.array(which, pa.int32()), pa.array([cost[s] for s in which]),
+            pa.array([counts[s].tobytes() for s in which], pa.binary()),
+            pa.array([sums[s].tobytes() for s in which], pa.binary()),
         ], schema=schema)
 
-    def read(batch, cost, counts, sums):
+    def read(batch, cost, counts, sums, seen=None):
         for start, c, n, x in zip(*(column.to_pylist() for column in batch.columns)):
+            if seen is not None:
+                seen.add(start)
             cost[start] += c
             counts[start] += np.frombuffer(n).reshape(k)
             sums[start] += np.frombuffer(x).reshape(k, dim)
@@ -316,11 +320,13 @@ def _measured_by_tasks(held: DataFrame, tasks: int, centers: np.ndarray) -> tupl
         yield emit(*found)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One start's sums at a time in memory, however many tasks have sent them.
-        found = _empty(starts, k, dim)
+        # One start's sums at a time in memory, however many tasks have sent them; only those of
+        # the starts this task was dealt go on.
+        found, seen = _empty(starts, k, dim), set()
         for batch in batches:
-            read(batch, *found)
-        yield emit(*found)
+            read(batch, *found, seen)
+        if seen:
+            yield emit(*found, seen)
 
     parts = held.select("embedding").mapInArrow(measure, ddl)
     if tasks > 1:
