@@ -74,3 +74,24 @@ def test_every_code_point_as_the_library():
     for at in range(0, len(points), 4096):
         text = " ".join(f"a{c}b {c}1{c}" for c in points[at:at + 4096])
         assert list(array("I", own.encode(text))) == theirs.encode(text, add_special_tokens=False).ids, hex(at)
+
+
+def test_short_and_long_pieces_and_runs_as_the_library(library):
+    """Pre-tokens on both sides of ``SHORT_PIECE`` (list and queue), with repeated pairs,
+    and runs with a mark, which are remembered whole and met again."""
+    syllables = ["th", "e", "an", "ing", "a", "ble", "tion", "sh", "nd", "ou"]
+    words = [
+        "".join(syllables[(i * 7 + j * 3) % len(syllables)] for j in range(n))
+        for i in range(12) for n in (1, 2, 5, 13, 21, 22, 23, 40)
+    ]
+    words += ["a" * n for n in (1, 2, 3, 63, 64, 65, 129)] + ["é" * 40, "ab" * 33]
+    text = " ".join(w + m for w in words for m in ("", ".", "!x,", ""))
+    own = bpe.Codec(bpe.vocabulary(PATH))
+    for _ in range(2):
+        assert list(array("I", own.encode(text))) == library.encode(text, add_special_tokens=False).ids
+    assert own.runs and all(len(k) <= bpe.LONGEST_REMEMBERED for k in own.runs)
+    for n in (bpe.SHORT_PIECE - 1, bpe.SHORT_PIECE, bpe.SHORT_PIECE + 1):
+        raw = ("thing" * n)[:n].encode()
+        ids = [own.inner[b] for b in raw]
+        ids[-1] = own.last[raw[-1]]
+        assert own.merge(raw.decode()) == own.merge_long(ids)
