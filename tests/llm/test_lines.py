@@ -70,3 +70,15 @@ def test_query_equals_sql_with_repeated_ids(spark, folder):
     theirs = [tuple(r) for r in con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({lines.SQL})").fetchall()]
     got = [tuple(r) for r in queries.op7_lines(spark, folder).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()]
     assert sorted(got, key=repr) == sorted(theirs, key=repr) and sum(r[2] for r in got) == 5
+
+
+def test_one_scan_gives_the_lines_of_every_use(spark):
+    # The texts are read once for the seen lines and the lines with fields; a repeated row is one.
+    docs = spark.createDataFrame([(1, 10, "a b\nid 7 x\na b"), (1, 10, "a b\nid 7 x\na b"), (2, 20, None),
+                                  (None, 30, "")], "doc long, row long, text string")
+    got = lines.scan(docs).collect()
+    assert sorted(r.kind for r in got) == [lines.SEEN] * 2 + [lines.FIELDS]
+    seen = [r for r in got if r.kind == lines.SEEN]
+    assert {(r.doc, r.row) for r in seen} == {(1, 10)} and sorted(r.once for r in seen) == [1, 1]
+    (field,) = [r for r in got if r.kind == lines.FIELDS]
+    assert (field.doc, field.row, field.leaf, field.once) == (1, 10, None, None)
