@@ -1,4 +1,5 @@
 from array import array
+import sys
 
 import public_tokenizers
 import pytest
@@ -95,3 +96,24 @@ def test_short_and_long_pieces_and_runs_as_the_library(library):
         ids = [own.inner[b] for b in raw]
         ids[-1] = own.last[raw[-1]]
         assert own.merge(raw.decode()) == own.merge_long(ids)
+
+
+def _spelled(i: int) -> str:
+    out = "q"
+    while i:
+        i, r = divmod(i, 26)
+        out += chr(97 + r)
+    return out
+
+
+def test_what_a_worker_remembers_stays_small():
+    # Every Python worker of an executor keeps its codec over tasks: all its memories
+    # together stay well below 100 MB, however many distinct words it meets.
+    own = bpe.Codec(bpe.vocabulary(PATH))
+    words = [_spelled(i) for i in range(700_000)]
+    own.encode(" ".join(words) + " " + " ".join(w + "." for w in words))
+    held = sum(
+        sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items())
+        for d in (own.new, own.old, own.runs, own.old_runs)
+    )
+    assert held < 100e6
