@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from themeloom.operators import concepts, merge, quotes, universe
 from themeloom.plans import jobs
 from themeloom.sources import tables
+from themeloom.sources import files
 from themeloom.sources.drafts import parse_drafts, read_drafts
 from themeloom.sources.files import write_files
 
@@ -238,6 +239,18 @@ def test_draft_folder(spark, folder):
     assert spark.read.json(folder + "-json").count() == 3
 
 
+def test_merge_job_lists_drafts_in_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr(files, "NAMES_AT_ONCE", 2)
+    monkeypatch.setattr(files, "BYTES_AT_ONCE", 1)
+    rows = [(f"{s}/{i}.json", json.dumps({"name": f"{s}{i}"})) for s in ("eastmoney", "ths", "merged") for i in range(9)]
+    write_files(spark.createDataFrame(rows, "name string, content string"), folder)
+    real, inputs = merge.merge_drafts, []
+    monkeypatch.setattr(merge, "merge_drafts", lambda d, *a: inputs.extend(d.inputFiles()) or real(d, *a))
+    merged = jobs.job_merge_all(spark, folder, folder + "-out")
+    assert inputs == []
+    assert sorted((r.code, r.name) for r in merged.collect()) == [(str(i), f"eastmoney{i}") for i in range(9)]
+
+
 def test_assembled_document(spark):
     text = {r.code: r.content for r in merge.assemble_documents(merge.merge_drafts(drafts(spark, *FILES))).collect()}
     assert text["1"] == "# quote (1)\n\n所属行业: i\n\n## 核心题材\n- n: d\n\n## 所属板块\nx、y"

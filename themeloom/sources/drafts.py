@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from themeloom.operators.merge import MERGED_DIR
 from themeloom.schemas import DRAFT_BODY, KNOWN_KEYS, QUOTE_FIELDS
+from themeloom.sources.files import file_name, list_files, read_files
+from themeloom.sources.storage import in_reach
 
 # Fixed value: a file beside the drafts that is none.
 UNIVERSE_STEM = "stock_list"
@@ -22,20 +24,26 @@ def read_drafts(spark: SparkSession, root: str) -> DataFrame:
 
     The source is the parent folder and the code the file stem; merged output
     and the stock list are skipped.  Keys without a column of their own, other
-    than private ones, are kept as text in ``extra``.
+    than private ones, are kept as text in ``extra``.  Tasks list and open the files;
+    only a store that tasks cannot open is listed by the driver.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
-        .text(root, wholetext=True)
-        .select(decoded(F.col("_metadata.file_path")).alias("path"), "value")
-        .select(
-            F.regexp_extract("path", r"([^/]+)/[^/]+\.json$", 1).alias("source"),
-            F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("code"),
-            "value",
+    source = F.regexp_extract("path", r"([^/]+)/[^/]+\.json$", 1)
+    code = F.regexp_extract("path", r"([^/]+)\.json$", 1)
+    draft = (source != MERGED_DIR) & (code != UNIVERSE_STEM)
+    if in_reach(spark, root):
+        # File sources pass over empty files and these names.
+        name = file_name()
+        hidden = name.startswith(".") | (name.startswith("_") & ~name.contains("="))
+        found = list_files(spark, root, ".json", deep=True).where((F.col("size") > 0) & ~hidden & draft)
+        files = read_files(found, root)
+    else:
+        files = (
+            spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+            .text(root, wholetext=True)
+            .select(decoded(F.col("_metadata.file_path")).alias("path"), "value")
+            .where(draft)
         )
-        .where((F.col("source") != MERGED_DIR) & (F.col("code") != UNIVERSE_STEM))
-    )
-    return parse_drafts(files)
+    return parse_drafts(files.select(source.alias("source"), code.alias("code"), "value"))
 
 
 def parse_drafts(files: DataFrame) -> DataFrame:
