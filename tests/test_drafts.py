@@ -5,10 +5,12 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 
 from themeloom.operators import concepts, merge, quotes, universe
 from themeloom.plans import jobs
 from themeloom.sources import tables
+from themeloom.sources import drafts as sources
 from themeloom.sources import files
 from themeloom.sources.drafts import parse_drafts, read_drafts
 from themeloom.sources.files import write_files
@@ -239,6 +241,24 @@ def test_draft_folder(spark, folder):
     assert spark.read.json(folder + "-json").count() == 3
 
 
+def test_drafts_are_listed_and_opened_in_tasks(spark, folder, monkeypatch):
+    """The driver holds no list of the files; which of them count is as before."""
+    names = ["a/1.json", "a/2 {x}+%41.json", "a/deep/er/3.json", "a/_b=c.json", "4.json", "merged/below/5.json", "k=v/6.json"]
+    other = ["a/.7.json", "a/_8.json", "a/_metadata9.json", ".h/10.json", "_h/11.json", "merged/12.json", "a/stock_list.json", "a/13.txt"]
+    rows = [(n, '{"name":"é"}') for n in names + other] + [("a/empty.json", "")]
+    write_files(spark.createDataFrame(rows, "name string, content string"), folder)
+    found = read_drafts(spark, folder)
+    assert found.inputFiles() == []
+    got = sorted((r.source, r.code, r.name) for r in found.collect())
+    root = folder.rsplit("/", 1)[-1]
+    assert got == sorted((f"{root}/{n}".split("/")[-2], n.split("/")[-1][:-5], "é") for n in names)
+    assert sorted(r.code for r in read_drafts(spark, folder + "/{a,k=v}").collect()) == ["1", "2 {x}+%41", "3", "6", "_b=c"]
+    monkeypatch.setattr(sources, "in_reach", lambda *a: False)
+    assert sorted((r.source, r.code, r.name) for r in read_drafts(spark, folder).collect()) == got
+    with pytest.raises(AnalysisException):
+        read_drafts(spark, folder + "-none")
+
+
 def test_merge_job_lists_drafts_in_tasks(spark, folder, monkeypatch):
     monkeypatch.setattr(files, "NAMES_AT_ONCE", 2)
     monkeypatch.setattr(files, "BYTES_AT_ONCE", 1)
