@@ -4,14 +4,16 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
 from themeloom.operators import corpus, embed, quality
 from themeloom.plans import jobs
+from themeloom.sources import files as landed
 from themeloom.sources import tables
 from themeloom.sources.files import write_files
-from themeloom.sources.summaries import read_summaries
+from themeloom.sources.summaries import read_summaries, summary_names
 
 
 def files(spark, *rows):
@@ -45,6 +47,26 @@ def test_summary_files(spark, folder):
     assert got == {"000001_平 安+1.md": "a\nb\nc", "_hidden.md": "h", "empty.md": ""}
 
 
+def test_summaries_are_listed_and_opened_in_tasks(spark, folder, monkeypatch):
+    """The driver holds no list of the files, and each comes once, hidden and empty ones too."""
+    monkeypatch.setattr(landed, "NAMES_AT_ONCE", 3)
+    monkeypatch.setattr(landed, "BYTES_AT_ONCE", 1)
+    names = ["1_a.md", "2_b {x}+%41.md", "_h.md", "_k=v.md", ".md", "_metadata.md"] + [f"{i}_n.md" for i in range(10, 20)]
+    land(spark, folder, *[(n, "x\r" + n) for n in names], ("empty.md", ""), ("sub/3_c.md", "below"), ("4_d.MD", "no"))
+    found = read_summaries(spark, folder)
+    assert found.inputFiles() == [] and summary_names(spark, folder).inputFiles() == []
+    want = {**{n: "x\n" + n for n in names}, "empty.md": ""}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want.items())
+    ordinary = sorted(n for n in names if n[0] not in "_.")
+    assert sorted(r.file_name for r in summary_names(spark, folder).collect()) == ordinary
+    aside = sorted(set(want) - set(ordinary))
+    assert sorted(r.file_name for r in read_summaries(spark, folder, []).collect()) == aside
+    assert sorted(r.file_name for r in read_summaries(spark, folder, [names[1]]).collect()) == sorted([*aside, names[1]])
+    with pytest.raises(AnalysisException):
+        read_summaries(spark, folder + "-none")
+    assert read_summaries(spark, folder + "-none", []).count() == 0
+
+
 GOOD = "# 000001 平安银行\n## 所属板块\n## 主营业务\n## 题材标签\n"
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.sources.drafts import decoded
-from themeloom.sources.storage import as_uri
+from themeloom.sources.files import file_name, list_files, read_files
 
 SUFFIX = ".md"
 # Fixed value: file sources pass over names that start like this.
@@ -22,60 +23,28 @@ GLOB_SIGN = re.compile(r"[\\*?\[\]{},]")
 def read_summaries(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
     """(file_name, content) of every Markdown file, each file whole.
 
-    With ``only``, of the ordinary files just those names are opened; hidden and empty
-    ones, which are few, come as well.  Rows carry no order; sort by ``file_name`` where
-    the order matters.
+    Tasks list and open the files.  With ``only``, of the ordinary files just those names
+    are opened; hidden and empty ones come as well.  Rows carry no order; sort by
+    ``file_name`` where the order matters.
     """
-    if only is None:
-        found = spark.read.option("pathGlobFilter", f"*{SUFFIX}").text(folder, wholetext=True)
-    elif only:
-        found = spark.read.text([f"{folder}/{GLOB_SIGN.sub(r'\\\g<0>', n)}" for n in only], wholetext=True)
-    else:
-        found = None
-    rest = _passed_over(spark, folder)
-    if found is not None:
-        rest = found.select(
-            decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("content")).unionByName(rest)
+    listed = list_files(spark, folder, SUFFIX, missing=only is not None)
+    if only is not None:
+        listed = listed.where(~_ordinary())
+    found = read_files(listed, folder).select(file_name().alias("file_name"), F.col("value").alias("content"))
+    if only:
+        named = spark.read.text([f"{folder}/{GLOB_SIGN.sub(r'\\\g<0>', n)}" for n in only], wholetext=True)
+        found = found.unionByName(
+            named.select(decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("content")))
     # Every line end counts as a line feed.
-    return rest.withColumn("content", F.regexp_replace("content", "\r\n?", "\n"))
+    return found.withColumn("content", F.regexp_replace("content", "\r\n?", "\n"))
 
 
 def summary_names(spark: SparkSession, folder: str) -> DataFrame:
     """(file_name) of the ordinary Markdown files; none of them is opened."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
-    return listed.select(F.regexp_extract(decoded(F.col("path")), "([^/]+)$", 1).alias("file_name"))
+    return list_files(spark, folder, SUFFIX).where(_ordinary()).select(file_name().alias("file_name"))
 
 
-def _passed_over(spark: SparkSession, folder: str) -> DataFrame:
-    """The files that a file source leaves out: hidden ones and empty ones.
-
-    They are the exception.  One task looks through the names and sizes, and the
-    few names found are read by other tasks.
-    """
-    uri = as_uri(folder)
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(uri)
-        for _ in batches:
-            listed = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-            yield pd.DataFrame({"file_name": [
-                i.base_name for i in listed
-                if i.is_file and i.base_name.endswith(SUFFIX)
-                and (i.size == 0 or i.base_name.startswith(HIDDEN))
-            ]}, dtype="str")
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(uri)
-        for batch in batches:
-            texts = []
-            for name in batch["file_name"]:
-                with store.open_input_stream(f"{root}/{name}") as stream:
-                    texts.append(stream.read().decode("utf-8"))
-            yield batch.assign(content=texts)
-
-    names = spark.range(1).mapInPandas(find, "file_name string")
-    return names.repartition("file_name").mapInPandas(load, "file_name string, content string")
+def _ordinary() -> Column:
+    """Whether a listed file is neither hidden nor empty."""
+    hidden = [file_name().startswith(h) for h in HIDDEN]
+    return (F.col("size") > 0) & ~reduce(or_, hidden)
