@@ -216,6 +216,24 @@ def test_an_update_opens_new_files_only(spark, folder, monkeypatch):
     assert jobs.job_update(spark, summaries, store, 8).count() == 0 and opened[-1] == []
 
 
+def lists_of_the_driver(monkeypatch, module, name):
+    """Files that the driver holds a list of, of the first table given to a function."""
+    real, seen = getattr(module, name), []
+    monkeypatch.setattr(module, name, lambda df, *a: seen.append(df.inputFiles()) or real(df, *a))
+    return seen
+
+
+def test_update_lists_no_files_on_the_driver(spark, folder, monkeypatch):
+    store, summaries = folder + "-store", folder + "-in"
+    land(spark, summaries, ("1_a.md", "one"), ("_h.md", "# 000007 hidden\ntext"))
+    jobs.job_rebuild(spark, summaries, store, dim=8)
+    land(spark, summaries, ("2_b.md", "two"), ("3_c.md", "three"), ("_i.md", "# 000008 next\ntext"))
+    monkeypatch.setattr(jobs, "NAMED_FILES", 1)
+    seen = lists_of_the_driver(monkeypatch, corpus, "parse_summary")
+    assert sorted(r.id for r in jobs.job_update(spark, summaries, store, 8).collect()) == ["000008", "2", "3"]
+    assert seen == [[]]
+
+
 def test_query_text_leaves_texts_without_features_out_as_its_sql(spark, tmp_path):
     import duckdb
     import pyarrow as pa
