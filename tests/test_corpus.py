@@ -234,6 +234,13 @@ def test_update_lists_no_files_on_the_driver(spark, folder, monkeypatch):
     assert seen == [[]]
 
 
+def test_rebuild_lists_no_files_on_the_driver(spark, folder, monkeypatch):
+    land(spark, folder, ("1_a.md", "one two"), ("2_b.md", "two"), ("_h.md", "# 000007 hidden\ntext"))
+    seen = lists_of_the_driver(monkeypatch, corpus, "parse_summary")
+    counts = {r.collection: r.n for r in jobs.job_rebuild(spark, folder, folder + "-store", dim=8).collect()}
+    assert seen == [[]] and counts["documents"] == 3
+
+
 def test_query_text_leaves_texts_without_features_out_as_its_sql(spark, tmp_path):
     import duckdb
     import pyarrow as pa
