@@ -241,6 +241,12 @@ def test_rebuild_lists_no_files_on_the_driver(spark, folder, monkeypatch):
     assert seen == [[]] and counts["documents"] == 3
 
 
+def test_validation_lists_no_files_on_the_driver(spark, folder, monkeypatch):
+    land(spark, folder, ("a.md", ""), ("b.md", GOOD + "x" * 50), ("_c.md", "short"))
+    seen = lists_of_the_driver(monkeypatch, quality, "validate_summaries")
+    assert tuple(jobs.job_validate(spark, folder)[0].first()) == (3, 1, 2) and seen == [[]]
+
+
 def test_query_text_leaves_texts_without_features_out_as_its_sql(spark, tmp_path):
     import duckdb
     import pyarrow as pa
