@@ -247,6 +247,12 @@ def test_validation_lists_no_files_on_the_driver(spark, folder, monkeypatch):
     assert tuple(jobs.job_validate(spark, folder)[0].first()) == (3, 1, 2) and seen == [[]]
 
 
+def test_failing_files_come_without_a_list_on_the_driver(spark, folder):
+    land(spark, folder, ("a.md", ""), ("b.md", GOOD + "x" * 50), ("_c.md", "short"))
+    failing = jobs.job_validate(spark, folder)[1]
+    assert failing.inputFiles() == [] and {r.file_name for r in failing.collect()} == {"a.md", "_c.md"}
+
+
 def test_query_text_leaves_texts_without_features_out_as_its_sql(spark, tmp_path):
     import duckdb
     import pyarrow as pa
