@@ -331,3 +331,25 @@ def test_kmeans_passes_send_one_sum_a_start_to_the_driver(spark, monkeypatch):
     many = clusters.kmeans(rows, 3, starts=4)
     assert sent and all(len(s) == len(set(s)) <= 4 for s in sent)
     assert {tuple(r) for r in one.labels.collect()} == {tuple(r) for r in many.labels.collect()}
+
+
+def by_blocks(spark, monkeypatch, metric, skip_self=False, moved=False):
+    """Hits of a search block by block, and the rows; a third of the vectors are copies, some have no place."""
+    vectors = np.random.default_rng(3).normal(size=(300, 6))
+    vectors[::3], vectors[1:20:6] = vectors[0], 0.0
+    rows = collection(spark, vectors.astype(np.float32) if metric == "l2" else vectors)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(search, "ROW_BLOCK", 25)
+    if moved:
+        monkeypatch.setattr(search, "in_reach", lambda *a: False)
+    else:
+        # Nothing but hits may be moved: no block of rows is copied for each block of queries.
+        monkeypatch.setattr(search, "_compare", None)
+    hits = search.topk(as_queries(rows), rows, 7, metric, skip_self=skip_self, query_bytes=1)
+    return sorted(tuple(r) for r in hits.collect()), rows
+
+
+def test_blocks_of_rows_are_read_in_place_l2(spark, monkeypatch):
+    got, rows = by_blocks(spark, monkeypatch, "l2")
+    assert got == sorted(tuple(r) for r in search.topk(as_queries(rows), rows, 7, "l2").collect())
+    assert len(got) == 2100

@@ -112,7 +112,8 @@ class Nearest:
             limit = self.worst[s:s + QUERY_SLICE].copy()
             if self.metric == "l2":
                 limit = limit * limit
-            if rough.shape[1] > self.k:
+            # A full list is bound enough.
+            if rough.shape[1] > self.k and not np.isfinite(limit).all():
                 limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
             slack = _slack(q, c, self.metric)
             near = (rough <= limit[:, None] + slack) & np.isfinite(rough)

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,7 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from themeloom.functions import vectors as vx
 from themeloom.functions.blocks import Nearest, closest, distances, matrix
 from themeloom.operators.scale import checked_broadcast, spread
-from themeloom.session import materialize
+from themeloom.operators.stored import Block, in_tasks, packed, read_all, read_blocks, store_blocks
+from themeloom.session import materialize, shared_dir
+from themeloom.sources.storage import in_reach
 
 # Query vectors sent to every task at once.
 MAX_QUERY_BYTES = 64 << 20
@@ -165,26 +167,36 @@ def _scan(queries: DataFrame, table: pa.Table, rows: DataFrame, k, metric, skip_
     return spread(rows).mapInArrow(scan, schema)
 
 
-def _cells(rows: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
-    """Add ``_cell``, the nearest pivot, and ``_gap``, the distance to it.
+def _place(spark: SparkSession, pivots: np.ndarray, metric: str):
+    """A function that tells the nearest pivot of each vector, and the distance to it.
 
     Angles are compared as distances of unit vectors; one too short for that lies
     nowhere, so its gap has no bound.
     """
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def place(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, nowhere = _flat(vectors, metric)
+        cell = closest(x, sent.value)
+        return cell, np.where(nowhere, np.inf, np.sqrt(((x - sent.value[cell]) ** 2).sum(axis=1)))
+
+    return place
+
+
+def _cells(rows: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
+    """Add ``_cell``, the nearest pivot, and ``_gap``, the distance to it."""
     schema = T.StructType(rows.schema.fields + [
         T.StructField("_cell", T.IntegerType()), T.StructField("_gap", T.DoubleType())])
-    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+    place = _place(rows.sparkSession, pivots, metric)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, nowhere = _flat(matrix(batch.column("embedding")), metric)
-                cell = closest(x, sent.value)
-                gap = np.where(nowhere, np.inf, np.sqrt(((x - sent.value[cell]) ** 2).sum(axis=1)))
+                cell, gap = place(matrix(batch.column("embedding")))
                 yield pa.RecordBatch.from_arrays(
                     batch.columns + [pa.array(cell, pa.int32()), pa.array(gap)], batch.schema.names + ["_cell", "_gap"])
 
-    return spread(rows).mapInArrow(place, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def _flat(x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
@@ -257,24 +269,71 @@ def _surviving(asked: list, held: list, pivots: np.ndarray, need: int) -> list[t
 def _nested(asked: DataFrame, rows: DataFrame, k: int, metric: str, skip_self: bool) -> DataFrame:
     """Hits of blocks of queries with blocks of rows.
 
-    Queries and rows are stored by cell, the nearest of a few stored vectors; a cell is
-    cut into parts of bounded size.  Pairs of cells that cannot hold a result are left
-    out by their centers and radii, of which there are ``MAX_CELLS`` at most; the parts
-    of the others meet in a task each.  No query and no row passes through the driver.
+    Queries and rows are stored once, in blocks by cell, the nearest of a few stored
+    vectors.  Pairs of cells that cannot hold a result are left out by their centers and
+    radii, of which there are ``MAX_CELLS`` at most.  A task takes a block of queries and
+    reads the blocks of rows one after another, so nothing is moved but the hits, and no
+    query and no row passes through the driver.  Only where tasks cannot open the shared
+    folder the blocks are shuffled to meet.
     """
     spark = asked.sparkSession
-    cells = min(MAX_CELLS, max(math.ceil(asked.count() / QUERY_BLOCK), math.ceil(rows.count() / ROW_BLOCK)))
-    on = ["_q", "_q_part", "_r", "_r_part"]
-    if cells <= 1:
+    n_rows = rows.count()
+    cells = min(MAX_CELLS, max(math.ceil(asked.count() / QUERY_BLOCK), math.ceil(n_rows / ROW_BLOCK)))
+    if cells <= 1 or not n_rows:
         # One block with one block: nothing to lay out.
+        on = ["_q", "_q_part", "_r", "_r_part"]
         here = [F.lit(0).alias(c) for c in on]
         return _compare(asked.select("*", *here), rows.select("*", *here), on, k, metric, skip_self)
     pivots = _pivots(rows, cells, metric)
+    if not in_reach(spark, shared_dir(spark)):
+        return _shuffled(asked, rows, pivots, k, metric, skip_self)
+    place = _place(spark, pivots, metric)
+    left = store_blocks(asked, "queries", QUERY_BLOCK, place)
+    right = store_blocks(rows, "rows", ROW_BLOCK, place)
+    meet: dict[int, list[int]] = {}
+    for q, _, r, _ in _surviving(_of_cells(left), _of_cells(right), pivots, k + int(skip_self)):
+        meet.setdefault(q, []).append(r)
+    units = [(part, meet[q]) for q in sorted(meet) for part in packed([b for b in left if b.cell == q], QUERY_BLOCK)]
+    # Few blocks of queries share the rows out, to occupy the cores.
+    parts = max(1, math.ceil(spark.sparkContext.defaultParallelism / max(len(units), 1)))
+    units = [(*unit, i, parts) for unit in units for i in range(parts)]
+    held = spark.sparkContext.broadcast(right)
+    folder = shared_dir(spark)
+    schema = _hit_schema(asked, rows)
+    arrow = to_arrow_schema(schema)
+    payload = [f for f in schema.names if f not in ("query_id", "d")]
+
+    def compare(unit) -> Iterator[pa.RecordBatch]:
+        blocks, cells, part, parts = unit
+        queries, vectors = read_all(folder, blocks)
+        state = Nearest(queries.column("query_id").combine_chunks(), vectors, k, metric, skip_self)
+        wanted = [b for b in held.value if b.cell in set(cells)][part::parts]
+        for found, x in read_blocks(folder, wanted, ROW_BLOCK):
+            state.add(found.select(payload), x)
+        for hits in state.results(arrow):
+            yield from hits.to_batches()
+
+    return in_tasks(spark, units, compare, schema)
+
+
+def _of_cells(blocks: list[Block]) -> list[tuple]:
+    """(cell, 1, rows, least gap, largest gap) of each cell."""
+    of: dict[int, list[Block]] = {}
+    for b in blocks:
+        of.setdefault(b.cell, []).append(b)
+    return [(c, 1, sum(b.rows for b in own), min(b.lo for b in own), max(b.hi for b in own)) for c, own in of.items()]
+
+
+def _shuffled(
+    asked: DataFrame, rows: DataFrame, pivots: np.ndarray, k: int, metric: str, skip_self: bool
+) -> DataFrame:
+    """The same with blocks of queries and rows moved to a task for each pair."""
+    on = ["_q", "_q_part", "_r", "_r_part"]
     left, asked_cells = _laid_out(asked, pivots, "query_id", QUERY_BLOCK, metric)
     right, row_cells = _laid_out(rows, pivots, "id", ROW_BLOCK, metric)
     pairs = _surviving(asked_cells, row_cells, pivots, k + int(skip_self))
     # At most MAX_CELLS * MAX_CELLS rows.
-    pairs = F.broadcast(spark.createDataFrame(pairs, "_q int, _q_parts int, _r int, _r_parts int"))
+    pairs = F.broadcast(asked.sparkSession.createDataFrame(pairs, "_q int, _q_parts int, _r int, _r_parts int"))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     left = left.withColumnRenamed("_cell", "_q").withColumnRenamed("_part", "_q_part").join(pairs, "_q") \
         .withColumn("_r_part", every("_r_parts"))
