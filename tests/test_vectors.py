@@ -353,3 +353,13 @@ def test_blocks_of_rows_are_read_in_place_l2(spark, monkeypatch):
     got, rows = by_blocks(spark, monkeypatch, "l2")
     assert got == sorted(tuple(r) for r in search.topk(as_queries(rows), rows, 7, "l2").collect())
     assert len(got) == 2100
+
+
+def test_blocks_of_rows_are_read_in_place_cosine(spark, monkeypatch):
+    got, rows = by_blocks(spark, monkeypatch, "cosine")
+    assert got == sorted(tuple(r) for r in search.topk(as_queries(rows), rows, 7, "cosine").collect())
+
+
+def test_blocks_are_shuffled_where_tasks_cannot_open_the_folder(spark, monkeypatch):
+    got, rows = by_blocks(spark, monkeypatch, "cosine", moved=True)
+    assert got == sorted(tuple(r) for r in search.topk(as_queries(rows), rows, 7, "cosine").collect())
