@@ -363,3 +363,14 @@ def test_blocks_of_rows_are_read_in_place_cosine(spark, monkeypatch):
 def test_blocks_are_shuffled_where_tasks_cannot_open_the_folder(spark, monkeypatch):
     got, rows = by_blocks(spark, monkeypatch, "cosine", moved=True)
     assert got == sorted(tuple(r) for r in search.topk(as_queries(rows), rows, 7, "cosine").collect())
+
+
+def test_similar_rows_are_read_in_place(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_QUERY_BYTES", 1)
+    got, rows = by_blocks(spark, monkeypatch, "l2sq", skip_self=True)
+    assert sorted(tuple(r) for r in search.similar_to(rows, rows.select("id"), 7).collect()) == got
+    pairs = [(r.id, np.array(r.embedding)) for r in rows.collect()]
+    found = {}
+    for q, rank, code, *_ in got:
+        found.setdefault(q, []).append(code)
+    assert found == brute(pairs, pairs, 7, True)
