@@ -374,3 +374,20 @@ def test_similar_rows_are_read_in_place(spark, monkeypatch):
     for q, rank, code, *_ in got:
         found.setdefault(q, []).append(code)
     assert found == brute(pairs, pairs, 7, True)
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_every_row_is_reranked_where_the_index_lies(spark, monkeypatch, metric, skip_self):
+    """No code and no vector is moved to the queries; hits are those of exact search."""
+    monkeypatch.setattr(approx, "LEAST_BLOCK", 40)
+    monkeypatch.setattr(approx, "_rank_moved_codes", None, raising=False)
+    vectors = np.random.default_rng(5).normal(size=(300, 4))
+    vectors[::3] = vectors[0]
+    rows = collection(spark, vectors)
+    index = approx.build_index(rows, n_lists=6)
+    found = approx.approx_topk(
+        as_queries(rows), index, 5, probes=index.model.lists, metric=metric, rerank=index.size, skip_self=skip_self)
+    exact = search.topk(as_queries(rows), rows, 5, metric, skip_self=skip_self)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in exact.collect())
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() or skip_self

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,11 +94,19 @@ class Nearest:
         # Hits per slice of queries, by the first query of the slice.
         self.found: dict[int, pa.Table] = {}
 
-    def add(self, rows: pa.Table, vectors: np.ndarray) -> None:
+    def add(self, rows: pa.Table, vectors: np.ndarray, allowed: Callable[[slice, slice], np.ndarray] | None = None) -> None:
+        """Compare with further rows; ``allowed`` tells which of a slice of queries and one of rows may meet."""
         for s in range(0, len(vectors), ROW_SLICE):
-            self._add_slice(rows.slice(s, ROW_SLICE), vectors[s:s + ROW_SLICE])
+            part = slice(s, s + ROW_SLICE)
+            self._add_slice(rows.slice(s, ROW_SLICE), vectors[part], allowed and (lambda q, part=part: allowed(q, part)))
 
-    def _add_slice(self, rows: pa.Table, c: np.ndarray) -> None:
+    def add_pairs(self, rows: pa.Table, vectors: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> None:
+        """Compare queries with rows pair by pair, in place of :meth:`add`."""
+        if len(qi):
+            gaps = _exact_pairs(self.vectors, vectors, qi, ci, self.metric)
+            self._keep(0, len(self.vectors), qi, gaps, rows.take(pa.array(ci)))
+
+    def _add_slice(self, rows: pa.Table, c: np.ndarray, allowed: Callable[[slice], np.ndarray] | None) -> None:
         own = None
         if self.skip_self:
             own = pc.index_in(rows.column("id"), value_set=self.ids)
@@ -106,6 +114,8 @@ class Nearest:
         for s in range(0, len(self.vectors), QUERY_SLICE):
             q = self.vectors[s:s + QUERY_SLICE]
             rough = distances(q, c, self.metric)
+            if allowed is not None:
+                rough[~allowed(slice(s, s + QUERY_SLICE))] = np.inf
             if own is not None:
                 hit = np.nonzero((own >= s) & (own < s + len(q)))[0]
                 rough[own[hit] - s, hit] = np.inf
@@ -142,10 +152,14 @@ class Nearest:
         self.worst[s + full] = kept.column("d").to_numpy()[ends[full]]
 
     def results(self, schema: pa.Schema) -> Iterator[pa.Table]:
-        """(query_id, d, id, ...) in the column order of ``schema``, per slice."""
+        """(query_id, d, id, ...) and, if asked for, ``rank`` in the column order of ``schema``, per slice."""
         for s, hits in self.found.items():
-            at = pc.add(hits.column("qi").combine_chunks(), s)
-            named = hits.append_column("query_id", self.ids.take(at))
+            qi = hits.column("qi").combine_chunks()
+            named = hits.append_column("query_id", self.ids.take(pc.add(qi, s)))
+            if "rank" in schema.names:
+                # Hits lie by query and rank.
+                own = qi.to_numpy()
+                named = named.append_column("rank", pa.array(np.arange(len(own)) - np.searchsorted(own, own) + 1, pa.int32()))
             yield named.select(schema.names).cast(schema)
 
     def result(self, schema: pa.Schema) -> pa.Table:

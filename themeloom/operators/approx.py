@@ -14,20 +14,25 @@ from __future__ import annotations
 
 import math
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from themeloom.functions import vectors as vx
-from themeloom.functions.blocks import distances, matrix
-from themeloom.operators.scale import spread
-from themeloom.operators.search import scored
-from themeloom.session import scratch_path
+from themeloom.functions.blocks import Nearest, distances, matrix
+from themeloom.operators.scale import distinct_keys, spread
+from themeloom.operators.search import _hit_schema, scored
+from themeloom.operators.stored import Block, in_tasks, packed, read_all, store_blocks
+from themeloom.session import scratch_path, shared_dir
+from themeloom.sources.storage import in_reach, opened
 
 # Rows, drawn by a hash of their id, that an index is fitted and measured on.
 SAMPLE = 65536
@@ -51,6 +56,8 @@ LEAST_BLOCK = 256
 QUERY_SLICE = 128
 # Rows that a pair of blocks passes on at most: its queries times the rows kept for each.
 PASSED_ON = 1 << 22
+# Marks of queries and lists that a task holds.
+PROBED = 1 << 26
 # Up to so many lists, all are ranked for a query; of more, those of the nearest groups.
 RANKED_LISTS = 4096
 
@@ -339,7 +346,133 @@ def _probed(asked: DataFrame, index: VectorIndex, bundle: np.ndarray, probes: in
     return spread(asked).mapInArrow(run, schema)
 
 
+class _Ranked:
+    """The ``most`` nearest rows by rough distance of each query so far, nearest first; of equals the first."""
+
+    def __init__(self, queries: int, most: int):
+        self.gap = np.full((queries, most), np.inf, np.float32)
+        self.at = np.full((queries, most), -1, np.int64)
+
+    def add(self, who: np.ndarray, rough: np.ndarray, place: np.ndarray) -> None:
+        """``rough`` has a row for each of the queries ``who`` and a column for each row; rows come in order of their place."""
+        most = self.gap.shape[1]
+        limit = self.gap[who, -1]
+        if np.isfinite(limit).all():
+            near = rough < limit[:, None]
+        elif rough.shape[1] > most:
+            near = rough <= np.minimum(limit, np.partition(rough, most - 1, axis=1)[:, most - 1])[:, None]
+        else:
+            near = rough <= limit[:, None]
+        qi, ci = np.nonzero(near & np.isfinite(rough))
+        if not len(qi):
+            return
+        touched, new = np.unique(qi, return_inverse=True)
+        own = who[touched]
+        query = np.concatenate([np.repeat(np.arange(len(own)), most), new])
+        gap = np.concatenate([self.gap[own].ravel(), rough[qi, ci]])
+        at = np.concatenate([self.at[own].ravel(), place[ci]])
+        order = np.lexsort((at, gap, query))
+        query = query[order]
+        start = np.searchsorted(query, np.arange(len(own)))
+        rank = np.arange(len(query)) - start[query]
+        kept = rank < most
+        self.gap[own[query[kept]], rank[kept]] = gap[order][kept]
+        self.at[own[query[kept]], rank[kept]] = at[order][kept]
+
+
+def _stored_rows(store, path: str, columns: list[str]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a file of the index batch by batch, with the number of the first."""
+    import pyarrow.parquet as pq
+
+    first = 0
+    with store.open_input_file(path) as source:
+        for batch in pq.ParquetFile(source).iter_batches(2 * ROWS_AT_ONCE, columns=columns):
+            yield first, batch
+            first += batch.num_rows
+
+
+def _decoded(model: Quantizer, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """List and decoded vector of each row; what is compared by codes is rough already, so single precision will do."""
+    number = batch.column("list").to_numpy()
+    codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(number), -1)
+    return number, model.decode(number, codes).astype(np.float32)
+
+
 def _rank_codes(
+    asked: DataFrame, index: VectorIndex, need: int, probes: int, rerank: int, metric: str, size: int
+) -> DataFrame:
+    """``query_id, d, rank, id, stock_name``: the ``need`` nearest of the best ``rerank`` rows of each query.
+
+    Queries are stored once, by group, and a task takes at most ``size`` of them.  It reads
+    the codes of the lists probed, keeps the best by code, and then reads their vectors to
+    measure them: nothing but hits leaves it.  Where every row is to be reranked, it measures
+    the rows as it ranks them.
+    """
+    spark = asked.sparkSession
+    kind = "cosine" if metric == "cosine" else "l2sq"
+    every = rerank >= index.size
+    blocks = store_blocks(asked, "asked", size, lambda x, g=index.model.groups: (_nearest(x, g), np.zeros(len(x))))
+    files = sorted(unquote(f) for f in index.rows.inputFiles())
+    held = [(opened(f)[1], int(re.search(r"/grp=(\d+)/", f)[1])) for f in files]
+    sent = spark.sparkContext.broadcast((index.model, index.sizes, held))
+    folder, place = shared_dir(spark), (files or [""])[0]
+    schema = _hit_schema(asked, index.rows.select("id", "stock_name", "embedding"), ranks=True)
+    arrow = to_arrow_schema(schema)
+    payload = ["id", "stock_name"]
+
+    def run(unit: list[Block]) -> Iterator[pa.RecordBatch]:
+        model, sizes, held = sent.value
+        store, _ = opened(place)
+        asked, q = read_all(folder, unit)
+        small = q.astype(np.float32)
+        state = Nearest(asked.column("query_id").combine_chunks(), q, need, metric, False)
+        probed = np.zeros((len(q), model.lists), bool)
+        for i, lists in enumerate(model.near_lists(q, kind, probes, need, sizes)):
+            probed[i, lists] = True
+        groups = set(np.flatnonzero(probed.any(axis=0).reshape(-1, len(model.steps)).any(axis=1)).tolist())
+        read = [(n, path) for n, (path, group) in enumerate(held) if group in groups]
+        if every:
+            for _, path in read:
+                for _, batch in _stored_rows(store, path, ["list", "code", *payload, "embedding"]):
+                    number, x = _decoded(model, batch)
+
+                    def ranked(of: slice, rows: slice, number=number, x=x) -> np.ndarray:
+                        rough = distances(small[of], x[rows], metric)
+                        rough[~probed[of][:, number[rows]]] = np.inf
+                        return np.isfinite(rough)
+
+                    state.add(pa.Table.from_batches([batch]).select(payload), matrix(batch.column("embedding")), ranked)
+        else:
+            best = _Ranked(len(q), rerank)
+            for n, path in read:
+                for first, batch in _stored_rows(store, path, ["list", "code"]):
+                    number, x = _decoded(model, batch)
+                    here = np.unique(number)
+                    who = np.flatnonzero(probed[:, here].any(axis=1))
+                    rows = np.flatnonzero(probed[:, here].any(axis=0)[np.searchsorted(here, number)])
+                    for s in range(0, len(who) if len(rows) else 0, QUERY_SLICE):
+                        some = who[s:s + QUERY_SLICE]
+                        rough = distances(small[some], x[rows], metric)
+                        rough[~probed[some][:, number[rows]]] = np.inf
+                        best.add(some, rough, (n << 32) + first + rows)
+            qi, rank = np.nonzero(best.at >= 0)
+            at = best.at[qi, rank]
+            order = np.argsort(at, kind="stable")
+            qi, at = qi[order], at[order]
+            for n, path in read:
+                a, b = np.searchsorted(at, [n << 32, (n + 1) << 32])
+                for first, batch in _stored_rows(store, path, [*payload, "embedding"]) if a < b else []:
+                    lo, hi = a + np.searchsorted(at[a:b], [(n << 32) + first, (n << 32) + first + batch.num_rows])
+                    state.add_pairs(
+                        pa.Table.from_batches([batch]).select(payload), matrix(batch.column("embedding")),
+                        qi[lo:hi], at[lo:hi] - (n << 32) - first)
+        for hits in state.results(arrow):
+            yield from hits.to_batches()
+
+    return in_tasks(spark, list(packed(blocks, size)), run, schema)
+
+
+def _rank_moved_codes(
     left: DataFrame, right: DataFrame, on: list[str], model: Quantizer, rerank: int, metric: str,
     exact: int | None = None,
 ) -> DataFrame:
@@ -353,8 +486,6 @@ def _rank_codes(
     schema = T.StructType([
         T.StructField("query_id", left.schema["query_id"].dataType), T.StructField("grp", T.IntegerType()),
         T.StructField("id", right.schema["id"].dataType), T.StructField("rough", T.DoubleType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
 
     def pair(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -415,8 +546,10 @@ def approx_topk(
 
     By default both are what the index was measured to need for ``k`` and ``metric``;
     :func:`recall` tells how many of the true neighbours are found.  More lists are read
-    where those probed hold fewer than ``k`` rows.  A group larger than ``ROW_BLOCK`` is
-    split by row id and its queries go to each part; only codes are moved to them.
+    where those probed hold fewer than ``k`` rows.  Tasks take blocks of queries and read the
+    index where it is stored.  Few queries of a large index, ids that come twice and an index
+    that tasks cannot open go another way: a group larger than ``ROW_BLOCK`` is split by row
+    id and its queries go to each part; only codes are moved to them.
     """
     if metric not in vx.METRICS:
         raise ValueError(f"metric must be one of {vx.METRICS}, not {metric!r}")
@@ -434,6 +567,27 @@ def approx_topk(
     every = rerank >= index.size
     blocks = max(1, math.ceil(n / QUERY_BLOCK), min(cores, math.ceil(n / LEAST_BLOCK)),
                  math.ceil(n * min(need if every else rerank, ROW_BLOCK) / PASSED_ON))
+    size = max(1, min(math.ceil(n / blocks), PROBED // index.model.lists))
+    places = index.rows.inputFiles()[:1] + [shared_dir(asked.sparkSession)]
+    if (blocks >= cores or index.size <= ROW_BLOCK) and all(in_reach(asked.sparkSession, p) for p in places) \
+            and distinct_keys(asked, "query_id") and distinct_keys(index.rows, "grp", "id"):
+        final = _rank_codes(asked, index, need, probes, rerank, metric, size)
+        if skip_self:
+            final = final.where(F.col("id") != F.col("query_id")).drop("rank")
+    else:
+        final = _moved(asked, index, need, probes, rerank, metric, skip_self, blocks, every)
+    if "rank" not in final.columns:
+        by_distance = Window.partitionBy("query_id").orderBy("d", "id")
+        final = final.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+    return scored(final).select(
+        "query_id", "rank", F.col("id").alias("code"), F.col("stock_name").alias("name"), "score", "distance")
+
+
+def _moved(
+    asked: DataFrame, index: VectorIndex, need: int, probes: int, rerank: int, metric: str, skip_self: bool,
+    blocks: int, every: bool,
+) -> DataFrame:
+    """``query_id, id, stock_name, d`` of the rows measured, with codes moved to their queries."""
     # One number per group, of which there are about as many as the fourth root of the rows.
     bundle, counts = _bundles(index.sizes.reshape(-1, len(index.model.steps)).sum(axis=1))
     parts = F.get(F.array(*[F.lit(c) for c in counts]), F.col("bundle"))
@@ -447,7 +601,7 @@ def approx_topk(
     ).select(
         "*", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    hits = _rank_codes(left, right, ["bundle", "part", "block"], index.model, rerank, metric, need if every else None)
+    hits = _rank_moved_codes(left, right, ["bundle", "part", "block"], index.model, rerank, metric, need if every else None)
     by_rough = Window.partitionBy("query_id").orderBy("rough", "id")
     best = hits.withColumn("_n", F.row_number().over(by_rough)).where(F.col("_n") <= rerank)
     if skip_self:
@@ -455,11 +609,7 @@ def approx_topk(
     vectors = index.rows.select("grp", "id", "stock_name", F.col("embedding").cast("array<double>").alias("_v"))
     measured = best.select("query_id", "grp", "id").join(vectors, ["grp", "id"]).join(
         asked.withColumnRenamed("embedding", "_q"), "query_id")
-    by_distance = Window.partitionBy("query_id").orderBy("d", "id")
-    final = measured.select("query_id", "id", "stock_name", vx.distance(F.col("_q"), F.col("_v"), metric).alias("d")) \
-        .withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
-    return scored(final).select(
-        "query_id", "rank", F.col("id").alias("code"), F.col("stock_name").alias("name"), "score", "distance")
+    return measured.select("query_id", "id", "stock_name", vx.distance(F.col("_q"), F.col("_v"), metric).alias("d"))
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -46,6 +46,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def distinct_keys(df: DataFrame, *keys: str) -> bool:
+    """Whether no key is null and none comes twice; only the keys are moved."""
+    odd = F.col("_n") > 1
+    for key in keys:
+        odd = odd | F.col(key).isNull()
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(odd).isEmpty()
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows, reading no more than needed."""
     return df.limit(max_rows + 1).count() <= max_rows

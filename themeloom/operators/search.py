@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from themeloom.functions import vectors as vx
 from themeloom.functions.blocks import Nearest, closest, distances, matrix
-from themeloom.operators.scale import checked_broadcast, spread
+from themeloom.operators.scale import checked_broadcast, distinct_keys, spread
 from themeloom.operators.stored import Block, in_tasks, packed, read_all, read_blocks, store_blocks
 from themeloom.session import materialize, shared_dir
 from themeloom.sources.storage import in_reach
@@ -125,12 +125,15 @@ def nearest(
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    columns = [c for c in found.columns if c not in ("query_id", "d")]
-    return ranked(found).where(F.col("rank") <= k).select("query_id", "rank", *columns, "d")
+    columns = [c for c in found.columns if c not in ("query_id", "rank", "d")]
+    if "rank" not in found.columns:
+        found = ranked(found).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", *columns, "d")
 
 
-def _hit_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
+def _hit_schema(queries: DataFrame, rows: DataFrame, ranks: bool = False) -> T.StructType:
     fields = [queries.schema["query_id"], T.StructField("d", T.DoubleType())]
+    fields += [T.StructField("rank", T.IntegerType())] if ranks else []
     fields += [f for f in rows.schema.fields if f.name != "embedding"]
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
 
@@ -272,9 +275,9 @@ def _nested(asked: DataFrame, rows: DataFrame, k: int, metric: str, skip_self: b
     Queries and rows are stored once, in blocks by cell, the nearest of a few stored
     vectors.  Pairs of cells that cannot hold a result are left out by their centers and
     radii, of which there are ``MAX_CELLS`` at most.  A task takes a block of queries and
-    reads the blocks of rows one after another, so nothing is moved but the hits, and no
-    query and no row passes through the driver.  Only where tasks cannot open the shared
-    folder the blocks are shuffled to meet.
+    reads the blocks of rows one after another, so hits at most are moved, and no query and
+    no row passes through the driver.  Only where tasks cannot open the shared folder the
+    blocks are shuffled to meet.
     """
     spark = asked.sparkSession
     n_rows = rows.count()
@@ -299,9 +302,10 @@ def _nested(asked: DataFrame, rows: DataFrame, k: int, metric: str, skip_self: b
     units = [(*unit, i, parts) for unit in units for i in range(parts)]
     held = spark.sparkContext.broadcast(right)
     folder = shared_dir(spark)
-    schema = _hit_schema(asked, rows)
+    # A query that meets all its rows in one task is ranked there.
+    schema = _hit_schema(asked, rows, ranks=parts == 1 and distinct_keys(asked, "query_id"))
     arrow = to_arrow_schema(schema)
-    payload = [f for f in schema.names if f not in ("query_id", "d")]
+    payload = [f for f in schema.names if f not in ("query_id", "d", "rank")]
 
     def compare(unit) -> Iterator[pa.RecordBatch]:
         blocks, cells, part, parts = unit
