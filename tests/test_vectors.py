@@ -391,3 +391,30 @@ def test_every_row_is_reranked_where_the_index_lies(spark, monkeypatch, metric,
     exact = search.topk(as_queries(rows), rows, 5, metric, skip_self=skip_self)
     assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in exact.collect())
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() or skip_self
+
+
+def measured_twice(spark, monkeypatch, rows, asked, **more):
+    """Hits where the index lies, and with codes moved to the queries."""
+    index = approx.build_index(rows)
+    here = approx.approx_topk(asked, index, 5, **more).collect()
+    monkeypatch.setattr(approx, "in_reach", lambda *a: False)
+    moved = approx.approx_topk(asked, index, 5, **more).collect()
+    return sorted(tuple(r) for r in here), sorted(tuple(r) for r in moved)
+
+
+def test_index_is_searched_where_it_lies(spark, monkeypatch):
+    """The same hits whether tasks read the index or codes are moved to the queries."""
+    monkeypatch.setattr(approx, "LEAST_BLOCK", 40)
+    monkeypatch.setattr(approx, "ROWS_AT_ONCE", 20)
+    rows = collection(spark, np.random.default_rng(6).normal(size=(400, 6)))
+    here, moved = measured_twice(spark, monkeypatch, rows, as_queries(rows), probes=8, rerank=12)
+    assert len(here) == 2000 and here == moved
+
+
+def test_ids_that_come_twice_go_the_former_way(spark, monkeypatch):
+    rows = collection(spark, np.random.default_rng(6).normal(size=(60, 6)))
+    twice = rows.unionByName(rows)
+    for held, asked in ((twice, as_queries(rows)), (rows, as_queries(twice))):
+        with monkeypatch.context() as changed:
+            changed.setattr(approx, "_rank_codes", None)
+            assert approx.approx_topk(asked, approx.build_index(held), 5).count() == 300
